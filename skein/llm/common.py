@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable, Sequence
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,7 +36,7 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
 
 def slices(batch: pa.RecordBatch, text: str, most_rows: int, most_bytes: int):
     """`batch` in pieces of at most so many rows and, unless one row alone has more, bytes of the column `text`."""
-    sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+    sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
     start = 0
     while start < len(sizes):
         end, total = start, 0
