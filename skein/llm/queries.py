@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, token_count
+from . import bpe, simhash, token_count
 from .common import documents
 
 
@@ -19,9 +19,14 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.lengths(token_count.count_tokens(docs, public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.hexadecimal(simhash.classes(documents(spark, sf_dir).select("doc_id", "text")))
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op8_token_counts": op8_token_counts,
+    "op10_simhash": op10_simhash,
 }
 
 SQL: dict[str, str] = {}
