@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, simhash, token_count
+from . import bpe, mixing, simhash, token_count, url_filter
 from .common import documents
 
 
@@ -23,6 +23,11 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.lengths(token_count.count_tokens(docs, public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    return url_filter.filter_urls(pages, url_filter.RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.hexadecimal(simhash.classes(documents(spark, sf_dir).select("doc_id", "text")))
 
@@ -31,9 +36,11 @@ QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op7_mixing": op7_mixing,
     "op8_token_counts": op8_token_counts,
+    "op9_url_filter": op9_url_filter,
     "op10_simhash": op10_simhash,
 }
 
 SQL: dict[str, str] = {
     "op7_mixing": mixing.SQL,
+    "op9_url_filter": url_filter.SQL,
 }
