@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, simhash, token_count, url_filter
-from .common import documents
+from . import bpe, langid, mixing, simhash, token_count, url_filter
+from .common import documents, held_out
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,6 +14,12 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, vocabulary = documents(spark, sf_dir).select("doc_id", "text", "lang"), public_tokenizers.path("piece_bpe_32k.model")
+    found = langid.predict(docs.select("doc_id", "text"), vocabulary, langid.fit(docs, vocabulary))
+    return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(documents(spark, sf_dir).select("doc_id", "source", "text"))
 
@@ -34,6 +40,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op5_language_id": op5_language_id,
     "op7_mixing": op7_mixing,
     "op8_token_counts": op8_token_counts,
     "op9_url_filter": op9_url_filter,
