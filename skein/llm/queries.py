@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, mixing, simhash, token_count, url_filter
+from . import bpe, langid, mixing, simhash, suffix_dedup, token_count, url_filter
 from .common import documents, held_out
 
 
@@ -14,6 +14,10 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(suffix_dedup.dedup(documents(spark, sf_dir).select("doc_id", "text")))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, vocabulary = documents(spark, sf_dir).select("doc_id", "text", "lang"), public_tokenizers.path("piece_bpe_32k.model")
     found = langid.predict(docs.select("doc_id", "text"), vocabulary, langid.fit(docs, vocabulary))
@@ -40,6 +44,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op5_language_id": op5_language_id,
     "op7_mixing": op7_mixing,
     "op8_token_counts": op8_token_counts,
