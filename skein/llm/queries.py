@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, mixing, simhash, suffix_dedup, token_count, url_filter
+from . import bpe, langid, mixing, outliers, simhash, suffix_dedup, token_count, url_filter
 from .common import documents, held_out
 
 
@@ -24,6 +24,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
+def op6_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outliers.judge(documents(spark, sf_dir).select("doc_id", "text", "lang", "source"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(documents(spark, sf_dir).select("doc_id", "source", "text"))
 
@@ -46,6 +50,7 @@ QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op5_language_id": op5_language_id,
+    "op6_outliers": op6_outliers,
     "op7_mixing": op7_mixing,
     "op8_token_counts": op8_token_counts,
     "op9_url_filter": op9_url_filter,
