@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, mixing, outliers, simhash, suffix_dedup, token_count, url_filter
+from . import bpe, langid, mixing, outliers, quality, simhash, suffix_dedup, token_count, url_filter
 from .common import documents, held_out
 
 
@@ -18,6 +18,12 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(suffix_dedup.dedup(documents(spark, sf_dir).select("doc_id", "text")))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.score(docs, model).select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, vocabulary = documents(spark, sf_dir).select("doc_id", "text", "lang"), public_tokenizers.path("piece_bpe_32k.model")
     found = langid.predict(docs.select("doc_id", "text"), vocabulary, langid.fit(docs, vocabulary))
@@ -49,6 +55,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op3_suffix_dedup": op3_suffix_dedup,
+    "op4_quality": op4_quality,
     "op5_language_id": op5_language_id,
     "op6_outliers": op6_outliers,
     "op7_mixing": op7_mixing,
