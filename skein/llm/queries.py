@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, mixing, outliers, quality, simhash, suffix_dedup, token_count, url_filter
+from . import bpe, edit_embedding, langid, mixing, outliers, quality, simhash, suffix_dedup, token_count, url_filter
 from .common import documents, held_out
 
 
@@ -14,6 +14,10 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN))
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_embedding.edits(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(suffix_dedup.dedup(documents(spark, sf_dir).select("doc_id", "text")))
 
@@ -54,6 +58,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_fingerprints": op2_fingerprints,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_quality": op4_quality,
     "op5_language_id": op5_language_id,
