@@ -259,12 +259,12 @@ def spans(keyed: DataFrame, group: int = GROUP) -> DataFrame:
     return copies.unionByName(sorted_)
 
 
-def dedup(docs: DataFrame, text: str = "text", group: int = GROUP) -> DataFrame:
+def dedup(docs: DataFrame, text: str = "text", group: int = GROUP, trim: bool = False) -> DataFrame:
     """`docs` with `removed` (array of [from, to) byte spans, in order and apart) and `kept` (binary: the other bytes).
 
     Removed is each byte of a string of 400 bytes that also starts anywhere else, in this text or another, overlapping or not.
     Null and shorter texts lose nothing; of repeated rows of 400 bytes or more each loses all.  Columns that have these names are
-    replaced.
+    replaced.  With `trim` the text itself becomes the kept bytes; of a character that a cut has divided, nothing is left in it.
     """
     columns = [c for c in docs.columns if c.lower() not in ("removed", "kept")]
     row = F.struct(*(c for c in columns if c != text)) if columns != [text] else F.struct(F.lit(0).alias("none"))
@@ -289,7 +289,8 @@ def dedup(docs: DataFrame, text: str = "text", group: int = GROUP) -> DataFrame:
                 removed.append(merged)
                 kept.append(b"".join(x[a:b] for a, b in zip(cuts[::2], cuts[1::2])))
             given = dict(zip((c for c in columns if c != text), batch.column("row").flatten()))
-            strings = pa.array([None if none else value for value, none in zip(batch.column("bytes").to_pylist(), batch.column("none").to_pylist())], pa.binary()).cast(pa.string())
+            left = [x.decode("utf-8", "ignore") for x in kept] if trim else [x.decode() for x in batch.column("bytes").to_pylist()]
+            strings = pa.array([None if none else x for x, none in zip(left, batch.column("none").to_pylist())], pa.string())
             own = [strings if c == text else given[c] for c in columns]
             kind = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))
             yield pa.RecordBatch.from_arrays([*own, pa.array(removed, kind), pa.array(kept, pa.binary())], names=[*columns, "removed", "kept"])
