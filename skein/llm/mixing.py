@@ -52,7 +52,7 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = 3) -
         sizes.withColumn("weight", weight)
         .withColumn("cap", F.col("source_size") * most)
         .withColumn("level", level)
-        .withColumn("share", F.min(F.when(F.col("cap") / F.col("weight") >= F.col("level"), F.col("level"))).over(all_))
+        .withColumn("share", F.max(F.when(F.col("cap") / F.col("weight") >= F.col("level"), F.col("level"))).over(all_))
         .select("source", "source_size", F.least(F.col("cap").cast("double"), F.col("weight") * F.col("share")).alias("target"))
     )
 
@@ -142,7 +142,7 @@ levels AS (
   SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
     / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM weighed),
 rates AS (
-  SELECT source, source_size, least(CAST(cap AS DOUBLE), weight * (SELECT min(level) FROM levels WHERE cap / weight >= level)) AS target FROM levels),
+  SELECT source, source_size, least(CAST(cap AS DOUBLE), weight * (SELECT max(level) FROM levels WHERE cap / weight >= level)) AS target FROM levels),
 parts AS (
   SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate, CAST(floor(rate) AS BIGINT) AS whole, target - floor(rate) * source_size AS rest FROM rates),
 ranked AS (
