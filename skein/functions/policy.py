@@ -9,7 +9,7 @@ from skein.functions.text import SPACE, canonical
 from skein.versions import MARK, MOST_POLICY_CHARS
 
 # Word boundaries are ASCII; Java's \b would count letters of all scripts and so miss a secret right after one.
-BEFORE, AFTER = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
+BEFORE, AFTER = "(?<![A-Za-z0-9_])", "(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 
 # Fixed patterns.
 PEM = r"-----BEGIN (?:RSA |EC |OPENSSH |DSA )?PRIVATE KEY-----[\s\S]*?-----END (?:RSA |EC |OPENSSH |DSA )?PRIVATE KEY-----"

@@ -17,12 +17,15 @@ TOKEN = r"[\p{L}\p{N}\p{Co}]+"
 LATIN_TERM = r"[A-Za-z0-9_./-]+"
 
 
-@F.pandas_udf("string")
-def nfc(texts: pd.Series) -> pd.Series:
-    """Unicode normalisation form C, which Spark has no function for."""
+def _nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFC", x))
 
 
+def nfc(x: Column) -> Column:
+    """Unicode normalisation form C, which Spark has no function for."""
+    return F.pandas_udf(_nfc, "string")(x)
+
+
 def trim(x: Column) -> Column:
     return F.regexp_replace(x, f"^[{SPACE}]+|[{SPACE}]+$", "")
 

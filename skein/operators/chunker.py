@@ -51,7 +51,6 @@ def split(text: str) -> list[str]:
     return chunks
 
 
-@F.pandas_udf("array<string>")
 def _split(texts: pd.Series) -> pd.Series:
     return texts.map(lambda x: None if x is None else split(x))
 
@@ -59,4 +58,4 @@ def _split(texts: pd.Series) -> pd.Series:
 def chunks(text: Column) -> Column:
     """The chunks of a canonical text.  Only texts with blank lines or fences leave the JVM."""
     plain = ~(F.contains(text, F.lit("\n\n")) | F.contains(text, F.lit("```")))
-    return F.when(plain, windows(text)).otherwise(_split(F.when(~plain, text)))
+    return F.when(plain, windows(text)).otherwise(F.pandas_udf(_split, "array<string>")(F.when(~plain, text)))

@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 
 def complete_prefix(content: Column) -> Column:
     """The bytes up to the last line end: a torn last line waits for the next scan."""
-    text = F.decode(content, F.lit("ISO-8859-1"))
+    text = F.decode(content, "ISO-8859-1")
     at = F.length(text) - F.locate("\n", F.reverse(text)) + 1
     return F.when(F.locate("\n", text) == 0, F.lit(b"")).otherwise(F.substring(content, F.lit(1), at.cast("int")))
 
 
 def trailing_line_hash(content: Column) -> Column:
     """Hash of the last line that isn't empty, null without one.  `content` is a complete prefix."""
-    lines = F.filter(F.split(F.decode(F.make_valid_utf8(content.cast("string")).cast("binary"), F.lit("UTF-8")), "\r?\n"), lambda x: x != "")
+    lines = F.filter(F.split(F.decode(F.make_valid_utf8(content.cast("string")).cast("binary"), "UTF-8"), "\r?\n"), lambda x: x != "")
     return F.sha2(F.try_element_at(lines, F.lit(-1)), 256)
 
 
