@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions.text import SPACE, canonical
@@ -68,6 +68,14 @@ def is_unsafe(text: Column, mark: str = MARK) -> Column:
     return text.rlike(recall_marker(mark)) | text.rlike(PSEUDO_ROLE) | text.rlike(INJECTION)
 
 
+def applied(df: DataFrame, raw: str = "text", compose: bool = False, mark: str = MARK) -> DataFrame:
+    """`df` with canonical, rejected_by, clean, disposition and auto_eligible, each made once from the one before."""
+    df = df.withColumn("canonical", canonical(F.col(raw), compose)).withColumn("rejected_by", rejection(F.col("canonical")))
+    df = df.withColumn("clean", F.when(F.col("rejected_by").isNull(), redact(F.col("canonical"))))
+    disposition = F.when(F.col("rejected_by").isNotNull(), "reject").when(F.col("clean") != F.col("canonical"), "redacted").otherwise("allow")
+    return df.withColumns({"disposition": disposition, "auto_eligible": F.coalesce(~is_unsafe(F.col("clean"), mark), F.lit(False))})
+
+
 def decide(raw: Column, compose: bool = False, mark: str = MARK) -> Column:
     """struct(disposition: allow, redacted or reject; auto_eligible; text; rule_ids) of a raw text."""
     text = canonical(raw, compose)

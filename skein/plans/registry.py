@@ -105,13 +105,13 @@ def _seeded(spark, d):
 SELECT doc_id, CASE WHEN {D.sql_rejects('t')} THEN 'reject' WHEN after <> t THEN 'redacted' ELSE 'allow' END AS disposition,
   CASE WHEN {D.sql_rejects('t')} THEN FALSE ELSE NOT {D.sql_unsafe('after')} END AS auto_eligible, CASE WHEN {D.sql_rejects('t')} THEN '' ELSE after END AS text FROM r""")
 def policy_decision(spark, d):
-    return _seeded(spark, d).select("doc_id", policy.decide(F.col("text")).alias("p")).select("doc_id", "p.disposition", "p.auto_eligible", "p.text")
+    return policy.applied(_seeded(spark, d)).select("doc_id", "disposition", "auto_eligible", F.coalesce("clean", F.lit("")).alias("text"))
 
 
 @query(f"""WITH {_SEEDED}, c AS (SELECT {D.sql_canonical('text')} AS t FROM seeded), r AS (SELECT *, {D.sql_redact('t')} AS after FROM c)
 SELECT CASE WHEN {D.sql_rejects('t')} THEN 'reject' WHEN after <> t THEN 'redacted' ELSE 'allow' END AS disposition, count(*) AS n FROM r GROUP BY ALL""")
 def policy_histogram(spark, d):
-    return _seeded(spark, d).select(policy.decide(F.col("text")).alias("p")).groupBy("p.disposition").agg(F.count("*").alias("n"))
+    return policy.applied(_seeded(spark, d)).groupBy("disposition").agg(F.count("*").alias("n"))
 
 
 @query(rf"""SELECT conv_id, turn, regexp_replace(regexp_replace(chr(27) || '[31m' || text || chr(27) || '[0m' || chr(7), '\x1B\[[0-9;]*m', '', 'g'), '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g') AS shown FROM conversations""")

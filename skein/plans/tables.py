@@ -38,13 +38,15 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chunked(entries: DataFrame) -> DataFrame:
     """Chunks of entries that the policy keeps, with their keys."""
-    kept = entries.withColumn("d", policy.decide(F.col("text"))).where("d.disposition <> 'reject'")
-    each = kept.select("*", F.posexplode(chunker.chunks(F.col("d.text"))).alias("chunk_index", "chunk"))
+    # Rejected texts have no pieces.  A filter before the outer explode would be pushed below all that makes the pieces, and all of
+    # that would be computed a second time for it.
+    pieces = policy.applied(entries).withColumn("pieces", chunker.chunks(F.col("clean")))
+    each = pieces.select("*", F.posexplode_outer("pieces").alias("chunk_index", "chunk")).where("chunk IS NOT NULL")
     return each.select(
         keys.source_key(F.col("session_id"), F.col("entry_id"), F.col("block_index"), F.col("chunk_index")).alias("source_key"),
         keys.content_hash(F.col("chunk")).alias("content_hash"),
         "session_id", "entry_id", "block_index", "chunk_index", "origin_project_key", F.lit("verified").alias("provenance"), "role", "occurred_at",
-        F.col("chunk").alias("text"), F.lit(CHUNKER_VERSION).alias("chunker_version"), F.col("d.auto_eligible").alias("auto_eligible"), F.col("d.disposition").alias("disposition"),
+        F.col("chunk").alias("text"), F.lit(CHUNKER_VERSION).alias("chunker_version"), "auto_eligible", "disposition",
     )
 
 
