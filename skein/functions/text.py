@@ -82,7 +82,7 @@ def coverage(x: Column, terms: Column) -> Column:
 def recency(when: Column, as_of: Column) -> Column:
     """0.1 for now, less by 0.0001 a day and never below 0; 0 for a time that can't be read."""
     days = (F.unix_micros(as_of) - F.unix_micros(F.try_to_timestamp(when))) / 86_400_000_000
-    return F.coalesce(F.greatest(F.lit(0.0), 0.1 - F.greatest(F.lit(0.0), days) * 0.0001), F.lit(0.0))
+    return F.when(days.isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), 0.1 - F.greatest(F.lit(0.0), days) * 0.0001))
 
 
 def snippet(x: Column, most: int = SNIPPET_CHARS) -> Column:

@@ -64,7 +64,9 @@ def read(spark: SparkSession, paths: list[str] | str, most_bytes: int = MOST_FIL
     large = df.select("path", "length").where(F.col("length") > most_bytes).first()
     if large:
         raise SizeLimitExceeded(f"a session file has {large.length} bytes")
-    return df
+    # Spark's file sources pass over empty files.
+    empty = [(p, 0, bytearray()) for p in paths if "://" not in p and os.path.exists(p) and not os.path.getsize(p)] if isinstance(paths, list) else []
+    return df.unionByName(spark.createDataFrame(empty, "path string, length long, content binary")) if empty else df
 
 
 def lines(files: DataFrame) -> DataFrame:

@@ -1,11 +1,44 @@
-"""The index on disk."""
+"""The index on disk: Parquet tables in generations, and one small state file that names the current ones.
+
+A change writes new tables beside the old ones and then swaps the state file by a rename, so readers see all of it or nothing.
+Everything goes through Hadoop's file systems; only the state, of fixed size but for the list of roots, is read by the driver.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+import time
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from skein import versions as V
+
+SCHEMAS = {
+    "projects": "project_key string, kind string, normalized_root string",
+    "sessions": "session_id string, root_id string, parent_session string, header_project_key string, file_path string, prefix_hash string, trailing_line_hash string, status string, error_code string, updated_at string, file_size long, scan_byte_offset long",
+    "chunks": "source_key string, content_hash string, policy_version string, session_id string, entry_id string, block_index int, chunk_index int, origin_project_key string, provenance string, role string, occurred_at string, text string, chunker_version string, auto_eligible boolean",
+    "tokens": "source_key string, session_id string, origin_project_key string, content_tokens array<string>, cjk_tokens array<string>, dl long",
+    "exclusions": "session_id string, excluded_at string, reason string",
+    "diagnostics": "at string, session_hash string, code string, detail string, count long",
+}
+FRESH = {
+    "generation": 0,
+    "versions": {"schema": V.SCHEMA_VERSION, "chunker": V.CHUNKER_VERSION, "policy": V.POLICY_VERSION, "projection": V.PROJECTION_VERSION},
+    "config": {"setup_completed": False, "indexing_enabled": False, "auto_recall": False, "manual_limit": 5, "tool_limit": 5, "auto_max_records": 4, "auto_max_tokens": 600, "config_version": 0},
+    "projection_status": "ready",
+    "roots": {},
+    "tables": {},
+}
+
+
+class StoreError(RuntimeError):
+    def __init__(self, code: str, text: str = ""):
+        super().__init__(text or code)
+        self.code = code
+
 
 def upsert(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     """`old` with the rows of `new` in place of those with the same key; of several new rows of a key one stays."""
@@ -16,3 +49,158 @@ def upsert(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
 def replace_groups(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     """`old` without any row whose key occurs in `new`, and all rows of `new`."""
     return old.join(new.select(*key).distinct(), key, "left_anti").unionByName(new)
+
+
+def now() -> str:
+    return time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime())
+
+
+class Store:
+    def __init__(self, spark: SparkSession, home: str):
+        self.spark, self.home = spark, home.rstrip("/")
+        jvm = spark.sparkContext._jvm
+        self._path = lambda name: jvm.org.apache.hadoop.fs.Path(f"{self.home}/{name}")
+        self._fs = self._path("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._bytes = lambda text: bytearray(text.encode())
+        self.state = self._load()
+
+    def _read(self, name: str) -> str:
+        stream = self._fs.open(self._path(name))
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+
+    def _load(self) -> dict:
+        if not self._fs.exists(self._path("state.json")):
+            return json.loads(json.dumps(FRESH))
+        state = json.loads(self._read("state.json"))
+        if state["versions"] != FRESH["versions"]:
+            state["projection_status"] = "degraded"
+            state["config"]["auto_recall"] = False
+        return state
+
+    def _save(self) -> None:
+        name = f"state-{uuid.uuid4().hex}.json"
+        out = self._fs.create(self._path(name), True)
+        out.write(self._bytes(json.dumps(self.state)))
+        out.close()
+        # A rename over the old state: other file systems than HDFS and local ones may need their own way.
+        if self._fs.exists(self._path("state.json")):
+            self._fs.delete(self._path("state.json"), False)
+        self._fs.rename(self._path(name), self._path("state.json"))
+
+    def table(self, name: str) -> DataFrame:
+        path = self.state["tables"].get(name)
+        return self.spark.read.schema(SCHEMAS[name]).parquet(path) if path else self.spark.createDataFrame([], SCHEMAS[name])
+
+    def publish(self, tables: dict[str, DataFrame] | None = None, **changes) -> None:
+        """Writes these tables as the next generation and makes them and the changes of the state current at once."""
+        generation = self.state["generation"] + bool(tables)
+        new = {}
+        for name, df in (tables or {}).items():
+            new[name] = f"{self.home}/generations/{generation}-{uuid.uuid4().hex[:8]}/{name}"
+            columns = [c.split()[0] for c in SCHEMAS[name].split(", ")]
+            df.select(*columns).write.parquet(new[name])
+        self.state = {**self.state, **changes, "generation": generation, "tables": {**self.state["tables"], **new}}
+        self._save()
+
+    def configure(self, **patch) -> dict:
+        unknown = set(patch) - set(self.state["config"])
+        if unknown:
+            raise StoreError("config-invalid", f"unknown settings: {sorted(unknown)}")
+        config = {**self.state["config"], **patch}
+        config["config_version"] += 1
+        self.publish(config=config)
+        return config
+
+    def set_projection_status(self, status: str) -> None:
+        config = dict(self.state["config"])
+        if status != "ready":
+            config["auto_recall"] = False
+        self.publish(projection_status=status, config=config)
+
+    def exclude(self, session: str, reason: str = "user") -> None:
+        """The session's chunks go; later scans pass it over."""
+        gone = F.col("session_id") == session
+        row = self.spark.createDataFrame([(session, now(), reason)], SCHEMAS["exclusions"])
+        status = F.when(gone, "excluded").otherwise(F.col("status"))
+        self.publish({"chunks": self.table("chunks").where(~gone), "tokens": self.table("tokens").where(~gone), "exclusions": upsert(self.table("exclusions"), row, ["session_id"]), "sessions": self.table("sessions").withColumn("status", status)})
+
+    def include(self, session: str, rescan: bool = False) -> None:
+        """The session may be indexed again: at the next rebuild, or with `rescan` at the next scan."""
+        mine = F.col("session_id") == session
+        sessions = self.table("sessions").withColumn("status", F.when(mine, "active").otherwise(F.col("status")))
+        if rescan:
+            sessions = self._without_cursor(sessions, mine)
+        self.publish({"exclusions": self.table("exclusions").where(~mine), "sessions": sessions})
+
+    def reconcile(self, session: str) -> None:
+        """Marks a session as being replaced: it is hidden from search and nothing of it is recalled."""
+        mine = F.col("session_id") == session
+        chunks = self.table("chunks").withColumn("auto_eligible", F.col("auto_eligible") & ~mine)
+        self.publish({"chunks": chunks, "sessions": self.table("sessions").withColumn("status", F.when(mine, "reconciling").otherwise(F.col("status")))})
+
+    @staticmethod
+    def _without_cursor(sessions: DataFrame, which: Column) -> DataFrame:
+        for name, empty in (("prefix_hash", None), ("trailing_line_hash", None), ("file_size", 0), ("scan_byte_offset", 0)):
+            sessions = sessions.withColumn(name, F.when(which, F.lit(empty)).otherwise(F.col(name)))
+        return sessions
+
+    def clear(self) -> None:
+        """All bodies go and all cursors are reset: the next scan indexes everything again."""
+        none = F.lit(False)
+        self.publish({"chunks": self.table("chunks").where(none), "tokens": self.table("tokens").where(none), "sessions": self._without_cursor(self.table("sessions"), F.lit(True))})
+
+    def purge(self) -> None:
+        """As `clear`, but excluded sessions keep their cursors, and indexing and automatic recall are switched off."""
+        none = F.lit(False)
+        config = {**self.state["config"], "indexing_enabled": False, "auto_recall": False}
+        self.publish({"chunks": self.table("chunks").where(none), "tokens": self.table("tokens").where(none), "sessions": self._without_cursor(self.table("sessions"), F.col("status") != "excluded")}, config=config)
+
+    def delete(self) -> None:
+        with self.lease("purge-data"):
+            self._fs.delete(self._path(""), True)
+        self.state = json.loads(json.dumps(FRESH))
+
+    def lease(self, holder: str, seconds: int = V.LEASE_SECONDS) -> Lease:
+        return Lease(self, holder, seconds)
+
+    def diagnose(self, code: str, detail: str = "", session_hash: str | None = None, count: int = 1) -> None:
+        """Adds a diagnostic: one line, at most 500 characters."""
+        row = self.spark.createDataFrame([(now(), session_hash, code, " ".join(detail.split())[:500], count)], SCHEMAS["diagnostics"])
+        self.publish({"diagnostics": self.table("diagnostics").unionByName(row)})
+
+    def integrity(self) -> dict:
+        """Whether the full-text projection has a row for each chunk and is of these versions."""
+        chunks, tokens = self.table("chunks").count(), self.table("tokens").count()
+        same = self.state["versions"] == FRESH["versions"]
+        ready = chunks == tokens and same and self.state["projection_status"] == "ready"
+        return {"chunks": chunks, "indexed": tokens, "versions_match": same, "status": self.state["projection_status"], "ready": ready}
+
+
+class Lease:
+    """One writer at a time: a file that only one can create, with an end that lets others take over a dead one's place."""
+
+    def __init__(self, store: Store, holder: str, seconds: int):
+        self.store, self.holder, self.seconds, self.token = store, holder, seconds, uuid.uuid4().hex
+
+    def __enter__(self) -> Lease:
+        fs, path = self.store._fs, self.store._path("lease.json")
+        if fs.exists(path):
+            held = json.loads(self.store._read("lease.json"))
+            if held["until"] > time.time():
+                raise StoreError("lease-held", f"held by {held['holder']}")
+            fs.delete(path, False)
+        try:
+            out = fs.create(path, False)
+        except Exception as error:
+            raise StoreError("lease-held", "another writer came first") from error
+        out.write(self.store._bytes(json.dumps({"holder": self.holder, "token": self.token, "until": time.time() + self.seconds})))
+        out.close()
+        return self
+
+    def __exit__(self, *_) -> None:
+        fs, path = self.store._fs, self.store._path("lease.json")
+        if fs.exists(path) and json.loads(self.store._read("lease.json"))["token"] == self.token:
+            fs.delete(path, False)
