@@ -49,7 +49,8 @@ def accents() -> tuple[str, str]:
 
 
 def fold(x: Column) -> Column:
-    return F.translate(F.lower(x), *accents())
+    ascii_only = F.octet_length(x) == F.length(x)  # translate looks up each character
+    return F.when(ascii_only, F.lower(x)).otherwise(F.translate(F.lower(x), *accents()))
 
 
 def tokens(x: Column) -> Column:

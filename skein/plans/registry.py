@@ -98,7 +98,7 @@ def _seeded(spark, d):
     chosen = text
     for i, k in enumerate(kinds, 1):
         chosen = F.when(F.col("doc_id") % 9 == i, k).otherwise(chosen)
-    return table(spark, d, "documents").select("doc_id", chosen.alias("text"))
+    return D.spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", chosen.alias("text"))
 
 
 @query(f"""WITH {_SEEDED}, c AS (SELECT doc_id, {D.sql_canonical('text')} AS t FROM seeded), r AS (SELECT *, {D.sql_redact('t')} AS after FROM c)
@@ -161,7 +161,7 @@ def query_terms(spark, d):
 
 @query(f"SELECT token, count(DISTINCT doc_id) AS df, count(*) AS occurrences FROM (SELECT doc_id, unnest({D.sql_tokens('text')}) AS token FROM documents) GROUP BY token")
 def token_df(spark, d):
-    each = table(spark, d, "documents").select("doc_id", F.explode(X.tokens(F.col("text"))).alias("token")).groupBy("token", "doc_id").agg(F.count("*").alias("f"))
+    each = D.spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.explode(X.tokens(F.col("text"))).alias("token")).groupBy("token", "doc_id").agg(F.count("*").alias("f"))
     return each.groupBy("token").agg(F.count("*").alias("df"), F.sum("f").alias("occurrences"))
 
 
@@ -182,7 +182,7 @@ def doc_length(spark, d):
 
 
 def _bm25(spark, d, text):
-    indexed = fts.tokenized(D.chunked(D.posts(spark, d)))
+    indexed = cut(fts.tokenized(D.chunked(D.posts(spark, d))).drop("text"))  # as a stored index would be
     ranked = fts.bm25(fts.postings(indexed), fts.corpus_stats(indexed), fts.phrases(spark, [(0, text)]))
     return ranked.select("source_key", F.round("bm25", 6).alias("bm25"))
 
@@ -210,7 +210,7 @@ _COLUMNS = "source_key, session_id, entry_id, role, origin_project_key, snippet,
 
 
 def _search(spark, d, entries, text, **options):
-    chunks = D.chunked(entries(spark, d))
+    chunks = cut(D.chunked(entries(spark, d)))  # as a stored index would be
     indexed = fts.tokenized(chunks)
     active = chunks.select("session_id").distinct().withColumn("status", F.lit("active"))
     found = search.search(fts.postings(indexed), fts.corpus_stats(indexed), chunks, active, {0: text}, D.AS_OF, search.Options(**options))

@@ -17,6 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """`df`, dealt out to all cores if it comes in fewer pieces than there are: a single small file.  Large tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def said(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of conversations that can be indexed, as entries of sessions of ten projects."""
     turns = table(spark, sf_dir, "conversations").where(policy.is_indexable_role(F.col("role")))
@@ -30,7 +36,7 @@ def said(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents, each a session with one message of a user, in a project by source."""
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select(
         F.col("doc_id").cast("string").alias("session_id"), F.lit("0").alias("entry_id"), F.lit(0).alias("block_index"), F.lit("user").alias("role"),
         F.col("source").alias("origin_project_key"), F.lit("2025-01-01T00:00:00Z").alias("occurred_at"), "text",
     )
