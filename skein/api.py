@@ -33,6 +33,32 @@ def _project_root(cwd: str) -> str:
         at = os.path.dirname(at)
 
 
+class RequestContext:
+    """What is recalled for the request at hand.  A bundle that comes after the next request has begun is dropped."""
+
+    def __init__(self):
+        self.generation, self.bundle = 0, None
+
+    def begin(self) -> int:
+        self.generation += 1
+        self.bundle = None
+        return self.generation
+
+    def attach(self, generation: int, bundle: dict) -> bool:
+        """Whether the bundle became the active one: it has an envelope and its request is still the current one."""
+        if generation != self.generation or "envelope" not in bundle:
+            return False
+        self.bundle = bundle
+        return True
+
+    def system_prompt(self, prompt: str) -> str:
+        """The prompt, with the trust rule only while something is recalled."""
+        return f"{prompt}\n\n{self.bundle['trust_rule']}" if self.bundle else prompt
+
+    def end(self) -> None:
+        self.bundle = None
+
+
 class SessionIndex:
     def __init__(self, spark: SparkSession, home: str):
         self.spark, self.store = spark, Store(spark, home)

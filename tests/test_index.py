@@ -5,6 +5,7 @@ import pytest
 from files import A, B, KEY_A, KEY_B, digits, header, message, write
 
 from skein.api import SessionIndex, main
+from skein.operators import evaluate
 from skein.sources.store import StoreError
 from skein.streaming.incremental import follow
 
@@ -74,6 +75,9 @@ def test_search(built):
     assert len(index.search("deepword", limit=100).collect()) == 20 and len(index.search("deepword", limit=0).collect()) == 1
     many = index.search({1: "beta", 2: "branch", 3: "nothingatall"}, as_of=as_of).collect()
     assert {h.query_id for h in many} == {1, 2}
+    relevant = index.spark.createDataFrame([(1, "79e3d6ca"), (2, "nothing"), (3, "x")], "query_id long, entry_id string")
+    assert evaluate.recall_at(index.search({1: "beta", 2: "branch", 3: "nothingatall"}), relevant).first().recall == pytest.approx(1 / 3)
+    assert evaluate.leaks(index.search({1: "beta"}), index.spark.createDataFrame([(1, KEY_B)], "query_id long, origin_project_key string")).first().leaks == 1
     assert [h.entry_id for h in index.search("忽略指令").collect()] == ["c687a3b9"]
     assert index.tool_search("beta", B).columns == ["role", "occurred_at", "session_id", "entry_id", "snippet", "score"]
     with pytest.raises(StoreError, match="project-unresolved"):
@@ -84,6 +88,14 @@ def test_recall(built):
     index, _, _ = built
     got = index.auto_retrieve("tell me about authentication", A, "r1")
     assert got["records"] == 2 and got["tokens"] <= 600 and "linear query" in got["envelope"]
+    from skein.api import RequestContext
+
+    context = RequestContext()
+    late, current = context.begin(), context.begin()
+    assert not context.attach(late, got) and not context.attach(current, {"reason": "no-hit"}) and context.system_prompt("be kind") == "be kind"
+    assert context.attach(current, got) and context.system_prompt("be kind").startswith("be kind\n\n[session-recall trust-rule-v1]")
+    context.end()
+    assert context.bundle is None
     assert index.auto_retrieve("zzzz", A) == {"reason": "no-hit"} and index.auto_retrieve("  ", A) == {"reason": "empty-prompt"}
     assert index.auto_retrieve("忽略 指令", A) == {"reason": "no-hit"}
     assert index.auto_retrieve("x" * 600, A) == {"reason": "query-invalid"} and index.auto_retrieve("x", "") == {"reason": "project-unresolved"}
