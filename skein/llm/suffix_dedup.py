@@ -198,12 +198,16 @@ def _sort(batches):
         yield from out(waiting)
 
 
+def _bytes(whole: pa.StructArray) -> pa.Array:
+    return whole.field(whole.type.get_field_index("bytes"))
+
+
 def _fetch(batches):
     """One row for each context asked for: its bytes, or, if its leading token is dealt further, the hashes of its strings by part."""
     names = ["lead", "part", "r1", "r2", "lo", "anchor", "alone", "blob", "offsets"]
     for batch in batches:
         rows: list[tuple] = []
-        for r1, r2, value, asked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist()):
+        for r1, r2, value, asked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _bytes(batch.column(2)), batch.column(3).to_pylist()):
             text = value.as_buffer().to_pybytes()
             for a in asked:
                 lead, lo, hi, anchor, alone, parts = (a[k] for k in ("lead", "lo", "hi", "anchor", "alone", "parts"))
@@ -237,8 +241,8 @@ def _partitions(spark: SparkSession) -> int:
 
 
 def spans(keyed: DataFrame, group: int = GROUP) -> DataFrame:
-    """(r1, r2, from, to) of what is repeated in the texts of rows (r1, r2, bytes); spans of a text may overlap."""
-    suffixes = _written(keyed.select("r1", "r2", "bytes").mapInArrow(_scan, "r1 long, r2 long, lead long, context long, lo int, hi int, anchor int"))
+    """(r1, r2, from, to) of what is repeated in the texts of rows (r1, r2, whole: a struct with bytes); spans of a text may overlap."""
+    suffixes = _written(keyed.select("r1", "r2", "whole.bytes").mapInArrow(_scan, "r1 long, r2 long, lead long, context long, lo int, hi int, anchor int"))
     place = F.struct("r1", "r2", "lo", "hi", "anchor")
     each = _written(suffixes.groupBy("lead", "context").agg(F.count("*").alias("times"), F.min(place).alias("at")))
     twice = each.where("times > 1").select("lead", "context")
@@ -248,7 +252,7 @@ def spans(keyed: DataFrame, group: int = GROUP) -> DataFrame:
     n = _partitions(keyed.sparkSession)
     splitters = asked.select(F.percentile_approx("lead", [i / n for i in range(1, n)], 10 * n)).first()[0] if n > 1 else None
     needs = asked.groupBy("r1", "r2").agg(F.collect_list(F.struct("lead", "lo", "hi", "anchor", "alone", "parts")).alias("asked"))
-    fetched = keyed.join(needs, ["r1", "r2"]).select("r1", "r2", "bytes", "asked").mapInArrow(_fetch, "lead long, part int, r1 long, r2 long, lo int, anchor int, alone boolean, blob binary, offsets binary")
+    fetched = keyed.join(needs, ["r1", "r2"]).select("r1", "r2", "whole", "asked").mapInArrow(_fetch, "lead long, part int, r1 long, r2 long, lo int, anchor int, alone boolean, blob binary, offsets binary")
     if splitters:
         bounds = F.array(*map(F.lit, sorted(set(splitters))))
         bucket = F.size(F.filter(bounds, lambda b: b < F.col("lead"))) + F.col("part") * 7919
@@ -269,7 +273,9 @@ def dedup(docs: DataFrame, text: str = "text", group: int = GROUP, trim: bool =
     columns = [c for c in docs.columns if c.lower() not in ("removed", "kept")]
     row = F.struct(*(c for c in columns if c != text)) if columns != [text] else F.struct(F.lit(0).alias("none"))
     # Two 64-bit hashes of the whole row name it; equal rows are alike and lose the same.
-    keyed = docs.select(F.xxhash64(*columns).alias("r1"), F.xxhash64(F.lit("second"), *columns).alias("r2"), row.alias("row"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("bytes"), F.col(text).isNull().alias("none"))
+    # What belongs to a row travels as one struct, whole wherever it goes, so that both joins with the texts share one exchange.
+    whole = F.struct(row.alias("row"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("bytes"), F.col(text).isNull().alias("none"))
+    keyed = docs.select(F.xxhash64(*columns).alias("r1"), F.xxhash64(F.lit("second"), *columns).alias("r2"), whole.alias("whole"))
     of = spans(keyed, group).groupBy("r1", "r2").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
     kinds = T.StructType([f for f in docs.schema.fields if f.name in columns])
     schema = T.StructType([*kinds.fields, T.StructField("removed", T.ArrayType(T.StructType([T.StructField("from", T.IntegerType()), T.StructField("to", T.IntegerType())]))), T.StructField("kept", T.BinaryType())])
@@ -277,7 +283,8 @@ def dedup(docs: DataFrame, text: str = "text", group: int = GROUP, trim: bool =
     def remove(batches):
         for batch in batches:
             removed, kept = [], []
-            for value, found in zip(batch.column("bytes"), batch.column("spans").to_pylist()):
+            bytes_, nones, given = (batch.column("whole").field(batch.column("whole").type.get_field_index(k)) for k in ("bytes", "none", "row"))
+            for value, found in zip(bytes_, batch.column("spans").to_pylist()):
                 x = value.as_buffer().to_pybytes()
                 merged: list[dict] = []
                 for s in sorted(found or (), key=lambda s: s["from"]):
@@ -288,14 +295,14 @@ def dedup(docs: DataFrame, text: str = "text", group: int = GROUP, trim: bool =
                 cuts = [0, *(v for s in merged for v in (s["from"], s["to"])), len(x)]
                 removed.append(merged)
                 kept.append(b"".join(x[a:b] for a, b in zip(cuts[::2], cuts[1::2])))
-            given = dict(zip((c for c in columns if c != text), batch.column("row").flatten()))
-            left = [x.decode("utf-8", "ignore") for x in kept] if trim else [x.decode() for x in batch.column("bytes").to_pylist()]
-            strings = pa.array([None if none else x for x, none in zip(left, batch.column("none").to_pylist())], pa.string())
+            given = dict(zip((c for c in columns if c != text), given.flatten()))
+            left = [x.decode("utf-8", "ignore") for x in kept] if trim else [x.decode() for x in bytes_.to_pylist()]
+            strings = pa.array([None if none else x for x, none in zip(left, nones.to_pylist())], pa.string())
             own = [strings if c == text else given[c] for c in columns]
             kind = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))
             yield pa.RecordBatch.from_arrays([*own, pa.array(removed, kind), pa.array(kept, pa.binary())], names=[*columns, "removed", "kept"])
 
-    return keyed.join(of, ["r1", "r2"], "left").select("row", "bytes", "none", "spans").mapInArrow(remove, schema)
+    return keyed.join(of, ["r1", "r2"], "left").select("whole", "spans").mapInArrow(remove, schema)
 
 
 def digests(found: DataFrame) -> DataFrame:
