@@ -187,7 +187,7 @@ class SessionIndex:
             options["project"] = self.project_key(cwd)
         tokens = self.store.table("tokens")
         options.setdefault("limit", self.store.state["config"]["manual_limit"])
-        return search.search(fts.postings(tokens), fts.corpus_stats(tokens), self.store.table("chunks"), self.store.table("sessions"), queries, as_of or now(), search.Options(**options))
+        return search.search(tokens, fts.corpus_stats(tokens), self.store.table("chunks"), self.store.table("sessions"), queries, as_of or now(), search.Options(**options))
 
     def tool_search(self, query: str, cwd: str, limit: int = V.DEFAULT_LIMIT) -> DataFrame:
         return search.safe_hits(self.search(query, "project", cwd, limit=limit, most=V.TOOL_MOST))

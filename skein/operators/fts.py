@@ -32,10 +32,15 @@ def tokenized(chunks: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn("dl", (F.size("content_tokens") + F.size("cjk_tokens")).cast("long"))
 
 
-def postings(indexed: DataFrame) -> DataFrame:
-    """(token, field, source_key, origin_project_key, dl, positions) of rows of `tokenized`."""
+def postings(indexed: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """(token, field, source_key, origin_project_key, dl, positions) of rows of `tokenized`.
+
+    With `wanted`, the phrases of queries, only postings of their tokens: the others go before anything is shuffled.
+    """
     fields = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f"{f}_tokens").alias("of")) for f in ("content", "cjk")))
     each = indexed.select("source_key", "origin_project_key", "dl", F.explode(fields).alias("f")).select("source_key", "origin_project_key", "dl", F.col("f.field").alias("field"), F.posexplode("f.of").alias("pos", "token"))
+    if wanted is not None:
+        each = each.join(F.broadcast(wanted.select("token").distinct()), "token", "left_semi")
     return each.groupBy("token", "field", "source_key", "origin_project_key", "dl").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
 
 

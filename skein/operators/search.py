@@ -45,14 +45,15 @@ def first_of_each_text(df: DataFrame) -> DataFrame:
     return df.withColumn("nth", F.row_number().over(w)).where("nth = 1").drop("nth")
 
 
-def search(index: DataFrame, stats: DataFrame, chunks: DataFrame, sessions: DataFrame, queries: dict[int, str], as_of: str, options: Options = Options()) -> DataFrame:
+def search(tokens: DataFrame, stats: DataFrame, chunks: DataFrame, sessions: DataFrame, queries: dict[int, str], as_of: str, options: Options = Options()) -> DataFrame:
     """Hits of each query, best first: query_id, source_key, session_id, entry_id, role, origin_project_key, occurred_at,
     content_hash, text, snippet, truncated, coverage, score.
 
     The project filter comes before the 256 best matches are taken, all other filters after it.  Ties go by source_key.
     """
     spark = chunks.sparkSession
-    ranked = fts.bm25(index, stats, fts.phrases(spark, queries.items()))
+    wanted = fts.phrases(spark, queries.items())
+    ranked = fts.bm25(fts.postings(tokens, wanted), stats, wanted)
     if options.project is not None:
         ranked = ranked.where(F.col("origin_project_key") == options.project)
     matches = _top(ranked, MATCH_LIMIT, F.col("bm25"), F.col("source_key")).select("query_id", "source_key", "bm25")

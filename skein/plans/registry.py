@@ -183,7 +183,8 @@ def doc_length(spark, d):
 
 def _bm25(spark, d, text):
     indexed = cut(fts.tokenized(D.chunked(D.posts(spark, d))).drop("text"))  # as a stored index would be
-    ranked = fts.bm25(fts.postings(indexed), fts.corpus_stats(indexed), fts.phrases(spark, [(0, text)]))
+    wanted = fts.phrases(spark, [(0, text)])
+    ranked = fts.bm25(fts.postings(indexed, wanted), fts.corpus_stats(indexed), wanted)
     return ranked.select("source_key", F.round("bm25", 6).alias("bm25"))
 
 
@@ -213,7 +214,7 @@ def _search(spark, d, entries, text, **options):
     chunks = cut(D.chunked(entries(spark, d)))  # as a stored index would be
     indexed = fts.tokenized(chunks)
     active = chunks.select("session_id").distinct().withColumn("status", F.lit("active"))
-    found = search.search(fts.postings(indexed), fts.corpus_stats(indexed), chunks, active, {0: text}, D.AS_OF, search.Options(**options))
+    found = search.search(indexed, fts.corpus_stats(indexed), chunks, active, {0: text}, D.AS_OF, search.Options(**options))
     return found.select("source_key", "session_id", "entry_id", "role", "origin_project_key", "snippet", "truncated", F.round("coverage", 6).alias("coverage"), F.round("score", 6).alias("score"))
 
 
