@@ -34,21 +34,35 @@ class Pieces:
         names = [model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
         self.ids = {x: i for i, x in enumerate(dict.fromkeys(names), 2)}
         self.size, self.longest = len(self.ids) + 2, max(map(len, names))
+        # The pieces as a trie: edges (node, character) in order, and of each the node below and the piece that ends there, or 0.
+        nodes, below = {"": 0}, []
+        for x in self.ids:
+            for k in range(1, len(x) + 1):
+                if x[:k] not in nodes:
+                    nodes[x[:k]] = len(nodes)
+                    below.append((nodes[x[: k - 1]] << 21 | ord(x[k - 1]), nodes[x[:k]], self.ids.get(x[:k], 0)))
+        self.edges, self.below, self.ending = (np.array(v) for v in zip(*sorted(below)))
 
     def lattice(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(at, lengths): at[w, t, k] is the id of the piece of k + 1 characters that ends at character t of the marked word w."""
-        get, most = self.ids.get, self.longest
         lengths = np.array([len(w) + 1 for w in words])
-        at = np.zeros((len(words), lengths.max() + 1, most), np.int32)
-        for w, word in enumerate(words):
-            word, row = START + word, at[w]
-            n = len(word)
-            for s in range(n):
-                for e in range(s + 1, min(s + most, n) + 1):
-                    if i := get(word[s:e]):
-                        row[e, e - s - 1] = i
-                    elif e == s + 1:
-                        row[e, 0] = 1
+        at = np.zeros((len(words), lengths.max() + 1, self.longest), np.int32)
+        # All characters walk down the trie at once; a word ends with a character that has no edge.
+        flat = np.frombuffer("".join(f"{START}{w}\0" for w in words).encode("utf-32-le"), np.uint32).astype(np.int64)
+        word = np.repeat(np.arange(len(words)), lengths + 1)
+        begin = np.cumsum(lengths + 1) - lengths - 1
+        start = np.flatnonzero(np.arange(len(flat)) - begin[word] < lengths[word])
+        at[word[start], start - begin[word[start]] + 1, 0] = 1
+        node = np.zeros(len(start), np.int64)
+        for k in range(self.longest):
+            key = node << 21 | flat[start + k]
+            edge = np.minimum(np.searchsorted(self.edges, key), len(self.edges) - 1)
+            on = self.edges[edge] == key
+            start, edge = start[on], edge[on]
+            node, piece = self.below[edge], self.ending[edge]
+            hit = piece > 0
+            w = word[start[hit]]
+            at[w, start[hit] - begin[w] + k + 1, k] = piece[hit]
         return at, lengths
 
 
