@@ -85,10 +85,13 @@ class Store:
         out = self._fs.create(self._path(name), True)
         out.write(self._bytes(json.dumps(self.state)))
         out.close()
-        # A rename over the old state: other file systems than HDFS and local ones may need their own way.
-        if self._fs.exists(self._path("state.json")):
-            self._fs.delete(self._path("state.json"), False)
-        self._fs.rename(self._path(name), self._path("state.json"))
+        # One rename over the old state: readers find the old one or the new one.
+        sc = self.spark.sparkContext
+        fs = sc._jvm.org.apache.hadoop.fs
+        how = sc._gateway.new_array(getattr(fs, "Options$Rename"), 1)
+        how[0] = getattr(fs, "Options$Rename").OVERWRITE
+        whole = self._fs.makeQualified(self._path(name))
+        fs.FileContext.getFileContext(whole.toUri(), sc._jsc.hadoopConfiguration()).rename(whole, self._fs.makeQualified(self._path("state.json")), how)
 
     def table(self, name: str) -> DataFrame:
         path = self.state["tables"].get(name)
