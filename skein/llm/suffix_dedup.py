@@ -2,7 +2,7 @@
 
 Every string of `length` bytes contains places where a suffix may start; the one whose leading 32-byte token has the lowest hash
 is the string's anchor.  Equal strings have equal anchors at equal offsets, so only suffixes that begin at anchors (one in about
-180 bytes of prose) have to be sorted: all others would not fit on disk.
+120 bytes of prose) have to be sorted: all others would not fit on disk.
 
 Runs of neighbouring strings with one anchor are a context.  Contexts that occur twice are repeated as a whole.  For the others,
 suffixes are dealt to range partitions by leading token, with splitters from a sample of the tokens, and each partition sorts its
