@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import bpe, common, langid, mixing, simhash, suffix_dedup
+from skein.llm import bpe, common, langid, mixing, near_copies, suffix_dedup
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,8 +17,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of SimHash near-duplicates, the document with the smallest id stays."""
-    return simhash.near_dedup(docs)
+    """Of each group of near copies by five-word shingles, the document with the smallest id stays."""
+    return near_copies.dedup(docs)
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +51,7 @@ STAGES = [
     ("encode", encode),
 ]
 
-#: The model of a language, a SimHash and the merging of tokens are beyond SQL; the stages are tested against brute force.
+#: The model of a language, chains of near copies and the merging of tokens are beyond SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 

@@ -74,3 +74,20 @@ def texts(batch: pa.RecordBatch, name: str) -> list[str]:
 def held_out(doc_id) -> F.Column:
     """Whether labels of this document are for measuring only."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))
+
+
+def row_hash(df: DataFrame) -> F.Column:
+    """128 bits of hash of all columns, as text.  xxhash64 passes over nulls, so it takes where they are as well."""
+    of = [x for c in df.columns for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))]
+    return F.concat(F.hex(F.xxhash64(*of)), F.lit("-"), F.hex(F.xxhash64(F.lit(1), *of)))
+
+
+def one_of_each(docs: DataFrame, classes: DataFrame, id: str) -> DataFrame:
+    """The row of `docs` with the lowest id, nulls last, and then the lowest row hash of each root; classes: (id, row, root).
+
+    Equal rows have equal hashes; one of them stays.  The join and this choice share one exchange of the texts.
+    """
+    order = F.struct(F.col(id).isNull().alias("none"), F.col(id).alias("id"), F.col("row").alias("row"))
+    name = f"row_{uuid.uuid4().hex}"
+    kept = classes.groupBy("root").agg(F.min(order).alias("of")).select(F.col("of.row").alias(name)).distinct()
+    return docs.withColumn(name, row_hash(docs)).join(kept, name, "left_semi").dropDuplicates([name]).drop(name)

@@ -1,0 +1,149 @@
+"""Near copies: texts whose sets of five-word shingles have a Jaccard similarity of at least 0.8.
+
+Equal sets are folded first.  Candidates are sets that agree in a band of ROWS MinHash values: with 32 bands of 5 a pair of
+similarity 0.8 is missed with a probability of 3 in a million, a more similar one more rarely.  Every link is verified by the
+exact similarity.  Each band group first meets its lowest set only; then pairs that are still in different components meet.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from . import common
+from .components import components
+
+SEED, WIDTH = 42, 5
+BANDS, ROWS = 32, 5
+#: Two sets are near copies if NUM / DEN of their union is common.
+NUM, DEN = 4, 5
+#: Least agreeing bytes of two sketches of 160 for an exact comparison: six standard deviations below what 0.8 gives.
+AGREE = 96
+#: The most shingles or pairs of a group that are compared at once.
+BLOCK = 2048
+
+_rng = np.random.default_rng(SEED)
+_MULTIPLY = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ADD = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+_PLACES = _rng.integers(0, 1 << 63, WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def shingles(text: str) -> np.ndarray:
+    """The sorted distinct hashes of the text's word shingles, A-Z lower-cased; a text of fewer words is one shingle."""
+    words, digest = text.encode().lower().split(), xxhash.xxh64_intdigest  # bytes: ASCII letters and white space only
+    if len(words) < WIDTH:
+        return np.array([digest(b" ".join(words), SEED)] if words else [], np.uint64)
+    each = np.fromiter((digest(w, SEED) for w in words), np.uint64, len(words))
+    n = len(words) - WIDTH + 1
+    return np.unique(_mix(sum((each[k : k + n] * _PLACES[k] for k in range(WIDTH)), np.zeros(n, np.uint64))))
+
+
+def signature(found: np.ndarray) -> np.ndarray:
+    """BANDS * ROWS MinHash values of a set that is not empty."""
+    lowest = np.full(BANDS * ROWS, np.uint64(0xFFFFFFFFFFFFFFFF))
+    for i in range(0, len(found), BLOCK):
+        np.minimum(lowest, (_MULTIPLY[:, None] * found[None, i : i + BLOCK] + _ADD[:, None]).min(axis=1), out=lowest)
+    return _mix(lowest)
+
+
+def _described(docs: DataFrame) -> DataFrame:
+    """`docs` with `key` (hash of the shingle set), `n` (its size), `sketch` and `bands`."""
+
+    def make():
+        def run(batch):
+            keys, sizes, sketches, bands = [], [], [], []
+            for text in common.texts(batch, "text"):
+                found = shingles(text)
+                keys.append(xxhash.xxh64_intdigest(found.tobytes(), SEED))
+                sizes.append(len(found))
+                values = signature(found) if len(found) else np.zeros(0, np.uint64)
+                sketches.append(values.astype(np.uint8).tobytes())
+                rows = values.reshape(-1, ROWS)
+                bands.append([xxhash.xxh64_intdigest(r.tobytes(), k) for k, r in enumerate(rows)])
+            signed = lambda x: np.array(x, np.uint64).view(np.int64)
+            return [pa.array(signed(keys)), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), pa.array([signed(b) for b in bands], pa.list_(pa.int64()))]
+
+        return run
+
+    fields = [T.StructField("key", T.LongType()), T.StructField("n", T.LongType()), T.StructField("sketch", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))]
+    return common.append(docs, fields, make, "text")
+
+
+def _sets(texts: DataFrame) -> DataFrame:
+    def make():
+        return lambda batch: [pa.array([shingles(x).view(np.int64) for x in common.texts(batch, "text")], pa.list_(pa.int64()))]
+
+    return common.append(texts, [T.StructField("of", T.ArrayType(T.LongType()))], make, "text").select("key", "of")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (u, v) of keys whose sets have the similarity; sets: (key, of)."""
+    a, b = (sets.select(F.col("key").alias(k), F.col("of").alias(f"of_{k}")) for k in ("u", "v"))
+    both = F.size(F.array_intersect("of_u", "of_v"))
+    return pairs.join(a, "u").join(b, "v").where((NUM + DEN) * both >= NUM * (F.size("of_u") + F.size("of_v"))).select("u", "v")
+
+
+def _crossing(groups: DataFrame) -> DataFrame:
+    """(u, v): pairs of a group whose roots differ and whose sizes and sketches allow the similarity; groups: (members)."""
+
+    def run(batches):
+        for batch in batches:
+            for group in batch.column(0):
+                of = group.values
+                key, root, n = (of.field(x).to_numpy(zero_copy_only=False) for x in ("key", "root", "n"))
+                sketch = np.frombuffer(b"".join(of.field("sketch").to_pylist()), np.uint8).reshape(len(key), -1)
+                order = np.argsort(n, kind="stable")
+                key, root, n, sketch = key[order], root[order], n[order], sketch[order]
+                ends = np.searchsorted(n, n * DEN // NUM, side="right")
+                for i in range(len(key)):
+                    for j in range(i + 1, int(ends[i]), BLOCK):
+                        at = np.arange(j, min(j + BLOCK, int(ends[i])))
+                        at = at[root[at] != root[i]]
+                        at = at[(sketch[at] == sketch[i]).sum(axis=1) >= AGREE]
+                        if len(at):
+                            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(key[at], key[i])), pa.array(np.maximum(key[at], key[i]))], names=["u", "v"])
+
+    return groups.mapInArrow(run, "u long, v long")
+
+
+def classes(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, row, root) for each row of `docs`: `row` its hash, `root` the same for rows that chains of near copies join.
+
+    Null, empty and blank texts have no shingle and are one class.
+    """
+    rows = docs.select(F.col(id).alias("id"), common.row_hash(docs).alias("row"), F.col(text).alias("text"))
+    own = common.cut(_described(rows).drop("text"))
+    banded = own.where("n > 0").select("key", "n", "bands").dropDuplicates(["key"]).select("key", "n", F.explode("bands").alias("band"))
+    first = banded.groupBy("band").agg(F.min(F.struct("key", "n")).alias("first"), F.count("*").alias("c")).where("c > 1").select("band", "first")
+    shared = common.cut(banded.join(first, "band").select("band", "key", "n", "first"))
+    near = (NUM * F.greatest("n", "first.n") <= DEN * F.least("n", "first.n")) & (F.col("key") != F.col("first.key"))
+    stars = common.cut(shared.where(near).select(F.col("first.key").alias("u"), F.col("key").alias("v")).distinct())
+    # The sets of all that may be compared, from one pass over the texts: one row of each key goes to its set.
+    wanted = shared.select("key").distinct()
+    chosen = own.join(wanted, "key", "left_semi").groupBy("key").agg(F.min("row").alias("row"))
+    sets = common.cut(_sets(rows.select("row", "text").join(chosen, "row").dropDuplicates(["row"])))
+    links = common.cut(_verified(stars, sets))
+    found = components(links)
+    placed = shared.join(found, F.col("key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "key"))
+    mixed = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band")
+    members = placed.join(mixed, "band")
+    sketches = own.join(members.select("key").distinct(), "key", "left_semi").select("key", "sketch").dropDuplicates(["key"])
+    groups = members.join(sketches, "key").groupBy("band").agg(F.collect_list(F.struct("key", "root", "n", "sketch")).alias("members")).select("members")
+    rest = common.cut(_crossing(groups).distinct().join(stars, ["u", "v"], "left_anti"))
+    found = components(links.unionByName(_verified(rest, sets)))
+    return own.join(found, F.col("key") == F.col("node"), "left").select(F.col("id").alias(id), "row", F.coalesce("root", "key").alias("root"))
+
+
+def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each class of near copies: the one with the lowest id, nulls last, and among these with the lowest row hash."""
+    return common.one_of_each(docs, classes(docs, id, text), id)
