@@ -133,26 +133,30 @@ def near_links(distinct: DataFrame, radius: int = 4, tile: int = TILE) -> DataFr
     return meet.mapInArrow(compare, "u long, v long")
 
 
+def _rooted(rows: DataFrame, width: int, radius: int, tile: int) -> tuple[DataFrame, DataFrame]:
+    """`rows` (id, text and others) with fingerprints but no text, and (fingerprint, first, root) with the lowest id of each."""
+    own = common.cut(fingerprints(rows, "text", width).drop("text"))
+    distinct = common.cut(own.groupBy("fingerprint").agg(F.min("id").alias("first")))
+    found = components(near_links(distinct.select("fingerprint"), radius, tile))
+    return own, distinct.join(found, F.col("fingerprint") == F.col("node"), "left").select("fingerprint", "first", F.coalesce("root", "fingerprint").alias("root"))
+
+
 def classes(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 4, radius: int = 4, tile: int = TILE) -> DataFrame:
     """(id, fingerprint, component_id) for each row of `docs`: the smallest id that chains of links within `radius` bits reach.
 
     Rows with equal fingerprints are one class, so repeated rows and ties cost nothing; null and empty texts have fingerprint 0
     and link like any other.  A class whose ids are all null has a null component.
     """
-    own = common.cut(fingerprints(docs.select(F.col(id).alias("id"), F.col(text).alias("text")), "text", width).select("id", "fingerprint"))
-    distinct = common.cut(own.groupBy("fingerprint").agg(F.min("id").alias("first")))
-    found = components(near_links(distinct.select("fingerprint"), radius, tile))
-    rooted = distinct.join(found, F.col("fingerprint") == F.col("node"), "left").select("fingerprint", "first", F.coalesce("root", "fingerprint").alias("root"))
+    own, rooted = _rooted(docs.select(F.col(id).alias("id"), F.col(text).alias("text")), width, radius, tile)
     lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     table = rooted.join(lowest, "root").select("fingerprint", "component_id")
     return own.join(table, "fingerprint").select(F.col("id").alias(id), "fingerprint", "component_id")
 
 
 def near_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
-    """The rows of `docs` whose id is the smallest of its class, once each: one document of each group stays."""
-    found = classes(docs, id, text, width, radius)
-    kept = found.where(F.col(id).eqNullSafe(F.col("component_id"))).select(F.col(id).alias("kept_id")).distinct()
-    return docs.join(kept, F.col(id).eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates([id])
+    """One row of each class of `docs`: the one with the lowest id, nulls last, and among these with the lowest row hash."""
+    own, rooted = _rooted(docs.select(F.col(id).alias("id"), common.row_hash(docs).alias("row"), F.col(text).alias("text")), width, radius, TILE)
+    return common.one_of_each(docs, own.join(rooted, "fingerprint").select(F.col("id").alias(id), "row", "root"), id)
 
 
 def hexadecimal(found: DataFrame) -> DataFrame:

@@ -177,6 +177,14 @@ def test_near_dedup(similar):
     assert kept.columns == docs.columns and sorted((r.doc_id for r in kept.collect()), key=repr) == sorted({i for (i, _), c in zip(rows, lowest) if i == c}, key=repr)
 
 
+def test_near_dedup_by_class(spark):
+    """Null and repeated ids with different texts: one row of each class, whatever its id."""
+    texts = [" ".join(rnd.choice("abcdefgh") + str(rnd.randint(0, 99)) for _ in range(50)) for _ in range(4)]
+    rows = [(None, texts[0]), (None, texts[0]), (None, texts[1]), (1, texts[1]), (None, texts[2]), (2, texts[3]), (2, "quite another text")]
+    kept = simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(map(tuple, kept), key=repr) == sorted([rows[0], *rows[3:]], key=repr)
+
+
 def test_links_between():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
