@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from skein.llm import bpe, components, edit_embedding, langid, quality, simhash, suffix_dedup, token_count
 
@@ -202,19 +203,19 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "u long, v long")).collect() == []
 
 
-def removed(texts):
-    """What a 400-byte string that starts elsewhere covers, by listing all of them."""
+def removed(texts, length=400):
+    """What a string of `length` bytes that starts elsewhere covers, by listing all of them."""
     count = {}
     for b in texts:
-        for i in range(len(b) - 399):
-            count[b[i : i + 400]] = count.get(b[i : i + 400], 0) + 1
+        for i in range(len(b) - length + 1):
+            count[b[i : i + length]] = count.get(b[i : i + length], 0) + 1
     out = []
     for b in texts:
         cover = np.zeros(len(b) + 1, np.int64)
-        for i in range(len(b) - 399):
-            if count[b[i : i + 400]] > 1:
+        for i in range(len(b) - length + 1):
+            if count[b[i : i + length]] > 1:
                 cover[i] += 1
-                cover[i + 400] -= 1
+                cover[i + length] -= 1
         gone = np.cumsum(cover)[:-1] > 0
         kept = bytes(np.frombuffer(b, np.uint8)[~gone])
         out.append((len(b), int(gone.sum()), int((np.diff(gone.astype(int), prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest()))
@@ -228,11 +229,11 @@ for _ in range(25):
     LONG.append(BASE[at : at + rnd.randint(300, 900)] + "".join(rnd.choice("abc") for _ in range(rnd.randint(0, 500))))
 
 
-@pytest.mark.parametrize("group", [suffix_dedup.GROUP, 2])
-def test_suffix_dedup(spark, empty, group):
+@pytest.mark.parametrize("length, group", [(400, suffix_dedup.GROUP), (400, 2), (240, 2), (64, suffix_dedup.GROUP)])
+def test_suffix_dedup(spark, empty, length, group):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(LONG)], "doc_id long, text string").repartition(3)
-    got = sorted(tuple(r) for r in suffix_dedup.digests(suffix_dedup.dedup(docs, group=group)).collect())
-    assert got == [(i, *x) for i, x in enumerate(removed([(t or "").encode() for t in LONG]))]
+    got = sorted(tuple(r) for r in suffix_dedup.digests(suffix_dedup.dedup(docs, length=length, group=group)).collect())
+    assert got == [(i, *x) for i, x in enumerate(removed([(t or "").encode() for t in LONG], length))]
     assert suffix_dedup.digests(suffix_dedup.dedup(empty.select("doc_id", "text"))).collect() == []
 
 
@@ -245,6 +246,15 @@ def test_suffix_rows(spark):
     assert got == sorted([(1, ""), (1, ""), (2, "short"), (None, ""), (3, "a" * 100)], key=repr)
 
 
+def test_suffix_equal_rows(spark):
+    """Thousands of equal rows and one leading token in thousands of contexts take no more than their share."""
+    same, passage = BASE[:1200], BASE[1500:2000]
+    texts = [(1, same)] * 4000 + [(10 + i, f"{i} " + passage + f" {i} " + hashlib.sha256(str(i).encode()).hexdigest() * 6) for i in range(3000)]
+    out = suffix_dedup.dedup(spark.createDataFrame(texts, "doc_id long, text string").repartition(4), group=64)
+    got = suffix_dedup.digests(out).groupBy("n_spans", F.expr("doc_id = 1").alias("same")).agg(F.count("*").alias("n"), F.min("n_removed").alias("low")).collect()
+    assert sorted((r.same, r.n_spans, r.n, r.low >= 500) for r in got) == [(False, 1, 3000, True), (True, 1, 4000, True)]
+
+
 def test_suffix_blocks(monkeypatch):
     """Texts longer than a block give the same strings as in one block."""
     x = np.frombuffer((BASE * 3).encode(), np.uint8)
@@ -255,7 +265,7 @@ def test_suffix_blocks(monkeypatch):
 
     monkeypatch.setattr(suffix_dedup, "BLOCK", 1000)
     batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([2]), pa.array([x.tobytes()], pa.binary())], names=["r1", "r2", "bytes"])
-    pieces = [r for b in suffix_dedup._scan([batch]) for r in b.to_pylist()]
+    pieces = [r for b in suffix_dedup._scan([batch], 400) for r in b.to_pylist()]
     assert {i: r["anchor"] for r in pieces for i in range(r["lo"], r["hi"] + 1)} == strings
 
 
