@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from skein.llm import bpe, common, langid, mixing, near_copies, suffix_dedup
 
 
+#: Bytes from which a repeated string is cut out.  Passages of more than 50 words have 270 or more in every language of the tables.
+REPEATED = 240
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told stay."""
     return langid.keep_identified(docs, public_tokenizers.path("piece_bpe_32k.model"))
@@ -22,12 +26,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 400 bytes that occur again are cut out of all texts; n_chars follows.
+    """Strings of 240 bytes that occur again are cut out of all texts; n_chars follows.
 
     Documents of which nothing is left go.
     """
     whole = F.size("removed") == 0
-    cut = suffix_dedup.dedup(docs, trim=True).where(whole | (F.length("text") > 0))
+    cut = suffix_dedup.dedup(docs, length=REPEATED, trim=True).where(whole | (F.length("text") > 0))
     return cut.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(docs.columns)
 
 
