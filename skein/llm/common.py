@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 #: A word: a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
+#: Rows of the largest table that `lookup` broadcasts, and the pieces that it deals a key into otherwise.
+BROADCAST_ROWS, SALTS = 200_000, 16
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,6 +78,20 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))
 
 
+def lookup(df: DataFrame, table: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """`df` joined with `table`, which has at most one short row a key.
+
+    The table is broadcast if it is counted to be small.  Otherwise it is repeated SALTS times, and the rows of a key, which may be
+    a third of all, are dealt over as many tasks.
+    """
+    table = cut(table)
+    if table.count() <= BROADCAST_ROWS:
+        return df.join(F.broadcast(table), key, how)
+    salt = f"salt_{uuid.uuid4().hex}"
+    dealt = df.withColumn(salt, F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)).cast("int"))
+    return dealt.join(table.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [key, salt], how).drop(salt)
+
+
 def row_hash(df: DataFrame) -> F.Column:
     """128 bits of hash of all columns, as text.  xxhash64 passes over nulls, so it takes where they are as well."""
     of = [x for c in df.columns for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))]

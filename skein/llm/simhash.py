@@ -1,16 +1,22 @@
 """SimHash near-duplicates by tiled exact comparison.
 
 Fingerprints that differ in at most `radius` bits have population counts, of the whole and of any parts, that differ by at most
-`radius` in all.  Distinct fingerprints are dealt into tiles by the counts of their two halves; only tiles near enough meet,
-and inside them only groups whose counts by quarters are near enough.  What meets is compared exactly with exclusive-or.
+`radius` in all.  Distinct fingerprints are dealt into tiles by such counts; only tiles near enough meet, and what meets is
+compared exactly with exclusive-or and bit counts.
+
+`classes` and `near_dedup` link 64-bit fingerprints by a radius.  `near_classes` and `drop_near_copies` link texts whose sets of five-word shingles have
+a Jaccard similarity of at least 0.8: sets are compared by fingerprints of 1,024 bits, whose difference tells the similarity to
+about 0.013.  What is surely below is dropped, what is surely above is linked, and the rest is decided by the sets themselves.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,6 +27,18 @@ SEED = 42
 #: The most fingerprints in a tile, about, and the most entries of a comparison held at once.
 TILE, BLOCK = 32_768, 1 << 21
 
+#: Words of a shingle, 64-bit words of a fingerprint, and NUM / DEN, the similarity from which two sets are near copies.
+SHINGLE, WORDS, NUM, DEN = 5, 16, 4, 5
+#: Of 1,024 bits a pair at similarity 0.8 differs in 155, with a standard deviation of 11.5.  Pairs are compared in full if their first
+#: 64 bits differ in at most FIRST (a pair at 0.8 does not once in 3,000 times), and may be near copies if all differ in at most FAR
+#: (missed once in 4,000); up to NEAR they are so surely (similarity 0.8 differs so little once in 2,000).
+FIRST, NEAR, FAR = 19, 117, 195
+
+_rng = np.random.default_rng(SEED)
+_PLACES = _rng.integers(0, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SALTS = _rng.integers(0, 1 << 63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_TIES = _rng.integers(0, 2, 64 * WORDS, dtype=np.int64)
+
 
 def fingerprint(text: str, width: int = 4) -> int:
     """The SimHash of the text's word shingles, A-Z lower-cased; 0 if it has no word."""
@@ -96,21 +114,19 @@ def links_between(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.
     return nodes[linked], nodes[forest.up[linked]]
 
 
-def near_links(distinct: DataFrame, radius: int = 4, tile: int = TILE) -> DataFrame:
-    """(u, v) links among distinct 64-bit fingerprints (column `fingerprint`) with the components of all links within `radius`.
+def _meetings(placed: DataFrame, item: Column, steps: list[tuple[int, int]], tile: int) -> DataFrame:
+    """(same, of1, of): pairs of tiles, or one tile and itself, with the items of rows (p, q, key) whose (p, q) are one of `steps` apart.
 
-    The counts by half have at most 33 x 33 values, so the table of cells that is broadcast cannot exceed 1,089 rows.
+    The caller's (p, q) have few values, so the table of cells that is broadcast is small: at most 1,089 rows by counts of halves, and
+    one row a size class, of which there are about 100, and a count class, at most 7, for sets.
     """
-    low, high = (F.bit_count(F.expr(x)) for x in ("fingerprint & 4294967295", "shiftrightunsigned(fingerprint, 32)"))
-    placed = distinct.select("fingerprint", low.alias("p"), high.alias("q"))
     cells = placed.groupBy("p", "q").agg(F.ceil(F.count("*") / tile).cast("int").alias("parts"))
-    tiles = (
-        placed.join(F.broadcast(cells), ["p", "q"])
-        .groupBy("p", "q", F.pmod(F.xxhash64("fingerprint"), F.col("parts")).cast("int").alias("part"))
-        .agg(F.collect_list("fingerprint").alias("of"))
+    tiles = common.cut(
+        placed.select("p", "q", "key", item.alias("item"))
+        .join(F.broadcast(cells), ["p", "q"])
+        .groupBy("p", "q", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("part"))
+        .agg(F.collect_list("item").alias("of"))
     )
-    tiles = common.cut(tiles)
-    steps = [(i, j) for i in range(-radius, radius + 1) for j in range(-radius, radius + 1) if abs(i) + abs(j) <= radius and (i, j) >= (0, 0)]
     step = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in steps)))
     reach = (
         tiles.select("p", "q", "part", step.alias("d"))
@@ -120,7 +136,14 @@ def near_links(distinct: DataFrame, radius: int = 4, tile: int = TILE) -> DataFr
         .where("(p, q, part) >= (p1, q1, part1)")
     )
     other = tiles.select(F.col("p").alias("p1"), F.col("q").alias("q1"), F.col("part").alias("part1"), F.col("of").alias("of1"))
-    meet = reach.join(other, ["p1", "q1", "part1"]).join(tiles, ["p", "q", "part"]).select((F.expr("(p, q, part) = (p1, q1, part1)")).alias("same"), "of1", "of")
+    return reach.join(other, ["p1", "q1", "part1"]).join(tiles, ["p", "q", "part"]).select((F.expr("(p, q, part) = (p1, q1, part1)")).alias("same"), "of1", "of")
+
+
+def near_links(distinct: DataFrame, radius: int = 4, tile: int = TILE) -> DataFrame:
+    """(u, v) links among distinct 64-bit fingerprints (column `fingerprint`) with the components of all links within `radius`."""
+    low, high = (F.bit_count(F.expr(x)) for x in ("fingerprint & 4294967295", "shiftrightunsigned(fingerprint, 32)"))
+    placed = distinct.select(F.col("fingerprint").alias("key"), low.alias("p"), high.alias("q"))
+    steps = [(i, j) for i in range(-radius, radius + 1) for j in range(-radius, radius + 1) if abs(i) + abs(j) <= radius and (i, j) >= (0, 0)]
 
     def compare(batches):
         for batch in batches:
@@ -130,7 +153,7 @@ def near_links(distinct: DataFrame, radius: int = 4, tile: int = TILE) -> DataFr
                 for at in range(0, len(u), 65536):
                     yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 65536].view(np.int64)) for x in (u, v)], names=["u", "v"])
 
-    return meet.mapInArrow(compare, "u long, v long")
+    return _meetings(placed, F.col("key"), steps, tile).mapInArrow(compare, "u long, v long")
 
 
 def _rooted(rows: DataFrame, width: int, radius: int, tile: int) -> tuple[DataFrame, DataFrame]:
@@ -150,13 +173,190 @@ def classes(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int
     own, rooted = _rooted(docs.select(F.col(id).alias("id"), F.col(text).alias("text")), width, radius, tile)
     lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     table = rooted.join(lowest, "root").select("fingerprint", "component_id")
-    return own.join(table, "fingerprint").select(F.col("id").alias(id), "fingerprint", "component_id")
+    return common.lookup(own, table, "fingerprint").select(F.col("id").alias(id), "fingerprint", "component_id")
 
 
 def near_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
-    """One row of each class of `docs`: the one with the lowest id, nulls last, and among these with the lowest row hash."""
+    """One row of each class of `docs` by `classes`: the one with the lowest id, nulls last, and among these with the lowest row hash."""
     own, rooted = _rooted(docs.select(F.col(id).alias("id"), common.row_hash(docs).alias("row"), F.col(text).alias("text")), width, radius, TILE)
-    return common.one_of_each(docs, own.join(rooted, "fingerprint").select(F.col("id").alias(id), "row", "root"), id)
+    return common.one_of_each(docs, common.lookup(own, rooted.select("fingerprint", "root"), "fingerprint").select(F.col("id").alias(id), "row", "root"), id)
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def shingles(text: str) -> np.ndarray:
+    """The sorted distinct hashes of the text's word shingles, A-Z lower-cased; a text of fewer words is one shingle."""
+    words, digest = text.encode().lower().split(), xxhash.xxh64_intdigest  # bytes: ASCII letters and white space only
+    if len(words) < SHINGLE:
+        return np.array([digest(b" ".join(words), SEED)] if words else [], np.uint64)
+    each = np.fromiter((digest(w, SEED) for w in words), np.uint64, len(words))
+    n = len(words) - SHINGLE + 1
+    return np.unique(_mix(sum((each[k : k + n] * _PLACES[k] for k in range(SHINGLE)), np.zeros(n, np.uint64))))
+
+
+def wide_fingerprint(found: np.ndarray) -> bytes:
+    """The SimHash of a set in WORDS 64-bit words; of an even number of elements a fixed bit decides a tie."""
+    ones = _TIES.copy()
+    for i in range(0, len(found), 512):
+        bits = np.unpackbits(_mix(found[i : i + 512, None] * _SALTS).view(np.uint8), axis=1, bitorder="little")
+        ones += 2 * bits.sum(axis=0, dtype=np.uint16).astype(np.int64)
+    return np.packbits(ones > len(found), bitorder="little").tobytes()
+
+
+def _described(docs: DataFrame) -> DataFrame:
+    """`docs` with `key` (hash of the shingle set), `n` (its size), `print` (its wide fingerprint) and `ones` (the bits set in it)."""
+
+    def make():
+        def run(batch):
+            sets = [shingles(text) for text in common.texts(batch, "text")]
+            keys = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
+            prints = [wide_fingerprint(x) for x in sets]
+            ones = [int.from_bytes(x).bit_count() for x in prints]
+            return [pa.array(keys), pa.array([len(x) for x in sets], pa.int64()), pa.array(prints, pa.binary()), pa.array(ones, pa.int64())]
+
+        return run
+
+    fields = [T.StructField("key", T.LongType()), T.StructField("n", T.LongType()), T.StructField("print", T.BinaryType()), T.StructField("ones", T.LongType())]
+    return common.append(docs, fields, make, "text")
+
+
+class _Tile:
+    """The items (key, n, root, print) of a tile."""
+
+    def __init__(self, of):
+        self.key, self.n, self.root = (of.values.field(k).to_numpy(zero_copy_only=False) for k in ("key", "n", "root"))
+        self.print = np.frombuffer(b"".join(of.values.field("print").to_pylist()), np.uint64).reshape(-1, WORDS)
+
+    def __add__(self, other: _Tile) -> _Tile:
+        both = object.__new__(_Tile)
+        both.key, both.n, both.root, both.print = (np.concatenate([getattr(self, k), getattr(other, k)]) for k in ("key", "n", "root", "print"))
+        return both
+
+
+def _alike(tile: _Tile, first: int, low: int, high: int, forest: Forest):
+    """Blocks (i, j, bits) of pairs in different trees that differ in more than `low` and at most `high` bits; i < first <= j, or all if first is 0."""
+    first_word, cols = np.ascontiguousarray(tile.print[:, 0]), np.arange(first, len(tile.key))
+    rows = np.arange(first or len(tile.key))
+    for r in range(0, len(rows), step := max(1, BLOCK // max(1, len(cols)))):
+        some = rows[r : r + step]
+        for c in range(0, len(cols), BLOCK):
+            part = cols[c : c + BLOCK]
+            i, j = np.nonzero(np.bitwise_count(first_word[some][:, None] ^ first_word[part][None, :]) <= FIRST)
+            i, j = some[i], part[j]
+            small, large = np.minimum(tile.n[i], tile.n[j]), np.maximum(tile.n[i], tile.n[j])
+            keep = (i < j) & (NUM * large <= DEN * small)
+            i, j = i[keep], j[keep]
+            for at in range(0, len(i), 65536):
+                a, b = i[at : at + 65536], j[at : at + 65536]
+                apart = forest.up[a] != forest.up[b]
+                a, b = a[apart], b[apart]
+                bits = np.bitwise_count(tile.print[a] ^ tile.print[b]).sum(axis=1, dtype=np.int64)
+                keep = (bits > low) & (bits <= high)
+                if keep.any():
+                    yield a[keep], b[keep], bits[keep]
+
+
+def _span(tile: _Tile, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(u, v, sure): keys of pairs that span all pairs of the tile that may be near copies; the likelier ones come first."""
+    forest, u, v = Forest(len(tile.key)), [], []
+    for i, j, _ in _alike(tile, first, -1, NEAR, forest):
+        forest.link(i, j)
+    sure = np.flatnonzero(forest.up != np.arange(len(tile.key)))
+    ends = forest.up[sure]
+    for low, high in ((NEAR, (NEAR + FAR) // 2), ((NEAR + FAR) // 2, FAR)):
+        for i, j, bits in _alike(tile, first, low, high, forest):
+            order = np.argsort(bits, kind="stable")
+            i, j = i[order], j[order]
+            while len(i):
+                # The nearest pair of both its trees goes first; then what still lies in two trees.
+                trees = np.stack([forest.up[i], forest.up[j]], axis=1)
+                _, at, back = np.unique(trees, return_index=True, return_inverse=True)
+                nearest = (at[back.reshape(trees.shape)] // 2 == np.arange(len(i))[:, None]).all(axis=1)
+                u.append(i[nearest])
+                v.append(j[nearest])
+                forest.link(i[nearest], j[nearest])
+                apart = forest.up[i] != forest.up[j]
+                i, j = i[apart], j[apart]
+    u, v = (np.concatenate([np.empty(0, np.int64), *x]) for x in (u, v))
+    return tile.key[np.concatenate([sure, u])], tile.key[np.concatenate([ends, v])], np.arange(len(sure) + len(u)) < len(sure)
+
+
+def _crossing(tile: _Tile, first: int):
+    """(u, v): keys of all pairs of the tile that may be near copies and have different roots."""
+    for i, j, _ in _alike(tile, first, NEAR, FAR, Forest(len(tile.key))):
+        apart = tile.root[i] != tile.root[j]
+        yield tile.key[i[apart]], tile.key[j[apart]]
+
+
+def _compared(sets: DataFrame, tile: int, spanning: bool) -> DataFrame:
+    """(u, v, sure) of distinct sets (key, n, print, ones, root): pairs that span what may be alike, or all pairs that cross roots."""
+    # A size class is a factor of DEN / NUM wide, and a little more, and a count class FAR + 1 bits: pairs lie in equal or neighbouring ones.
+    placed = sets.withColumn("p", F.floor(F.log("n") / (1.0001 * math.log(DEN / NUM))).cast("int")).withColumn("q", F.floor(F.col("ones") / (FAR + 1)).cast("int"))
+    steps = [(0, 0), (0, 1), (1, -1), (1, 0), (1, 1)]
+
+    def compare(batches):
+        for batch in batches:
+            for same, a, b in zip(*(batch.column(i) for i in range(3))):
+                a = _Tile(a)
+                first, whole = (0, a) if same.as_py() else (len(a.key), a + _Tile(b))
+                found = [_span(whole, first)] if spanning else ((u, v, np.zeros(len(u), bool)) for u, v in _crossing(whole, first))
+                for u, v, sure in found:
+                    for at in range(0, len(u), 65536):
+                        c = slice(at, at + 65536)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u[c], v[c])), pa.array(np.maximum(u[c], v[c])), pa.array(sure[c])], names=["u", "v", "sure"])
+
+    return _meetings(placed, F.struct("key", "n", "root", "print"), steps, tile).mapInArrow(compare, "u long, v long, sure boolean")
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, own: DataFrame) -> DataFrame:
+    """(u, v, near) for pairs of keys: whether their sets have the similarity.  Texts of keys in a pair only become sets."""
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct()
+    chosen = own.join(wanted, "key", "left_semi").groupBy("key").agg(F.min("row").alias("row"))
+
+    def make():
+        return lambda batch: [pa.array([shingles(x).view(np.int64) for x in common.texts(batch, "text")], pa.list_(pa.int64()))]
+
+    texts = common.lookup(rows.select("row", "text"), chosen, "row").dropDuplicates(["row"])
+    sets = common.cut(common.append(texts, [T.StructField("of", T.ArrayType(T.LongType()))], make, "text").select("key", "of"))
+    a, b = (sets.select(F.col("key").alias(k), F.col("of").alias(f"of_{k}")) for k in ("u", "v"))
+    both = F.size(F.array_intersect("of_u", "of_v"))
+    near = (NUM + DEN) * both >= NUM * (F.size("of_u") + F.size("of_v"))
+    return common.cut(pairs.select("u", "v").join(a, "u").join(b, "v").select("u", "v", near.alias("near")))
+
+
+def near_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", tile: int = TILE) -> DataFrame:
+    """(id, row, root) for each row of `docs`: `row` its hash, `root` the same for rows that chains of near copies join.
+
+    Equal sets are one class whatever their rows; null, empty and blank texts have no shingle and are one class.  First the pairs
+    that span all likely links are verified; only where one of them fails, the pairs that still cross classes are.  These are as
+    many as there are pairs alike but not near enough in such a group.
+    """
+    rows = docs.select(F.col(id).alias("id"), common.row_hash(docs).alias("row"), F.col(text).alias("text"))
+    own = common.cut(_described(rows).drop("text"))
+    sets = common.cut(own.where("n > 0").groupBy("key").agg(F.min("n").alias("n"), F.min("print").alias("print"), F.min("ones").alias("ones")).withColumn("root", F.col("key")))
+    found = common.cut(_compared(sets, tile, True).groupBy("u", "v").agg(F.max("sure").alias("sure")))
+    verified = _verified(found.where("NOT sure"), rows, own)
+    links = found.where("sure").select("u", "v").unionByName(verified.where("near").select("u", "v"))
+    roots = components(links)
+    failed = verified.where("NOT near").select("u", "v")
+    if not failed.isEmpty():
+        # Of the groups that the spanning pairs join, those with a pair that failed are compared again.
+        groups = components(found.select("u", "v"))
+        touched = groups.join(failed.select(F.col("u").alias("node")).distinct(), "node").select("root").distinct()
+        nodes = groups.join(touched, "root", "left_semi").select(F.col("node").alias("key"))
+        again = sets.drop("root").join(nodes, "key", "left_semi").join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+        rest = common.cut(_compared(again, tile, False).select("u", "v").distinct().join(failed, ["u", "v"], "left_anti"))
+        roots = components(links.unionByName(_verified(rest, rows, own).where("near").select("u", "v")))
+    return common.lookup(own, roots.select(F.col("node").alias("key"), "root"), "key", "left").select(F.col("id").alias(id), "row", F.coalesce("root", "key").alias("root"))
+
+
+def drop_near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", tile: int = TILE) -> DataFrame:
+    """One row of each class of near copies: the one with the lowest id, nulls last, and among these with the lowest row hash."""
+    return common.one_of_each(docs, near_classes(docs, id, text, tile), id)
 
 
 def hexadecimal(found: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 import random
 
-from skein.llm import near_copies
+from skein.llm import simhash
 
 rnd = random.Random(5)
 LETTERS = {ord(c): c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
@@ -48,12 +48,12 @@ def sample():
     return rows
 
 
-def check(spark, rows):
+def check(spark, rows, tile=simhash.TILE):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     groups = {}
     for (i, t), root in zip(rows, plain_roots([t for _, t in rows])):
         groups.setdefault(root, []).append((i is None, i, t))
-    got = near_copies.dedup(docs).collect()
+    got = simhash.drop_near_copies(docs, tile=tile).collect()
     lowest = [{(i, t) for none, i, t in g if (none, i) == min(x[:2] for x in g)} for g in groups.values()]
     assert len(got) == len(groups) and all(len(some & {tuple(r) for r in got}) == 1 for some in lowest)
     return got
@@ -62,8 +62,9 @@ def check(spark, rows):
 def test_near_copies(spark):
     rows = sample()
     got = check(spark, rows)
+    check(spark, rows, 20)
     assert {t for i, t in map(tuple, got) if i is None or i == 7} >= {"also no id", "same id", "but another text"}
-    assert near_copies.dedup(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+    assert simhash.drop_near_copies(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
 def test_large_group(spark):
