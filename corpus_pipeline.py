@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import bpe, common, langid, mixing, near_copies, suffix_dedup
+from skein.llm import bpe, common, langid, mixing, simhash, suffix_dedup
 
 
 #: Bytes from which a repeated string is cut out.  Passages of more than 50 words have 270 or more in every language of the tables.
@@ -22,7 +22,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies by five-word shingles, the document with the smallest id stays."""
-    return near_copies.dedup(docs)
+    return simhash.drop_near_copies(docs)
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
