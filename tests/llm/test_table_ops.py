@@ -10,6 +10,8 @@ import duckdb
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from skein.llm import mixing, outliers, queries, url_filter
 
 DIR = "/root/testdata/sf0.001"
@@ -85,6 +87,53 @@ def test_outlier_estimate(spark):
     assert outliers.chi2_share(outliers.chi2_limit(0.95, 5), 5) == pytest.approx(0.95) and outliers.chi2_limit(0.95, 5) == pytest.approx(11.0705, abs=1e-3)
 
 
+def plain_mcd(x, starts=20, seed=1):
+    """The mean of the core of three quarters with the least determinant, from random starts and full concentration."""
+    rng, best, h = np.random.default_rng(seed), None, int(np.ceil(0.75 * len(x)))
+    floors = np.diag([s**2 for _, s in outliers.VECTOR])
+    for _ in range(starts):
+        core = x[rng.choice(len(x), len(floors) + 1, replace=False)]
+        for _ in range(50):
+            d = x - core.mean(axis=0)
+            core = x[np.argsort(np.einsum("ij,jk,ik->i", d, np.linalg.inv(np.cov(core.T, bias=True) + floors), d))[:h]]
+        det = np.linalg.slogdet(np.cov(core.T, bias=True) + floors)[1]
+        if best is None or det < best[0]:
+            best = det, core
+    return best[1]
+
+
+def test_outlier_starts(spark):
+    """Groups of different sizes whose junk lies apart: the reweighted centre is that of the core with the least determinant."""
+    rng, groups, p = np.random.default_rng(8), {}, len(outliers.VECTOR)
+    floors = np.array([s for _, s in outliers.VECTOR])
+    for g, n in (("a", 60), ("b", 400), ("c", 1500)):
+        mix = rng.normal(size=(p, p)) * floors * 2
+        groups[g] = np.concatenate([rng.normal(size=(n, p)) @ mix, rng.normal(size=(n // 5, p)) * floors + 40 * floors * rng.choice([-1, 1], p)])
+    x = spark.createDataFrame([(g, *map(float, r)) for g, rows in groups.items() for r in rows], "g string, " + ", ".join(f"x{i} double" for i in range(p)))
+    for f in outliers.estimates(x).collect():
+        rows, n = groups[f.g], len(groups[f.g]) * 5 // 6
+        root = np.array([[f[f"l{i}_{j}"] if j <= i else 0 for j in range(p)] for i in range(p)])
+        distance = lambda v: np.linalg.norm(np.linalg.solve(root, v))  # noqa: B023, E731
+        assert distance(np.array([f[f"m{i}"] for i in range(p)]) - plain_mcd(rows).mean(axis=0)) < 1.0 / np.sqrt(n / 60)
+        limit = spark.range(1).select(outliers.limit(F.lit(f.n), 1e-5)).first()[0] ** 0.5
+        m = np.array([f[f"m{i}"] for i in range(p)])
+        assert f.n <= n * 1.02 and all(distance(r - m) > limit for r in rows[n + 1 :]) and np.mean([distance(r - m) > limit for r in rows[: n - 1]]) < 0.02
+
+
+def test_outlier_limit(spark):
+    at = lambda n: spark.range(1).select(outliers.limit(F.lit(n), 0.001)).first()[0]
+    assert at(10**7) == pytest.approx(outliers.chi2_limit(0.999, 5), rel=0.02) and at(30) > at(100) > at(1000)
+
+
+def test_long_repeats(spark, monkeypatch):
+    """Texts with more windows than fit beside their positions count their repeats as exactly."""
+    monkeypatch.setattr(outliers, "FAST_WINDOWS", 20)
+    texts = [" ".join(rnd.choice("abcdef") for _ in range(n)) for n in (10, 21, 22, 23, 60, 300, 900)] + ["w" * 9, "one two three four " * 8]
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    got = {r.id: r.n_repeat_words for r in outliers.statistics(docs).collect()}
+    assert got == {i: plain_statistics(t)[4] for i, t in enumerate(texts)}
+
+
 def test_outliers_empty(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string")
     assert outliers.judge(empty).collect() == []
