@@ -109,6 +109,8 @@ def test_fingerprints(docs, empty):
             assert (by_id[i].fingerprint, by_id[i].edited_fingerprint) == (embedded(text), embedded(edited))
     assert sorted(((r.doc_id, r.n_chars, r.edited_sha256) for r in got), key=repr) == sorted(expected, key=repr)
     assert 0.5 < by_id[3].near_edited < 1
+    assert all((r.near_edited >= 0.8) >= r.edited_linked and (r.near_next >= 0.8) >= r.next_linked for r in got)
+    assert all(r.edited_linked for r in got if r.fingerprint == r.edited_fingerprint)
     assert edit_embedding.edits(empty).collect() == []
     single = edit_embedding.edits(docs.where("doc_id = 7")).collect()
     assert len(single) == 1 and single[0].near_next == 1
@@ -124,6 +126,24 @@ def test_fingerprint_neighbours(spark):
     assert all(i == j for i, j in pairs) and len(pairs) >= 24
 
 
+def test_fingerprint_recall(spark):
+    """Of all pairs whose fingerprints are alike, by comparing each with each, the bands find nearly all; all that they find is alike."""
+    texts = []
+    for _ in range(60):
+        base = "".join(rnd.choice("abcdefgh ") for _ in range(900))
+        texts += [base, base[:300] + "Z" + base[300:], base[:100] + base[101:700] + "QQ" + base[700:], base[:450]]
+    prints = edit_embedding.fingerprints(texts)
+    names = edit_embedding.text_of(prints)
+    brute = {(names[i], names[j]) for i in range(len(texts)) for j in np.flatnonzero(edit_embedding.likeness(np.repeat(prints[i : i + 1], len(texts), 0), prints) >= 0.8).tolist() if names[i] != names[j]}
+    df = spark.createDataFrame([(x,) for x in names], "fingerprint string")
+    found = {(r.a, r.b) for r in edit_embedding.near(df, df).collect()}
+    assert len(brute) > 80 and found <= brute and len(found) >= 0.99 * len(brute)
+    assert edit_embedding.near(df.limit(0), df).collect() == []
+    row = {x: i for i, x in enumerate(names)}
+    some = sorted(brute)[:50]
+    assert edit_embedding.proposed(prints[[row[i] for i, _ in some]], prints[[row[j] for _, j in some]]).all()
+
+
 def plain_simhash(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
     shingles = [" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))] if words else []
