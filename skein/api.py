@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from skein import versions as V
 from skein.functions import keys, policy
-from skein.functions import text as X
 from skein.operators import chunker, fts, provenance, recall, scan, search
 from skein.sources import sessions as S
 from skein.sources.store import Store, StoreError, now, upsert
@@ -67,10 +66,12 @@ class SessionIndex:
 
     def setup(self, roots: list[str], auto_recall: bool = False) -> dict:
         known = {os.path.normpath(os.path.abspath(r)): True for r in roots}
-        self.store.publish(roots={**self.store.state["roots"], **known})
-        return self.store.configure(setup_completed=True, indexing_enabled=True, auto_recall=auto_recall)
+        with self.store.lease("setup"):
+            self.store.publish(roots={**self.store.state["roots"], **known})
+            return self.store.configure(setup_completed=True, indexing_enabled=True, auto_recall=auto_recall)
 
     def status(self) -> dict:
+        self.store.refresh()
         by_status = {r["status"]: r["count"] for r in self.store.table("sessions").groupBy("status").count().collect()}
         return {**self.store.state["config"], **self.store.integrity(), "sessions": by_status, "roots": sorted(self.store.state["roots"]), "generation": self.store.state["generation"]}
 
@@ -82,31 +83,45 @@ class SessionIndex:
 
     def index(self, root: str | None = None, force: bool = False, paths: list[str] | None = None) -> dict:
         """Scans the roots, or one of them, or given files, and publishes what has changed.  Counts of what was done."""
-        state = self.store.state
+        state = self.store.refresh()
         if not state["config"]["setup_completed"]:
             raise StoreError("setup-required")
         if not state["config"]["indexing_enabled"]:
             return {"scanned": 0, "indexed": 0, "skipped_excluded": 0, "chunks": 0, "dispositions": {"indexing-disabled": 1}}
-        roots = sorted(r for r, enabled in state["roots"].items() if enabled)
-        if root is not None:
-            root = os.path.normpath(os.path.abspath(root))
-            self.store.publish(roots={**state["roots"], root: True})
-            roots = sorted({*roots, root})
         with self.store.lease("index"):
+            if root is not None:
+                root = os.path.normpath(os.path.abspath(root))
+                self.store.publish(roots={**self.store.state["roots"], root: True})
+            roots = sorted(r for r, enabled in self.store.state["roots"].items() if enabled)
             return self._index(roots, [root] if root else roots, force, paths)
 
     def _index(self, roots: list[str], scanned: list[str], force: bool, paths: list[str] | None) -> dict:
-        everything = S.discover(roots)
-        chosen = [S.assert_readable(p, roots) for p in paths] if paths else [p for p in everything if any(p.startswith(r.rstrip("/") + "/") for r in scanned)]
-        files = S.read(self.spark, everything)
+        under = lambda column, of: F.coalesce(*(F.when(F.startswith(F.col(column), F.lit(r.rstrip("/") + "/")), True) for r in of), F.lit(False))
+        listed = S.listing(self.spark, roots)
+        if paths:
+            mine = F.broadcast(self.spark.createDataFrame([(S.assert_readable(p, roots), True) for p in paths], "path string, mine boolean"))
+            listed = listed.join(mine, "path", "left").withColumn("mine", F.coalesce("mine", F.lit(False)))
+        else:
+            listed = listed.withColumn("mine", under("path", scanned))
+        old = self.store.table("sessions").withColumnRenamed("status", "old_status")
+        excluded = self.store.table("exclusions").select("session_id", F.lit(True).alias("excluded"))
+        # Files as they were listed when they were last read are not read again; of the others each is.
+        before = old.select(F.col("file_path").alias("path"), "session_id", "parent_session", F.col("header_project_key").alias("project_key"), "old_status", F.col("listed_bytes").alias("b"), F.col("listed_at").alias("t"))
+        same = (F.col("b") == F.col("listed_bytes")) & (F.col("t") == F.col("listed_at")) & (F.col("old_status") != "deleted") & ~(F.col("mine") & F.lit(force))
+        listed = cut(listed.join(before, "path", "left").withColumn("quiet", F.coalesce(same, F.lit(False))))
+        files = S.read(self.spark, [r.path for r in listed.where("NOT quiet").select("path").toLocalIterator()])
         split = cut(S.lines(files))
-        heads = S.headers(split, files)
+        fresh = S.headers(split, files)
+        projects = self._projects(fresh)
+        heads = cut(
+            fresh.join(projects, "cwd", "left").select("path", "session_id", "status", "parent_session", "project_key")
+            .unionByName(listed.where("quiet").select("path", "session_id", F.lit("ok").alias("status"), "parent_session", "project_key"))
+        )
         # Of files with one session id the last by path counts.
         last = F.row_number().over(W.partitionBy("session_id").orderBy(F.desc("path")))
-        wanted = files.select("path", "content").join(F.broadcast(self.spark.createDataFrame([(p,) for p in chosen], "path string")), "path", "left_semi")
-        old = self.store.table("sessions").select("session_id", "file_path", "prefix_hash", "trailing_line_hash", "file_size", "scan_byte_offset", F.col("status").alias("old_status"))
-        excluded = self.store.table("exclusions").select("session_id", F.lit(True).alias("excluded"))
-        joined = wanted.join(heads, "path").withColumn("nth", F.when(F.col("status") == "ok", last).otherwise(1)).where("nth = 1").join(old, "session_id", "left").join(excluded, "session_id", "left")
+        first = heads.where("status = 'ok'").withColumn("nth", last).where("nth = 1").drop("nth").unionByName(heads.where("status <> 'ok'"))
+        chosen = first.join(listed.where("mine").select("path", "quiet", "listed_bytes", "listed_at"), "path").join(excluded, "session_id", "left")
+        joined = files.select("path", "content").join(chosen.where("NOT quiet"), "path").join(old.drop("parent_session", "listed_bytes", "listed_at"), "session_id", "left")
         found = scan.disposition(F.col("content"), F.col("scan_byte_offset"), F.col("trailing_line_hash"), F.col("prefix_hash"), F.col("file_size"))
         said = (
             F.when(F.col("status") != "ok", "header-invalid")
@@ -114,48 +129,57 @@ class SessionIndex:
             .when((found == "unchanged") & F.lit(not force), F.when(F.col("file_path") != F.col("path"), "moved").when(F.col("old_status") == "deleted", "append").otherwise("unchanged"))
             .otherwise(F.when(found == "unchanged", "full-reconcile").otherwise(found))
         )
-        seen = cut(joined.select("path", "session_id", "status", "cwd", "parent_session", said.alias("disposition"), scan.cursor(F.col("content")).alias("c")))
+        seen = cut(joined.select("path", "session_id", "status", "project_key", "parent_session", "listed_bytes", "listed_at", "old_status", said.alias("disposition"), scan.cursor(F.col("content")).alias("c")))
+        quiet = chosen.where("quiet").select("session_id", F.when(F.col("excluded"), "excluded").otherwise("unchanged").alias("disposition"))
+        dispositions = cut(seen.select("session_id", "disposition").unionByName(quiet))
         work = seen.where("disposition IN ('append', 'rewrite', 'truncate', 'full-reconcile')")
-        chunks, bad, projects = self._chunks(files, split, heads, work.select("path"), roots)
-        chunks = cut(chunks)
-        tokens = fts.tokenized(chunks.select("source_key", "session_id", "origin_project_key", "text"))
-        changed = work.select("session_id").distinct()
+        chunks, bad = self._chunks(split, fresh, heads, work.select("path"), roots)
+        tokens = cut(fts.tokenized(chunks))
         root_of = F.coalesce(*(F.when(F.startswith(F.col("path"), F.lit(r.rstrip("/") + "/")), keys.root_id(F.lit(r))) for r in roots), F.lit(None))
-        own = heads.select("path", "cwd").join(projects, "cwd", "left").select("path", "project_key")
-        rows = seen.where("status = 'ok' AND disposition NOT IN ('unchanged', 'excluded')").join(own, "path", "left").select(
+        rows = seen.where("status = 'ok' AND disposition <> 'excluded'").select(
             "session_id", root_of.alias("root_id"), "parent_session", F.col("project_key").alias("header_project_key"), F.col("path").alias("file_path"), "c.prefix_hash", "c.trailing_line_hash",
-            F.lit("active").alias("status"), F.lit(None).cast("string").alias("error_code"), F.lit(now()).alias("updated_at"), F.col("c.size_bytes").alias("file_size"), F.col("c.byte_offset").alias("scan_byte_offset"),
+            F.when(F.col("disposition") == "unchanged", F.col("old_status")).otherwise("active").alias("status"), F.lit(None).cast("string").alias("error_code"), F.lit(now()).alias("updated_at"),
+            F.col("c.size_bytes").alias("file_size"), F.col("c.byte_offset").alias("scan_byte_offset"), "listed_bytes", "listed_at",
         )
         sessions = upsert(self.store.table("sessions"), rows, ["session_id"])
         if not paths:  # what was under a scanned root and is no longer there
-            under = F.lit(False)
-            for r in scanned:
-                under = under | F.startswith(F.col("file_path"), F.lit(r.rstrip("/") + "/"))
-            there = seen.where("session_id IS NOT NULL").select("session_id", F.lit(True).alias("there"))
-            gone = under & F.col("there").isNull() & (F.col("status") != "excluded")
-            sessions = Store._without_cursor(sessions.join(there, "session_id", "left").withColumn("gone", gone), F.col("gone")).withColumn("status", F.when(F.col("gone"), "deleted").otherwise(F.col("status")))
+            gone = scan.gone(sessions, dispositions.select("session_id"), under("file_path", scanned))
+            sessions = Store._without_cursor(gone, F.col("gone")).withColumn("status", F.when(F.col("gone"), "deleted").otherwise(F.col("status"))).drop("gone")
         sessions = cut(sessions)
         deleted = sessions.where("status = 'deleted'").select("session_id")
-        stale = changed.unionByName(deleted).distinct()
-        kept = lambda name: self.store.table(name).join(stale, "session_id", "left_anti")
+        before_deleted = self.store.table("sessions").where("status = 'deleted'").select("session_id")
+        stale = cut(work.select("session_id").unionByName(deleted.join(before_deleted, "session_id", "left_anti")).distinct())
+        histogram = {r["disposition"]: r["count"] for r in scan.histogram(dispositions).collect()}
+        done = {"scanned": sum(histogram.values()), "indexed": work.count(), "skipped_excluded": histogram.get("excluded", 0), "chunks": tokens.count(), "deleted": deleted.count(), "dispositions": histogram}
+        if seen.isEmpty() and stale.isEmpty():
+            return done
         marked = bad.select(F.lit(now()).alias("at"), "session_hash", "code", "detail", F.col("count").cast("long").alias("count"))
         project_rows = projects.select("project_key", "kind", "normalized_root").distinct()
-        tables = {"sessions": sessions, "chunks": kept("chunks").unionByName(chunks), "tokens": kept("tokens").unionByName(tokens.drop("text")), "projects": upsert(self.store.table("projects"), project_rows, ["project_key"]), "diagnostics": self.store.table("diagnostics").unionByName(marked)}
-        self.store.publish(tables, projection_status="ready")
-        histogram = {r["disposition"]: r["count"] for r in seen.groupBy("disposition").count().collect()}
-        indexed = sum(histogram.get(x, 0) for x in ("append", "rewrite", "truncate", "full-reconcile"))
-        return {"scanned": sum(histogram.values()), "indexed": indexed, "skipped_excluded": histogram.get("excluded", 0), "chunks": chunks.count(), "deleted": deleted.count(), "dispositions": histogram}
-
-    def _chunks(self, files: DataFrame, split: DataFrame, heads: DataFrame, work: DataFrame, roots: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """(chunks of the files in `work`, diagnostics, projects by cwd)."""
-        rows = cut(S.parsed(split, heads))
+        tables = {"sessions": sessions, "projects": upsert(self.store.table("projects"), project_rows, ["project_key"]), "diagnostics": self.store.table("diagnostics").unionByName(marked)}
+        self.store.replace_chunks(stale, tokens.drop("content_tokens", "cjk_tokens"), fts.postings(tokens), tables, projection_status="ready")
+        return done
+
+    def _projects(self, heads: DataFrame) -> DataFrame:
+        """(cwd, kind, normalized_root, project_key) of the folders where these sessions began.
+
+        A folder's project is found by looking for .git above it, here, where the files were listed: executors need not see it.
+        """
+        cwds = [r.cwd for r in heads.where("cwd IS NOT NULL").select("cwd").distinct().toLocalIterator()]
+        found = self.spark.createDataFrame([(c, *_project_root(c).split("|", 1)) for c in cwds], "cwd string, kind string, normalized_root string")
+        return found.withColumn("project_key", keys.project_key(F.col("normalized_root"), F.col("kind")))
+
+    def _chunks(self, split: DataFrame, fresh: DataFrame, heads: DataFrame, work: DataFrame, roots: list[str]) -> tuple[DataFrame, DataFrame]:
+        """(chunks of the files in `work`, diagnostics); ancestors of these that were not read for their own sake are read now."""
+        links, broken = provenance.chains(heads, roots, cut, work)
+        links = cut(links)
+        ancestors = links.select(F.col("ancestor").alias("path")).distinct()
+        more = S.read(self.spark, [r.path for r in ancestors.join(fresh.select("path"), "path", "left_anti").toLocalIterator()])
+        further = S.lines(more)
+        needed = work.unionByName(ancestors).distinct()
+        rows = cut(S.parsed(split.unionByName(further).join(needed, "path", "left_semi"), fresh.unionByName(S.headers(further, more))))
         messages = S.entries(rows).where("type = 'message'")
         messages = messages.withColumn("fingerprint", keys.fingerprint(F.col("entry_id"), F.col("parent_id"), F.col("role"), F.col("raw_content")))
-        at = F.split(F.udf(_project_root, "string")("cwd"), r"\|", 2)
-        projects = cut(heads.where("cwd IS NOT NULL").select("cwd").distinct().select("cwd", at[0].alias("kind"), at[1].alias("normalized_root")).withColumn("project_key", keys.project_key(F.col("normalized_root"), F.col("kind"))))
-        # Project keys by header; files without one cannot be ancestors.
-        known = cut(heads.join(projects, "cwd", "left").select("path", "session_id", "status", "parent_session", "project_key"))
-        told = cut(provenance.attribute(known, messages, roots, cut).join(work, "path", "left_semi"))
+        told = cut(provenance.attribute(heads, messages, roots, cut, (links, broken)).join(work, "path", "left_semi"))
         blocks = told.where("provenance = 'verified'").select("*", F.posexplode("text_blocks").alias("block_index", "raw"))
         judged = policy.applied(blocks, "raw", compose=True).withColumn("pieces", chunker.chunks(F.col("clean")))
         each = judged.select("*", F.posexplode_outer("pieces").alias("chunk_index", "chunk")).where("chunk IS NOT NULL")
@@ -168,13 +192,14 @@ class SessionIndex:
         code = F.when(F.col("rejected_by") == "secret-reject", "secret-rejected").when(F.col("rejected_by") == "size-reject", "entry-oversized")
         rejected = judged.select("path", hashed, code.alias("code"), F.col("rejected_by").alias("detail"), F.lit(1).alias("count")).where("code IS NOT NULL")
         lost = told.where("provenance <> 'verified'").select("path", hashed, F.lit("provenance-unresolved").alias("code"), F.col("reason").alias("detail"), F.lit(1).alias("count"))
-        return chunks, S.diagnostics(heads, rows).join(work, "path", "left_semi").unionByName(rejected).unionByName(lost), projects
+        about = S.diagnostics(fresh, rows)
+        return chunks, about.join(work, "path", "left_semi").unionByName(rejected).unionByName(lost)
 
     # Search and recall
 
     def search(self, query: str | dict[int, str], scope: str = "all", cwd: str | None = None, as_of: str | None = None, **options) -> DataFrame:
         """Hits of one query, or of many by id.  `scope` project takes the project of `cwd`."""
-        if self.store.state["projection_status"] != "ready":
+        if self.store.refresh()["projection_status"] != "ready":
             raise StoreError("projection-unavailable")
         if not self.store.state["config"]["setup_completed"]:
             raise StoreError("setup-required")
@@ -185,16 +210,17 @@ class SessionIndex:
             if not cwd:
                 raise StoreError("project-unresolved")
             options["project"] = self.project_key(cwd)
-        tokens = self.store.table("tokens")
+        chunks = self.store.table("chunks")
         options.setdefault("limit", self.store.state["config"]["manual_limit"])
-        return search.search(tokens, fts.corpus_stats(tokens), self.store.table("chunks"), self.store.table("sessions"), queries, as_of or now(), search.Options(**options))
+        return search.search(self.store.table("postings"), fts.corpus_stats(chunks), chunks, self.store.table("sessions"), queries, as_of or now(), search.Options(**options))
 
-    def tool_search(self, query: str, cwd: str, limit: int = V.DEFAULT_LIMIT) -> DataFrame:
+    def tool_search(self, query: str, cwd: str, limit: int | None = None) -> DataFrame:
+        limit = self.store.state["config"]["tool_limit"] if limit is None else limit
         return search.safe_hits(self.search(query, "project", cwd, limit=limit, most=V.TOOL_MOST))
 
     def auto_retrieve(self, prompt: str, cwd: str, request: str = "0", session: str | None = None, as_of: str | None = None) -> dict:
         """{"reason"} if nothing is recalled, else {"envelope", "records", "tokens", "trust_rule"}."""
-        state = self.store.state
+        state = self.store.refresh()
         if not state["config"]["setup_completed"]:
             return {"reason": "setup-required"}
         if not state["config"]["auto_recall"]:
@@ -206,13 +232,13 @@ class SessionIndex:
         if not prompt.strip():
             return {"reason": "empty-prompt"}
         try:
-            hits = self.search(prompt, "project", cwd, as_of, limit=V.RECALL_RECORDS, exclude_session=session, auto_eligible_only=True, verified_only=True, least_coverage=V.RECALL_COVERAGE)
+            hits = self.search(prompt, "project", cwd, as_of, limit=state["config"]["auto_max_records"], exclude_session=session, auto_eligible_only=True, verified_only=True, least_coverage=V.RECALL_COVERAGE)
         except fts.QueryInvalid as error:
             return {"reason": error.code}
         hits = cut(hits)
         if hits.isEmpty():
             return {"reason": "no-hit"}
-        best = recall.bundle(hits.withColumn("request_id", F.lit(request))).first()
+        best = recall.bundle(hits.withColumn("request_id", F.lit(request)), records=state["config"]["auto_max_records"], tokens=state["config"]["auto_max_tokens"]).first()
         return {"envelope": best.envelope, "records": best.records, "tokens": best.tokens, "trust_rule": recall.trust_rule()} if best else {"reason": "budget-empty"}
 
     # Exclusion, rebuild, purge
@@ -235,7 +261,7 @@ class SessionIndex:
         self.store.delete()
 
     def probe(self) -> dict:
-        return {"spark": self.spark.version, "ready": self.store.integrity()["ready"]}
+        return {"spark": self.spark.version, "ready": self.store.integrity()["ready"], "health": self.store.health()}
 
 
 def main(argv: list[str] | None = None) -> int:

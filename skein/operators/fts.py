@@ -1,8 +1,8 @@
 """Full-text index and BM25 ranking over two fields, content and cjk.
 
-The index is a postings table (token, field, source_key, origin_project_key, dl, positions), to be stored clustered by token, and
-one row of corpus statistics.  A query is a small list of phrases; only postings of their tokens are read, and phrases of several
-tokens are matched by aligned positions, so nothing but matching rows is shuffled.
+The index is a postings table (token, field, source_key, session_id, origin_project_key, dl, positions), stored sorted by token, and
+one row of corpus statistics.  A query is a small list of phrases; only postings of their tokens are read, by a filter that reaches
+the scan.  A phrase of one token needs no positions; longer ones are matched by aligned positions.
 """
 
 from __future__ import annotations
@@ -18,8 +18,10 @@ from skein.functions import text as X
 from skein.versions import MOST_QUERY_BYTES, MOST_QUERY_CHARS, MOST_QUERY_TERMS
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
-#: Queries searched in one batch: their phrases, at most 64 a query, are broadcast.
+#: Queries searched in one job: their phrases, at most 64 a query, are broadcast.  More are searched in several.
 MOST_QUERIES = 10_000
+#: Tokens up to which the filter of a scan lists them; more are broadcast.
+MOST_LISTED = 5_000
 
 
 class QueryInvalid(ValueError):
@@ -32,16 +34,18 @@ def tokenized(chunks: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn("dl", (F.size("content_tokens") + F.size("cjk_tokens")).cast("long"))
 
 
-def postings(indexed: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
-    """(token, field, source_key, origin_project_key, dl, positions) of rows of `tokenized`.
-
-    With `wanted`, the phrases of queries, only postings of their tokens: the others go before anything is shuffled.
-    """
+def postings(indexed: DataFrame) -> DataFrame:
+    """(token, field, source_key, session_id, origin_project_key, dl, positions) of rows of `tokenized`."""
+    own = ["source_key", "session_id", "origin_project_key", "dl"]
     fields = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f"{f}_tokens").alias("of")) for f in ("content", "cjk")))
-    each = indexed.select("source_key", "origin_project_key", "dl", F.explode(fields).alias("f")).select("source_key", "origin_project_key", "dl", F.col("f.field").alias("field"), F.posexplode("f.of").alias("pos", "token"))
-    if wanted is not None:
-        each = each.join(F.broadcast(wanted.select("token").distinct()), "token", "left_semi")
-    return each.groupBy("token", "field", "source_key", "origin_project_key", "dl").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+    each = indexed.select(*own, F.explode(fields).alias("f")).select(*own, F.col("f.field").alias("field"), F.posexplode("f.of").alias("pos", "token"))
+    return each.groupBy("token", "field", *own).agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+
+
+def of_queries(index: DataFrame, queries: Iterable[str], wanted: DataFrame) -> DataFrame:
+    """The postings of the tokens of these queries, which `wanted` has as phrases."""
+    found = sorted({token for q in queries for term in parse_query(q) for token in term_tokens(term)})
+    return index.where(F.col("token").isin(found)) if len(found) <= MOST_LISTED else index.join(F.broadcast(wanted.select("token").distinct()), "token", "left_semi")
 
 
 def corpus_stats(indexed: DataFrame) -> DataFrame:
@@ -69,9 +73,6 @@ def term_tokens(term: str) -> list[str]:
 
 def phrases(spark: SparkSession, queries: Iterable[tuple[int, str]]) -> DataFrame:
     """(query_id, phrase, field, k, token, m): each term is a phrase of m tokens, looked for in both fields."""
-    queries = list(queries)
-    if len(queries) > MOST_QUERIES:
-        raise ValueError(f"at most {MOST_QUERIES} queries in a batch")
     rows = [
         (q, 2 * i + f, field, k, token, len(found))
         for q, query in queries
@@ -89,10 +90,12 @@ def bm25(index: DataFrame, stats: DataFrame, wanted: DataFrame) -> DataFrame:
     Document frequencies and lengths are those of the whole index, whatever is filtered later.  `wanted` has at most 64 rows a term
     of at most MOST_QUERIES queries and `stats` one row, so both are broadcast.
     """
+    row = ["query_id", "phrase", "source_key", "origin_project_key", "dl"]
     hits = index.join(F.broadcast(wanted), ["token", "field"])
-    aligned = hits.select("query_id", "phrase", "m", "source_key", "origin_project_key", "dl", F.explode(F.transform("positions", lambda p: p - F.col("k"))).alias("start"))
-    starts = aligned.groupBy("query_id", "phrase", "source_key", "origin_project_key", "dl", "start", "m").agg(F.count("*").alias("found")).where("found = m")
-    counts = starts.groupBy("query_id", "phrase", "source_key", "origin_project_key", "dl").agg(F.count("*").alias("f"))
+    single = hits.where("m = 1").select(*row, F.size("positions").cast("long").alias("f"))
+    aligned = hits.where("m > 1").select(*row, "m", F.explode(F.transform("positions", lambda p: p - F.col("k"))).alias("start"))
+    starts = aligned.groupBy(*row, "start", "m").agg(F.count("*").alias("found")).where("found = m")
+    counts = single.unionByName(starts.groupBy(*row).agg(F.count("*").alias("f")))
     frequency = counts.groupBy("query_id", "phrase").agg(F.count("*").alias("df"))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.when(idf > 0, idf).otherwise(F.lit(LEAST_IDF))

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import posixpath
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions import text as X
@@ -13,9 +11,12 @@ from skein.versions import PARENT_DEPTH
 MISSING, CYCLE, DEEP, UNRESOLVED = "parent-missing", "parent-cycle", "parent-chain-too-deep", "provenance-unresolved"
 
 
-def resolve_path(path, *more):
-    """An absolute path without . and .., as the parts give it one after another."""
-    return F.udf(lambda *parts: posixpath.normpath(posixpath.join("/", *(p for p in parts if p is not None))), "string")(path, *more)
+def resolve_path(path: Column, more: Column | None = None) -> Column:
+    """An absolute path without . and ..: `more` inside `path`, or alone if it is absolute itself."""
+    whole = path if more is None else F.when(F.startswith(more, F.lit("/")), more).otherwise(F.concat(path, F.lit("/"), more))
+    parts = F.filter(F.split(whole, "/"), lambda p: ~p.isin("", "."))
+    up = lambda done: F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))
+    return F.concat(F.lit("/"), F.array_join(F.aggregate(parts, F.array().cast("array<string>"), lambda done, p: F.when(p == "..", up(done)).otherwise(F.array_append(done, p))), "/"))
 
 
 def parents(sessions: DataFrame, roots: list[str]) -> DataFrame:
@@ -34,14 +35,14 @@ def parents(sessions: DataFrame, roots: list[str]) -> DataFrame:
     return children.select("path").join(found, "path", "left")
 
 
-def chains(sessions: DataFrame, roots: list[str], cut=lambda df: df) -> tuple[DataFrame, DataFrame]:
+def chains(sessions: DataFrame, roots: list[str], cut=lambda df: df, of: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(path, ancestor, depth) with 0 for the nearest parent, and (path, reason) of sessions whose chain is broken.
 
-    All chains take a step at a time, at most 32; `cut` may checkpoint between steps.
+    All chains, or those of the paths `of`, take a step at a time, at most 32; `cut` may checkpoint between steps.
     """
     header = sessions.select(F.col("path").alias("current"), F.col("session_id").alias("current_id"), F.col("status").alias("current_status"), F.col("parent_session").isNotNull().alias("more"))
     up = cut(parents(sessions, roots))
-    front = up.select("path", F.col("parent_path").alias("current"), F.array().cast("array<string>").alias("paths"), F.array().cast("array<string>").alias("ids"))
+    front = (up if of is None else up.join(of.select("path").distinct(), "path", "left_semi")).select("path", F.col("parent_path").alias("current"), F.array().cast("array<string>").alias("paths"), F.array().cast("array<string>").alias("ids"))
     links, broken = None, None
     step = up.select(F.col("path").alias("current"), F.col("parent_path").alias("next"))
     for depth in range(PARENT_DEPTH):
@@ -63,13 +64,13 @@ def chains(sessions: DataFrame, roots: list[str], cut=lambda df: df) -> tuple[Da
     return links, broken.unionByName(front.select("path", F.lit(DEEP).alias("reason")))
 
 
-def attribute(sessions: DataFrame, messages: DataFrame, roots: list[str], cut=lambda df: df) -> DataFrame:
+def attribute(sessions: DataFrame, messages: DataFrame, roots: list[str], cut=lambda df: df, found: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """`messages` (path, pos, entry_id, fingerprint, ...) with provenance, origin_project_key and reason.
 
     A message belongs to the earliest ancestor that has the same one, else to its own session's project.  It is unresolved if the
-    chain is broken or if the nearest ancestor that has its id has another content for it.
+    chain is broken or if the nearest ancestor that has its id has another content for it.  `found` may give the chains.
     """
-    links, broken = chains(sessions, roots, cut)
+    links, broken = found or chains(sessions, roots, cut)
     own = sessions.select("path", F.col("project_key").alias("own_project"))
     old = links.join(messages.select(F.col("path").alias("ancestor"), "pos", "entry_id", "fingerprint"), "ancestor").join(own.select(F.col("path").alias("ancestor"), "own_project"), "ancestor")
     first = old.groupBy("path", "fingerprint").agg(F.max_by("own_project", "depth").alias("first_project"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -25,6 +25,16 @@ def cursor(content: Column) -> Column:
     return F.struct(size.alias("byte_offset"), trailing_line_hash(done).alias("trailing_line_hash"), F.when(size > 0, F.sha2(done, 256)).alias("prefix_hash"), size.alias("size_bytes"))
 
 
+def gone(sessions: DataFrame, found: DataFrame, scanned: Column) -> DataFrame:
+    """`sessions` with `gone`: whether a session that was scanned and is not excluded has no file in `found` (session_id)."""
+    there = found.where("session_id IS NOT NULL").select("session_id").distinct().withColumn("there", F.lit(True))
+    return sessions.join(there, "session_id", "left").withColumn("gone", scanned & F.col("there").isNull() & (F.col("status") != "excluded")).drop("there")
+
+
+def histogram(seen: DataFrame, column: str = "disposition") -> DataFrame:
+    return seen.groupBy(column).agg(F.count("*").alias("count"))
+
+
 def disposition(content: Column, offset: Column, trailing: Column, prefix: Column, size: Column) -> Column:
     """full-reconcile, truncate, rewrite, unchanged or append.  A null size: there is no cursor."""
     done = complete_prefix(content)

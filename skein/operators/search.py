@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -45,15 +46,21 @@ def first_of_each_text(df: DataFrame) -> DataFrame:
     return df.withColumn("nth", F.row_number().over(w)).where("nth = 1").drop("nth")
 
 
-def search(tokens: DataFrame, stats: DataFrame, chunks: DataFrame, sessions: DataFrame, queries: dict[int, str], as_of: str, options: Options = Options()) -> DataFrame:
+def search(index: DataFrame, stats: DataFrame, chunks: DataFrame, sessions: DataFrame, queries: dict[int, str], as_of: str, options: Options = Options()) -> DataFrame:
     """Hits of each query, best first: query_id, source_key, session_id, entry_id, role, origin_project_key, occurred_at,
     content_hash, text, snippet, truncated, coverage, score.
 
-    The project filter comes before the 256 best matches are taken, all other filters after it.  Ties go by source_key.
+    `index` has postings.  The project filter comes before the 256 best matches are taken, all other filters after it.  Ties go by
+    source_key.  More queries than fit one job are searched in several.
     """
     spark = chunks.sparkSession
+    if len(queries) > fts.MOST_QUERIES:
+        ids = sorted(queries)
+        parts = [{q: queries[q] for q in ids[i : i + fts.MOST_QUERIES]} for i in range(0, len(ids), fts.MOST_QUERIES)]
+        found = [search(index, stats, chunks, sessions, part, as_of, options) for part in parts]
+        return reduce(DataFrame.unionByName, found).orderBy("query_id", F.desc("score"), "source_key")
     wanted = fts.phrases(spark, queries.items())
-    ranked = fts.bm25(fts.postings(tokens, wanted), stats, wanted)
+    ranked = fts.bm25(fts.of_queries(index, queries.values(), wanted), stats, wanted)
     if options.project is not None:
         ranked = ranked.where(F.col("origin_project_key") == options.project)
     matches = _top(ranked, MATCH_LIMIT, F.col("bm25"), F.col("source_key")).select("query_id", "source_key", "bm25")

@@ -35,6 +35,19 @@ def discover(roots: list[str]) -> list[str]:
     return sorted(set(found))
 
 
+def listing(spark: SparkSession, roots: list[str]) -> DataFrame:
+    """(path, listed_bytes, listed_at) of the session files under the roots, without reading one.
+
+    Local roots are walked here, since links are passed over; folders of other file systems are listed by Spark.
+    """
+    local = [(p, *((at := os.lstat(p)).st_size, at.st_mtime_ns)) for p in discover([r for r in roots if "://" not in r])]
+    found = spark.createDataFrame(local, "path string, listed_bytes long, listed_at long")
+    for root in (r for r in roots if "://" in r):
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").load(root)
+        found = found.unionByName(files.select("path", F.col("length").alias("listed_bytes"), F.unix_micros("modificationTime").alias("listed_at")))
+    return found
+
+
 def assert_readable(path: str, roots: list[str]) -> str:
     """The path, if it is a regular file inside one of the roots and no link; else PathRejected with the reason."""
     whole = os.path.normpath(os.path.abspath(path))

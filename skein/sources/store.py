@@ -1,11 +1,14 @@
 """The index on disk: Parquet tables in generations, and one small state file that names the current ones.
 
-A change writes new tables beside the old ones and then swaps the state file by a rename, so readers see all of it or nothing.
-Everything goes through Hadoop's file systems; only the state, of fixed size but for the list of roots, is read by the driver.
+Chunks and their postings lie in BUCKETS buckets by session, postings sorted by token inside.  A change writes the buckets of the
+sessions that it touches, and small tables whole, beside the old ones and then swaps the state file by a rename, so readers see all
+of it or nothing.  Everything goes through Hadoop's file systems; only the state, of fixed size but for the list of roots, is read
+by the driver.
 """
 
 from __future__ import annotations
 
+import functools
 import json
 import time
 import uuid
@@ -15,15 +18,19 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skein import versions as V
+from skein.functions import keys
 
 SCHEMAS = {
     "projects": "project_key string, kind string, normalized_root string",
-    "sessions": "session_id string, root_id string, parent_session string, header_project_key string, file_path string, prefix_hash string, trailing_line_hash string, status string, error_code string, updated_at string, file_size long, scan_byte_offset long",
-    "chunks": "source_key string, content_hash string, policy_version string, session_id string, entry_id string, block_index int, chunk_index int, origin_project_key string, provenance string, role string, occurred_at string, text string, chunker_version string, auto_eligible boolean",
-    "tokens": "source_key string, session_id string, origin_project_key string, content_tokens array<string>, cjk_tokens array<string>, dl long",
+    "sessions": "session_id string, root_id string, parent_session string, header_project_key string, file_path string, prefix_hash string, trailing_line_hash string, status string, error_code string, updated_at string, file_size long, scan_byte_offset long, listed_bytes long, listed_at long",
+    "chunks": "source_key string, content_hash string, policy_version string, session_id string, entry_id string, block_index int, chunk_index int, origin_project_key string, provenance string, role string, occurred_at string, text string, chunker_version string, auto_eligible boolean, dl long",
+    "postings": "token string, field string, source_key string, session_id string, origin_project_key string, dl long, positions array<int>",
     "exclusions": "session_id string, excluded_at string, reason string",
     "diagnostics": "at string, session_hash string, code string, detail string, count long",
 }
+#: Tables in buckets by session, with what the rows of a bucket are sorted by, and the number of buckets: a change of one session
+#: rewrites that part of them.
+BUCKETED, BUCKETS = {"chunks": "session_id", "postings": "token"}, 64
 FRESH = {
     "generation": 0,
     "versions": {"schema": V.SCHEMA_VERSION, "chunker": V.CHUNKER_VERSION, "policy": V.POLICY_VERSION, "projection": V.PROJECTION_VERSION},
@@ -31,6 +38,7 @@ FRESH = {
     "projection_status": "ready",
     "roots": {},
     "tables": {},
+    "revision": 0,
 }
 
 
@@ -51,17 +59,41 @@ def replace_groups(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     return old.join(new.select(*key).distinct(), key, "left_anti").unionByName(new)
 
 
+def duplicates(df: DataFrame, key: list[str]) -> DataFrame:
+    """The keys that more than one row has, and how many."""
+    return df.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def bucket(session: Column) -> Column:
+    return F.pmod(F.xxhash64(session), F.lit(BUCKETS)).cast("int")
+
+
 def now() -> str:
     return time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime())
 
 
+def changing(method):
+    """A method that changes the state: under a lease, on the state as it then is."""
+
+    @functools.wraps(method)
+    def run(self: Store, *args, **options):
+        if self._lease is not None:
+            return method(self, *args, **options)
+        with self.lease(method.__name__):
+            return method(self, *args, **options)
+
+    return run
+
+
 class Store:
     def __init__(self, spark: SparkSession, home: str):
         self.spark, self.home = spark, home.rstrip("/")
         jvm = spark.sparkContext._jvm
-        self._path = lambda name: jvm.org.apache.hadoop.fs.Path(f"{self.home}/{name}")
+        self._path_of = lambda path: jvm.org.apache.hadoop.fs.Path(path)
+        self._path = lambda name: self._path_of(f"{self.home}/{name}")
         self._fs = self._path("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self._bytes = lambda text: bytearray(text.encode())
+        self._lease: Lease | None = None
         self.state = self._load()
 
     def _read(self, name: str) -> str:
@@ -74,13 +106,25 @@ class Store:
     def _load(self) -> dict:
         if not self._fs.exists(self._path("state.json")):
             return json.loads(json.dumps(FRESH))
-        state = json.loads(self._read("state.json"))
+        state = {**FRESH, **json.loads(self._read("state.json"))}
         if state["versions"] != FRESH["versions"]:
             state["projection_status"] = "degraded"
             state["config"]["auto_recall"] = False
         return state
 
+    def refresh(self) -> dict:
+        """The state as it is now; under a lease it is ours already."""
+        if self._lease is None:
+            self.state = self._load()
+        return self.state
+
     def _save(self) -> None:
+        """Makes the state current, if nobody else has changed it since it was read and a lease that is held still is ours."""
+        if self._lease is not None:
+            self._lease.renew()
+        if self._fs.exists(self._path("state.json")) and json.loads(self._read("state.json")).get("revision", 0) != self.state["revision"]:
+            raise StoreError("stale-state", "another writer has changed the index")
+        self.state["revision"] += 1
         name = f"state-{uuid.uuid4().hex}.json"
         out = self._fs.create(self._path(name), True)
         out.write(self._bytes(json.dumps(self.state)))
@@ -93,21 +137,45 @@ class Store:
         whole = self._fs.makeQualified(self._path(name))
         fs.FileContext.getFileContext(whole.toUri(), sc._jsc.hadoopConfiguration()).rename(whole, self._fs.makeQualified(self._path("state.json")), how)
 
-    def table(self, name: str) -> DataFrame:
-        path = self.state["tables"].get(name)
-        return self.spark.read.schema(SCHEMAS[name]).parquet(path) if path else self.spark.createDataFrame([], SCHEMAS[name])
+    def table(self, name: str, buckets: list[int] | None = None) -> DataFrame:
+        """A table, or only these buckets of one that has buckets."""
+        found = self.state["tables"].get(name) or {}
+        paths = [found] if isinstance(found, str) else [p for b, p in sorted(found.items()) if buckets is None or int(b) in buckets]
+        return self.spark.read.schema(SCHEMAS[name]).parquet(*paths) if paths else self.spark.createDataFrame([], SCHEMAS[name])
 
-    def publish(self, tables: dict[str, DataFrame] | None = None, **changes) -> None:
-        """Writes these tables as the next generation and makes them and the changes of the state current at once."""
+    def publish(self, tables: dict[str, DataFrame] | None = None, touched: list[int] | None = None, **changes) -> None:
+        """Writes these tables as the next generation and makes them and the changes of the state current at once.
+
+        Of a table in buckets `tables` has the rows of the buckets `touched` (null: of all), which replace theirs.
+        """
         generation = self.state["generation"] + bool(tables)
-        new = {}
+        new: dict = {}
         for name, df in (tables or {}).items():
-            new[name] = f"{self.home}/generations/{generation}-{uuid.uuid4().hex[:8]}/{name}"
-            columns = [c.split()[0] for c in SCHEMAS[name].split(", ")]
-            df.select(*columns).write.parquet(new[name])
+            path = f"{self.home}/generations/{generation}-{uuid.uuid4().hex[:8]}/{name}"
+            df = df.select(*(c.split()[0] for c in SCHEMAS[name].split(", ")))
+            if name not in BUCKETED:
+                df.write.parquet(path)
+                new[name] = path
+                continue
+            old = self.state["tables"].get(name, {})
+            dealt = df.withColumn("bucket", bucket(F.col("session_id")))
+            dealt.repartitionByRange("bucket", BUCKETED[name]).sortWithinPartitions("bucket", BUCKETED[name]).write.partitionBy("bucket").parquet(path)
+            written = {b: f"{path}/bucket={b}" for b in range(BUCKETS) if self._fs.exists(self._path_of(f"{path}/bucket={b}"))}
+            new[name] = {**{b: p for b, p in old.items() if touched is not None and int(b) not in touched}, **{str(b): p for b, p in written.items()}}
         self.state = {**self.state, **changes, "generation": generation, "tables": {**self.state["tables"], **new}}
         self._save()
 
+    def _without(self, sessions: DataFrame) -> tuple[dict[str, DataFrame], list[int]]:
+        """The bucketed tables without these sessions, in the buckets that have them, and which these are."""
+        touched = sorted(r.b for r in sessions.select(bucket(F.col("session_id")).alias("b")).distinct().collect())
+        return {name: self.table(name, touched).join(sessions, "session_id", "left_anti") for name in BUCKETED}, touched
+
+    def replace_chunks(self, stale: DataFrame, chunks: DataFrame, postings: DataFrame, tables: dict[str, DataFrame], **changes) -> None:
+        """Publishes `tables`, and chunks and postings without those of the sessions `stale`, with the new ones of some of these."""
+        kept, touched = self._without(stale)
+        self.publish({**tables, "chunks": kept["chunks"].unionByName(chunks.select(kept["chunks"].columns)), "postings": kept["postings"].unionByName(postings.select(kept["postings"].columns))}, touched, **changes)
+
+    @changing
     def configure(self, **patch) -> dict:
         unknown = set(patch) - set(self.state["config"])
         if unknown:
@@ -117,19 +185,23 @@ class Store:
         self.publish(config=config)
         return config
 
+    @changing
     def set_projection_status(self, status: str) -> None:
         config = dict(self.state["config"])
         if status != "ready":
             config["auto_recall"] = False
         self.publish(projection_status=status, config=config)
 
+    @changing
     def exclude(self, session: str, reason: str = "user") -> None:
         """The session's chunks go; later scans pass it over."""
         gone = F.col("session_id") == session
         row = self.spark.createDataFrame([(session, now(), reason)], SCHEMAS["exclusions"])
         status = F.when(gone, "excluded").otherwise(F.col("status"))
-        self.publish({"chunks": self.table("chunks").where(~gone), "tokens": self.table("tokens").where(~gone), "exclusions": upsert(self.table("exclusions"), row, ["session_id"]), "sessions": self.table("sessions").withColumn("status", status)})
+        kept, touched = self._without(row.select("session_id"))
+        self.publish({**kept, "exclusions": upsert(self.table("exclusions"), row, ["session_id"]), "sessions": self.table("sessions").withColumn("status", status)}, touched)
 
+    @changing
     def include(self, session: str, rescan: bool = False) -> None:
         """The session may be indexed again: at the next rebuild, or with `rescan` at the next scan."""
         mine = F.col("session_id") == session
@@ -138,28 +210,32 @@ class Store:
             sessions = self._without_cursor(sessions, mine)
         self.publish({"exclusions": self.table("exclusions").where(~mine), "sessions": sessions})
 
+    @changing
     def reconcile(self, session: str) -> None:
         """Marks a session as being replaced: it is hidden from search and nothing of it is recalled."""
         mine = F.col("session_id") == session
-        chunks = self.table("chunks").withColumn("auto_eligible", F.col("auto_eligible") & ~mine)
-        self.publish({"chunks": chunks, "sessions": self.table("sessions").withColumn("status", F.when(mine, "reconciling").otherwise(F.col("status")))})
+        touched = [self.spark.range(1).select(bucket(F.lit(session))).first()[0]]
+        chunks = self.table("chunks", touched).withColumn("auto_eligible", F.col("auto_eligible") & ~mine)
+        self.publish({"chunks": chunks, "sessions": self.table("sessions").withColumn("status", F.when(mine, "reconciling").otherwise(F.col("status")))}, touched)
 
     @staticmethod
     def _without_cursor(sessions: DataFrame, which: Column) -> DataFrame:
-        for name, empty in (("prefix_hash", None), ("trailing_line_hash", None), ("file_size", 0), ("scan_byte_offset", 0)):
+        for name, empty in (("prefix_hash", None), ("trailing_line_hash", None), ("file_size", 0), ("scan_byte_offset", 0), ("listed_bytes", None), ("listed_at", None)):
             sessions = sessions.withColumn(name, F.when(which, F.lit(empty)).otherwise(F.col(name)))
         return sessions
 
+    @changing
     def clear(self) -> None:
         """All bodies go and all cursors are reset: the next scan indexes everything again."""
-        none = F.lit(False)
-        self.publish({"chunks": self.table("chunks").where(none), "tokens": self.table("tokens").where(none), "sessions": self._without_cursor(self.table("sessions"), F.lit(True))})
+        self.state = {**self.state, "tables": {k: v for k, v in self.state["tables"].items() if k not in BUCKETED}}
+        self.publish({"sessions": self._without_cursor(self.table("sessions"), F.lit(True))})
 
+    @changing
     def purge(self) -> None:
         """As `clear`, but excluded sessions keep their cursors, and indexing and automatic recall are switched off."""
-        none = F.lit(False)
         config = {**self.state["config"], "indexing_enabled": False, "auto_recall": False}
-        self.publish({"chunks": self.table("chunks").where(none), "tokens": self.table("tokens").where(none), "sessions": self._without_cursor(self.table("sessions"), F.col("status") != "excluded")}, config=config)
+        self.state = {**self.state, "tables": {k: v for k, v in self.state["tables"].items() if k not in BUCKETED}}
+        self.publish({"sessions": self._without_cursor(self.table("sessions"), F.col("status") != "excluded")}, config=config)
 
     def delete(self) -> None:
         with self.lease("purge-data"):
@@ -169,41 +245,87 @@ class Store:
     def lease(self, holder: str, seconds: int = V.LEASE_SECONDS) -> Lease:
         return Lease(self, holder, seconds)
 
+    @changing
     def diagnose(self, code: str, detail: str = "", session_hash: str | None = None, count: int = 1) -> None:
         """Adds a diagnostic: one line, at most 500 characters."""
         row = self.spark.createDataFrame([(now(), session_hash, code, " ".join(detail.split())[:500], count)], SCHEMAS["diagnostics"])
         self.publish({"diagnostics": self.table("diagnostics").unionByName(row)})
 
+    def misplaced(self) -> DataFrame:
+        """(session_id, file_path) of sessions whose file does not lie under the root that they belong to."""
+        roots = [(keys.root_id(F.lit(r)), F.lit(r.rstrip("/") + "/")) for r in sorted(self.state["roots"])]
+        under = F.lit(False)
+        for id, prefix in roots:
+            under = under | ((F.col("root_id") == id) & F.startswith("file_path", prefix))
+        return self.table("sessions").where((F.col("status") != "deleted") & ~F.coalesce(under, F.lit(False))).select("session_id", "file_path")
+
+    def session_chunks(self, session: str) -> DataFrame:
+        """A session's chunks in order: entries by Unicode collation, then blocks and chunks.  Reads one bucket."""
+        touched = [self.spark.range(1).select(bucket(F.lit(session))).first()[0]]
+        return self.table("chunks", touched).where(F.col("session_id") == session).orderBy(F.collate("entry_id", F.lit("UNICODE")), "block_index", "chunk_index")
+
     def integrity(self) -> dict:
-        """Whether the full-text projection has a row for each chunk and is of these versions."""
-        chunks, tokens = self.table("chunks").count(), self.table("tokens").count()
+        """Whether the projection has the chunks' keys and no others, is of these versions, and every session lies under its root."""
+        chunks = self.table("chunks").select("source_key", (F.col("dl") > 0).alias("told"))
+        indexed = self.table("postings").select("source_key").distinct().withColumn("indexed", F.lit(True))
+        each = chunks.join(indexed, "source_key", "full").agg(
+            F.count("told").alias("chunks"), F.count("indexed").alias("indexed"), F.count_if(F.col("told").isNull()).alias("extra"), F.count_if(F.col("told") & F.col("indexed").isNull()).alias("missing")
+        ).first()
         same = self.state["versions"] == FRESH["versions"]
-        ready = chunks == tokens and same and self.state["projection_status"] == "ready"
-        return {"chunks": chunks, "indexed": tokens, "versions_match": same, "status": self.state["projection_status"], "ready": ready}
+        placed = self.misplaced().isEmpty()
+        status = self.state["projection_status"] if placed and not each.extra and not each.missing else "degraded"
+        return {"chunks": each.chunks, "indexed": each.indexed, "versions_match": same, "paths_match": placed, "status": status, "ready": same and status == "ready"}
+
+    def health(self) -> dict:
+        """What can be told of the home folder without opening a table: whether it is there, can be read, and which parts it has."""
+        there = self._fs.exists(self._path(""))
+        state = there and self._fs.exists(self._path("state.json"))
+        held = there and self._fs.exists(self._path("lease.json"))
+        parts = {name: all(self._fs.exists(self._path_of(p)) for p in ([found] if isinstance(found, str) else found.values())) for name, found in self.state["tables"].items()}
+        return {"home": self.home, "exists": there, "state": bool(state), "lease_held": bool(held), "tables": parts, "healthy": bool(there and state and all(parts.values()))}
 
 
 class Lease:
-    """One writer at a time: a file that only one can create, with an end that lets others take over a dead one's place."""
+    """One writer at a time: a file that only one can create, with an end that lets others take over a dead one's place.
+
+    The holder reads the state anew and renews the lease each time it publishes; a holder that has lost it cannot publish.  Who takes
+    over a dead lease first renames it, which only one can.
+    """
 
     def __init__(self, store: Store, holder: str, seconds: int):
         self.store, self.holder, self.seconds, self.token = store, holder, seconds, uuid.uuid4().hex
 
+    def _write(self, name: str, overwrite: bool) -> None:
+        out = self.store._fs.create(self.store._path(name), overwrite)
+        out.write(self.store._bytes(json.dumps({"holder": self.holder, "token": self.token, "until": time.time() + self.seconds})))
+        out.close()
+
+    def _held(self) -> dict | None:
+        return json.loads(self.store._read("lease.json") or "null") if self.store._fs.exists(self.store._path("lease.json")) else None
+
     def __enter__(self) -> Lease:
         fs, path = self.store._fs, self.store._path("lease.json")
-        if fs.exists(path):
-            held = json.loads(self.store._read("lease.json"))
+        held = self._held()
+        if held is not None:
             if held["until"] > time.time():
                 raise StoreError("lease-held", f"held by {held['holder']}")
-            fs.delete(path, False)
+            if not fs.rename(path, self.store._path(f"lease-dead-{held['token']}-{self.token}.json")):
+                raise StoreError("lease-held", "another writer came first")
         try:
-            out = fs.create(path, False)
+            self._write("lease.json", False)
         except Exception as error:
             raise StoreError("lease-held", "another writer came first") from error
-        out.write(self.store._bytes(json.dumps({"holder": self.holder, "token": self.token, "until": time.time() + self.seconds})))
-        out.close()
+        self.store._lease, self.store.state = self, self.store._load()
         return self
 
+    def renew(self) -> None:
+        held = self._held()
+        if held is None or held["token"] != self.token:
+            raise StoreError("lease-lost", "another writer has taken over")
+        self._write("lease.json", True)
+
     def __exit__(self, *_) -> None:
-        fs, path = self.store._fs, self.store._path("lease.json")
-        if fs.exists(path) and json.loads(self.store._read("lease.json"))["token"] == self.token:
-            fs.delete(path, False)
+        self.store._lease = None
+        held = self._held()
+        if held is not None and held["token"] == self.token:
+            self.store._fs.delete(self.store._path("lease.json"), False)
