@@ -65,7 +65,9 @@ def han(x: Column) -> Column:
 def han_bigrams(x: Column) -> Column:
     """Pairs of neighbours among the Han characters alone, so that a pair may span a gap; a single one stays single."""
     h = han(x)
-    pairs = F.transform(F.sequence(F.lit(1), F.length(h) - 1), lambda i: F.substring(h, i, F.lit(2)))
+    each = F.split(h, "")
+    # Both sides are made once; an expression inside a lambda would be made again for each element.
+    pairs = F.zip_with(F.slice(each, 1, F.size(each) - 1), F.slice(each, 2, F.size(each) - 1), lambda a, b: F.concat(a, b))
     return F.when(F.length(h) >= 2, pairs).when(F.length(h) == 1, F.array(h)).otherwise(F.array().cast("array<string>"))
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from skein.streaming.cuts import cut
+
 
 def recall_at(hits: DataFrame, relevant: DataFrame, k: int = 5) -> DataFrame:
     """One row: recall, the share of queries of `relevant` (query_id, entry_id) with any relevant entry among their first k hits."""
@@ -15,6 +17,31 @@ def recall_at(hits: DataFrame, relevant: DataFrame, k: int = 5) -> DataFrame:
     return relevant.select("query_id").distinct().join(found, "query_id", "left").agg(F.avg(F.coalesce("hit", F.lit(0.0))).alias("recall"))
 
 
+def percentiles(values: DataFrame, group: str, value: str, shares: dict[str, float], bins: int = 1024, most: int = 100_000) -> DataFrame:
+    """(group, a column for each share): the value at place floor(n q), from 0, of a group's values in order.  Nulls do not count.
+
+    A histogram of `bins` equal ranges finds the range of each place; the ranges found are divided again until none holds more than
+    `most` values or only equal ones, so that a long tail does not bring nearly all values into one sort.
+    """
+    each = values.where(F.col(value).isNotNull()).select(F.col(group).alias("g"), F.col(value).cast("double").alias("x"), F.col(value).alias("v"))
+    names = F.explode(F.array(*(F.struct(F.lit(name).alias("name"), F.lit(q).alias("q")) for name, q in shares.items())))
+    # One row a group and share: the range (low, high) that holds the place, and the place inside it.
+    ranges = each.groupBy("g").agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high")).select("*", names.alias("s"))
+    ranges = cut(ranges.select("g", "s.name", "low", "high", "n", F.floor(F.col("n") * F.col("s.q")).alias("place")))
+    inside = lambda: each.join(ranges, "g").where("x >= low AND x <= high")
+    while not ranges.where((F.col("n") > most) & (F.col("high") > F.col("low"))).isEmpty():
+        bin_ = F.when(F.col("high") > F.col("low"), F.least(F.lit(bins - 1), F.floor((F.col("x") - F.col("low")) / (F.col("high") - F.col("low")) * bins))).otherwise(0)
+        counted = inside().groupBy("g", "name", "place", bin_.alias("bin")).agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
+        end = F.sum("n").over(W.partitionBy("g", "name").orderBy("bin"))
+        hit = counted.withColumn("end", end).where("place < end AND place >= end - n")
+        ranges = cut(hit.select("g", "name", "low", "high", "n", (F.col("place") - F.col("end") + F.col("n")).alias("place")))
+    # What is left of a range is few values, or one value many times.
+    tied = inside().groupBy("g", "name", "place", "v").agg(F.count("*").alias("n"))
+    end = F.sum("n").over(W.partitionBy("g", "name").orderBy("v"))
+    found = tied.withColumn("end", end).where("place < end AND place >= end - n")
+    return found.groupBy(F.col("g").alias(group)).agg(*(F.max(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in shares))
+
+
 def leaks(hits: DataFrame, forbidden: DataFrame) -> DataFrame:
     """One row: leaks, how many hits of queries of `forbidden` (query_id, origin_project_key) come from the project they must not."""
     return hits.join(forbidden, ["query_id", "origin_project_key"], "left_semi").agg(F.count("*").alias("leaks"))

@@ -6,12 +6,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions import keys, policy
-from skein.functions import text as X
-from skein.operators import chunker, fts
-from skein.versions import CHUNK_MOST, CHUNK_OVERLAP, CHUNKER_VERSION
+from skein.operators import chunker
+from skein.versions import CHUNKER_VERSION
 
 AS_OF = "2026-06-01 00:00:00"
 
+# What the SQL knows of the policy, the folding of letters and the sizes of chunks, written out here so that it does not follow the
+# library.  Fixed values.
+SPACE = r"\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+REDACTED = [
+    (r"\bsk-[A-Za-z0-9_-]{16,}\b", "[REDACTED_TOKEN]"),
+    (r"\bghp_[A-Za-z0-9]{20,}\b", "[REDACTED_TOKEN]"),
+    (r"\bgithub_pat_[A-Za-z0-9_]{20,}\b", "[REDACTED_TOKEN]"),
+    (r"\bxox[baprs]-[A-Za-z0-9-]{10,}\b", "[REDACTED_TOKEN]"),
+    (r"\bAIza[0-9A-Za-z_-]{20,}\b", "[REDACTED_TOKEN]"),
+    (
+        r"(?i)\b((?:(?:API[_-]?KEY|ACCESS[_-]?KEY(?:_ID)?|SECRET|TOKEN|PASSWORD)|[A-Za-z_][A-Za-z0-9_]*(?:API[_-]?KEY|ACCESS[_-]?KEY(?:_ID)?|SECRET|TOKEN|PASSWORD)[A-Za-z0-9_]*))"
+        rf"[{SPACE}]*[:=][{SPACE}]*['\"]?([^{SPACE}'\"]{{8,}})['\"]?",
+        r"\1=[REDACTED_SECRET]",
+    ),
+    (rf"(?i)((?:https?|git|ssh)://)([^/{SPACE}@]+)@", r"\1[REDACTED_USERINFO]@"),
+]
+REJECTED = [r"-----BEGIN (?:RSA |EC |OPENSSH |DSA )?PRIVATE KEY-----[\s\S]*?-----END (?:RSA |EC |OPENSSH |DSA )?PRIVATE KEY-----", r"^[A-Za-z0-9_\-./+=]{24,}$"]
+UNSAFE = [
+    r"(?i)\[\[session-recall[\s\S]*?\]\]",
+    rf"(?im)^[{SPACE}]*(system|developer)[{SPACE}]*:",
+    rf"(?i)忽略[\s\S]{{0,16}}(?:指令|规则)|ignore[{SPACE}]+(?:all[{SPACE}]+)?(?:previous|prior)[{SPACE}]+instructions|you[{SPACE}]+must[{SPACE}]+run[{SPACE}]+tools",
+]
+MARKED, BASES = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
+WINDOW, STRIDE = 2000, 1920
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -61,32 +85,30 @@ def literal(x: str) -> str:
 
 
 def sql_canonical(x: str) -> str:
-    trimmed = f"^[{X.SPACE}]+|[{X.SPACE}]+$"
+    trimmed = f"^[{SPACE}]+|[{SPACE}]+$"
     return f"regexp_replace(regexp_replace({x}, {literal(chr(13) + chr(10) + '?')}, {literal(chr(10))}, 'g'), {literal(trimmed)}, '', 'g')"
 
 
 def sql_redact(x: str) -> str:
-    for pattern in policy.TOKENS:
-        x = f"regexp_replace({x}, {literal(chr(92) + 'b' + pattern + chr(92) + 'b')}, {literal(policy.TOKEN_FILLER)}, 'g')"
-    x = f"regexp_replace({x}, {literal('(?i)' + chr(92) + 'b' + policy.ASSIGNMENT)}, {literal(chr(92) + '1=' + policy.SECRET_FILLER)}, 'g')"
-    return f"regexp_replace({x}, {literal('(?i)' + policy.USERINFO)}, {literal(chr(92) + '1' + policy.USERINFO_FILLER + '@')}, 'g')"
+    for pattern, filler in REDACTED:
+        x = f"regexp_replace({x}, {literal(pattern)}, {literal(filler)}, 'g')"
+    return x
 
 
 def sql_rejects(x: str) -> str:
-    return f"(length({x}) = 0 OR length({x}) > 100000 OR regexp_matches({x}, {literal(policy.PEM)}) OR regexp_matches({x}, {literal(policy.CREDENTIAL)}))"
+    return f"(length({x}) = 0 OR length({x}) > 100000" + "".join(f" OR regexp_matches({x}, {literal(p)})" for p in REJECTED) + ")"
 
 
 def sql_unsafe(x: str) -> str:
-    return "(" + " OR ".join(f"regexp_matches({x}, {literal(p)})" for p in (policy.recall_marker(), policy.PSEUDO_ROLE, policy.INJECTION)) + ")"
+    return "(" + " OR ".join(f"regexp_matches({x}, {literal(p)})" for p in UNSAFE) + ")"
 
 
 def sql_fold(x: str) -> str:
-    marked, bases = X.accents()
-    return f"translate(lower({x}), {literal(marked)}, {literal(bases)})"
+    return f"translate(lower({x}), {literal(MARKED)}, {literal(BASES)})"
 
 
 def sql_tokens(x: str) -> str:
-    return f"regexp_extract_all({sql_fold(x)}, {literal(X.TOKEN)})"
+    return f"regexp_extract_all({sql_fold(x)}, {literal('[' + chr(92) + 'p{L}' + chr(92) + 'p{N}' + chr(92) + 'p{Co}]+')})"
 
 
 def sql_han(x: str) -> str:
@@ -95,7 +117,7 @@ def sql_han(x: str) -> str:
 
 def sql_bigrams(x: str) -> str:
     h = sql_han(x)
-    return f"CASE WHEN length({h}) >= 2 THEN list_transform(range(1, length({h})), lambda i: substr({h}, i, 2)) WHEN length({h}) = 1 THEN [{h}] ELSE [] END"
+    return f"CASE WHEN length({h}) >= 2 THEN list_transform(list_zip(string_split({h}, '')[1:length({h}) - 1], string_split({h}, '')[2:]), lambda p: p[1] || p[2]) WHEN length({h}) = 1 THEN [{h}] ELSE [] END"
 
 
 SQL_SAID = """
@@ -112,22 +134,21 @@ posts AS (
 
 def sql_chunks(entries: str) -> str:
     """CTEs that end in `chunks` over the CTE `entries`."""
-    stride = CHUNK_MOST - CHUNK_OVERLAP
     return f"""
 clean AS (SELECT * EXCLUDE (text), {sql_canonical('text')} AS before FROM {entries}),
 redacted AS (SELECT *, {sql_redact('before')} AS after FROM clean WHERE NOT {sql_rejects('before')}),
 pieces AS (
-  SELECT *, unnest(range(0, CAST(greatest(1, ceil((length(after) - {CHUNK_MOST}) / {stride}) + 1) AS BIGINT))) AS i FROM redacted),
+  SELECT *, unnest(range(0, CAST(greatest(1, ceil((length(after) - {WINDOW}) / {STRIDE}) + 1) AS BIGINT))) AS i FROM redacted),
 chunks AS (
-  SELECT sha256(session_id || '|' || entry_id || '|' || block_index || '|' || i || '|{CHUNKER_VERSION}') AS source_key, sha256(substr(after, 1 + {stride} * i, {CHUNK_MOST})) AS content_hash,
-         session_id, entry_id, block_index, CAST(i AS INTEGER) AS chunk_index, origin_project_key, role, occurred_at, substr(after, 1 + {stride} * i, {CHUNK_MOST}) AS text,
+  SELECT sha256(session_id || '|' || entry_id || '|' || block_index || '|' || i || '|chunker-v1') AS source_key, sha256(substr(after, 1 + {STRIDE} * i, {WINDOW})) AS content_hash,
+         session_id, entry_id, block_index, CAST(i AS INTEGER) AS chunk_index, origin_project_key, role, occurred_at, substr(after, 1 + {STRIDE} * i, {WINDOW}) AS text,
          NOT {sql_unsafe('after')} AS auto_eligible, CASE WHEN before <> after THEN 'redacted' ELSE 'allow' END AS disposition
   FROM pieces)"""
 
 
-def sql_bm25(query: str, rows: str = "chunks") -> str:
-    """CTEs that end in `ranked` (row, bm25) for one query over `rows` (source_key, text)."""
-    phrases = [(2 * i + f, field, found) for i, term in enumerate(fts.parse_query(query)) if (found := fts.term_tokens(term)) for f, field in enumerate(("content", "cjk"))]
+def sql_bm25(terms: dict[str, list[str]], rows: str = "chunks") -> str:
+    """CTEs that end in `ranked` (row, bm25) for one query, given as its terms and their words, over `rows` (source_key, text)."""
+    phrases = [(2 * i + f, field, found) for i, found in enumerate(terms.values()) for f, field in enumerate(("content", "cjk"))]
     values = ", ".join(f"({p}, '{field}', [{', '.join(map(literal, found))}])" for p, field, found in phrases)
     return f"""
 indexed AS (SELECT source_key, origin_project_key, {sql_tokens('text')} AS content, flatten(list_transform({sql_bigrams('text')}, lambda g: {sql_tokens('g')})) AS cjk FROM {rows}),
@@ -146,9 +167,9 @@ ranked AS (
   FROM weighed GROUP BY ALL)"""
 
 
-def sql_search(query: str, project: str | None = None, late: str = "TRUE", limit: int = 5) -> str:
+def sql_search(query: dict[str, list[str]], project: str | None = None, late: str = "TRUE", limit: int = 5) -> str:
     """CTEs that end in `found` after those of `chunks`."""
-    terms = "[" + ", ".join(map(literal, fts.parse_query(query))) + "]"
+    terms = "[" + ", ".join(map(literal, query)) + "]"
     scope = f"WHERE origin_project_key = {literal(project)}" if project else ""
     return f"""{sql_bm25(query)},
 matches AS (SELECT source_key, bm25 FROM ranked {scope} ORDER BY bm25, source_key LIMIT 256),
