@@ -26,6 +26,8 @@ from .components import components
 SEED = 42
 #: The most fingerprints in a tile, about, and the most entries of a comparison held at once.
 TILE, BLOCK = 32_768, 1 << 21
+#: The most sets, about, in a tile that has the shingles themselves.
+SET_TILE = 1024
 
 #: Words of a shingle, 64-bit words of a fingerprint, and NUM / DEN, the similarity from which two sets are near copies.
 SHINGLE, WORDS, NUM, DEN = 5, 16, 4, 5
@@ -225,15 +227,18 @@ def _described(docs: DataFrame) -> DataFrame:
 
 
 class _Tile:
-    """The items (key, n, root, print) of a tile."""
+    """The items (key, n, root, print) of a tile, with their sets if they come along."""
 
     def __init__(self, of):
-        self.key, self.n, self.root = (of.values.field(k).to_numpy(zero_copy_only=False) for k in ("key", "n", "root"))
-        self.print = np.frombuffer(b"".join(of.values.field("print").to_pylist()), np.uint64).reshape(-1, WORDS)
+        values = of.values
+        self.key, self.n, self.root = (values.field(k).to_numpy(zero_copy_only=False) for k in ("key", "n", "root"))
+        self.print = np.frombuffer(b"".join(values.field("print").to_pylist()), np.uint64).reshape(-1, WORDS)
+        self.sets = [x.values.to_numpy(zero_copy_only=False) for x in values.field("of")] if values.type.get_field_index("of") >= 0 else []
 
     def __add__(self, other: _Tile) -> _Tile:
         both = object.__new__(_Tile)
         both.key, both.n, both.root, both.print = (np.concatenate([getattr(self, k), getattr(other, k)]) for k in ("key", "n", "root", "print"))
+        both.sets = self.sets + other.sets
         return both
 
 
@@ -285,15 +290,26 @@ def _span(tile: _Tile, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tile.key[np.concatenate([sure, u])], tile.key[np.concatenate([ends, v])], np.arange(len(sure) + len(u)) < len(sure)
 
 
-def _crossing(tile: _Tile, first: int):
-    """(u, v): keys of all pairs of the tile that may be near copies and have different roots."""
-    for i, j, _ in _alike(tile, first, NEAR, FAR, Forest(len(tile.key))):
-        apart = tile.root[i] != tile.root[j]
-        yield tile.key[i[apart]], tile.key[j[apart]]
-
-
-def _compared(sets: DataFrame, tile: int, spanning: bool) -> DataFrame:
-    """(u, v, sure) of distinct sets (key, n, print, ones, root): pairs that span what may be alike, or all pairs that cross roots."""
+def _join(tile: _Tile, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(u, v, True): keys of pairs with the similarity that join what has different roots.  Each pair that may be alike and is not yet
+    joined is verified by its sets, the likelier ones first in a block."""
+    forest, u, v = Forest(len(tile.key)), [], []
+    _, at, back = np.unique(tile.root, return_index=True, return_inverse=True)
+    forest.link(np.arange(len(tile.key)), at[back])
+    for i, j, bits in _alike(tile, first, NEAR, FAR, forest):
+        order = np.argsort(bits, kind="stable")
+        for a, b in zip(i[order].tolist(), j[order].tolist()):
+            if forest.up[a] != forest.up[b]:
+                both = len(np.intersect1d(tile.sets[a], tile.sets[b], assume_unique=True))
+                if (NUM + DEN) * both >= NUM * (len(tile.sets[a]) + len(tile.sets[b])):
+                    u.append(a)
+                    v.append(b)
+                    forest.link(np.array([a]), np.array([b]))
+    return tile.key[np.array(u, np.int64)], tile.key[np.array(v, np.int64)], np.ones(len(u), bool)
+
+
+def _compared(sets: DataFrame, tile: int, pairs) -> DataFrame:
+    """(u, v, sure): what `pairs`, `_span` or `_join`, gives for the tiles of distinct sets (key, n, print, ones, root and maybe of)."""
     # A size class is a factor of DEN / NUM wide, and a little more, and a count class FAR + 1 bits: pairs lie in equal or neighbouring ones.
     placed = sets.withColumn("p", F.floor(F.log("n") / (1.0001 * math.log(DEN / NUM))).cast("int")).withColumn("q", F.floor(F.col("ones") / (FAR + 1)).cast("int"))
     steps = [(0, 0), (0, 1), (1, -1), (1, 0), (1, 1)]
@@ -303,25 +319,28 @@ def _compared(sets: DataFrame, tile: int, spanning: bool) -> DataFrame:
             for same, a, b in zip(*(batch.column(i) for i in range(3))):
                 a = _Tile(a)
                 first, whole = (0, a) if same.as_py() else (len(a.key), a + _Tile(b))
-                found = [_span(whole, first)] if spanning else ((u, v, np.zeros(len(u), bool)) for u, v in _crossing(whole, first))
-                for u, v, sure in found:
-                    for at in range(0, len(u), 65536):
-                        c = slice(at, at + 65536)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u[c], v[c])), pa.array(np.maximum(u[c], v[c])), pa.array(sure[c])], names=["u", "v", "sure"])
+                u, v, sure = pairs(whole, first)
+                for at in range(0, len(u), 65536):
+                    c = slice(at, at + 65536)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u[c], v[c])), pa.array(np.maximum(u[c], v[c])), pa.array(sure[c])], names=["u", "v", "sure"])
 
-    return _meetings(placed, F.struct("key", "n", "root", "print"), steps, tile).mapInArrow(compare, "u long, v long, sure boolean")
+    return _meetings(placed, F.struct(*(c for c in ("key", "n", "root", "print", "of") if c in sets.columns)), steps, tile).mapInArrow(compare, "u long, v long, sure boolean")
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, own: DataFrame) -> DataFrame:
-    """(u, v, near) for pairs of keys: whether their sets have the similarity.  Texts of keys in a pair only become sets."""
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct()
-    chosen = own.join(wanted, "key", "left_semi").groupBy("key").agg(F.min("row").alias("row"))
+def _sets(keys: DataFrame, rows: DataFrame, own: DataFrame) -> DataFrame:
+    """(key, of): the sets of distinct keys, each from the text of one row that has it."""
+    chosen = common.lookup(own, keys, "key").groupBy("key").agg(F.min("row").alias("row"))
 
     def make():
         return lambda batch: [pa.array([shingles(x).view(np.int64) for x in common.texts(batch, "text")], pa.list_(pa.int64()))]
 
     texts = common.lookup(rows.select("row", "text"), chosen, "row").dropDuplicates(["row"])
-    sets = common.cut(common.append(texts, [T.StructField("of", T.ArrayType(T.LongType()))], make, "text").select("key", "of"))
+    return common.cut(common.append(texts, [T.StructField("of", T.ArrayType(T.LongType()))], make, "text").select("key", "of"))
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, own: DataFrame) -> DataFrame:
+    """(u, v, near) for pairs of keys: whether their sets have the similarity."""
+    sets = _sets(pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct(), rows, own)
     a, b = (sets.select(F.col("key").alias(k), F.col("of").alias(f"of_{k}")) for k in ("u", "v"))
     both = F.size(F.array_intersect("of_u", "of_v"))
     near = (NUM + DEN) * both >= NUM * (F.size("of_u") + F.size("of_v"))
@@ -332,13 +351,13 @@ def near_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", tile:
     """(id, row, root) for each row of `docs`: `row` its hash, `root` the same for rows that chains of near copies join.
 
     Equal sets are one class whatever their rows; null, empty and blank texts have no shingle and are one class.  First the pairs
-    that span all likely links are verified; only where one of them fails, the pairs that still cross classes are.  These are as
-    many as there are pairs alike but not near enough in such a group.
+    that span all likely links are verified, one less than there are sets at most.  Only where one of them fails, the group's sets
+    meet in tiles, where every pair that still crosses classes is: as long as there are pairs alike but not near enough.
     """
     rows = docs.select(F.col(id).alias("id"), common.row_hash(docs).alias("row"), F.col(text).alias("text"))
     own = common.cut(_described(rows).drop("text"))
     sets = common.cut(own.where("n > 0").groupBy("key").agg(F.min("n").alias("n"), F.min("print").alias("print"), F.min("ones").alias("ones")).withColumn("root", F.col("key")))
-    found = common.cut(_compared(sets, tile, True).groupBy("u", "v").agg(F.max("sure").alias("sure")))
+    found = common.cut(_compared(sets, tile, _span).groupBy("u", "v").agg(F.max("sure").alias("sure")))
     verified = _verified(found.where("NOT sure"), rows, own)
     links = found.where("sure").select("u", "v").unionByName(verified.where("near").select("u", "v"))
     roots = components(links)
@@ -347,10 +366,9 @@ def near_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", tile:
         # Of the groups that the spanning pairs join, those with a pair that failed are compared again.
         groups = components(found.select("u", "v"))
         touched = groups.join(failed.select(F.col("u").alias("node")).distinct(), "node").select("root").distinct()
-        nodes = groups.join(touched, "root", "left_semi").select(F.col("node").alias("key"))
-        again = sets.drop("root").join(nodes, "key", "left_semi").join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-        rest = common.cut(_compared(again, tile, False).select("u", "v").distinct().join(failed, ["u", "v"], "left_anti"))
-        roots = components(links.unionByName(_verified(rest, rows, own).where("near").select("u", "v")))
+        nodes = common.cut(groups.join(touched, "root", "left_semi").select(F.col("node").alias("key")))
+        again = sets.drop("root").join(_sets(nodes, rows, own), "key").join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+        roots = components(links.unionByName(_compared(again, min(tile, SET_TILE), _join).select("u", "v")))
     return common.lookup(own, roots.select(F.col("node").alias("key"), "root"), "key", "left").select(F.col("id").alias(id), "row", F.coalesce("root", "key").alias("root"))
 
 
