@@ -40,7 +40,7 @@ def role_filter(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT role, count(*) AS n FROM conversations GROUP BY role")
 def role_histogram(spark, d):
-    return table(spark, d, "conversations").groupBy("role").agg(F.count("*").alias("n"))
+    return scan.histogram(table(spark, d, "conversations"), "role").withColumnRenamed("count", "n")
 
 
 @query("SELECT conv_id, count(*) AS n, CAST(sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) AS BIGINT) AS n_user, max(turn) AS last_turn FROM conversations GROUP BY conv_id")
@@ -378,6 +378,83 @@ def scan_disposition(spark, d):
     return seen.select("conv_id", found.alias("disposition"), F.col("c.size_bytes").alias("size_bytes"), F.col("c.prefix_hash").alias("prefix_hash"))
 
 
+# Conversations as session files: a header, then a line a turn with either line end, and among them lines of an unknown type, broken
+# ones and empty ones; the last line is torn.  Some headers are of an old version or lack a field.
+_FILES = r"""clean AS (SELECT conv_id, turn, role, regexp_replace(text, '[\x00-\x1F"\\]', ' ', 'g') AS t FROM conversations),
+made AS (
+  SELECT DISTINCT conv_id, -1 AS turn, 0 AS k, '{"type":"session","version":' || CASE WHEN conv_id % 7 = 3 THEN 2 ELSE 3 END || ',"id":"s' || conv_id || '","timestamp":"2026-01-01T00:00:00Z"' || CASE WHEN conv_id % 7 = 5 THEN '' ELSE ',"cwd":"/work/p' || conv_id % 10 || '"' END || '}' AS line, chr(10) AS ending FROM clean
+  UNION ALL SELECT conv_id, turn, 0, '{"type":"message","id":"e' || turn || '","parentId":' || CASE WHEN turn = 0 THEN 'null' ELSE '"e' || (turn - 1) || '"' END || ',"timestamp":"2026-01-01T00:00:01Z","message":{"role":"' || role || '","content":'
+    || CASE WHEN turn % 3 = 1 THEN '[{"type":"thinking","text":"x"},{"type":"text","text":""},{"type":"text","text":"' || t || '"}]' ELSE '"' || t || '"' END || '}}', CASE WHEN turn % 2 = 1 THEN chr(13) || chr(10) ELSE chr(10) END FROM clean
+  UNION ALL SELECT conv_id, turn, 1, '{"type":"mystery","id":"x' || turn || '","parentId":null,"timestamp":"t"}', chr(10) FROM clean WHERE turn % 4 = 1
+  UNION ALL SELECT conv_id, turn, 2, '', chr(10) FROM clean WHERE turn % 3 = 0
+  UNION ALL SELECT conv_id, turn, 3, '{"type":', chr(10) FROM clean WHERE turn % 5 = 2),
+placed AS (SELECT *, CAST(sum(strlen(line) + strlen(ending)) OVER (PARTITION BY conv_id ORDER BY turn, k) - strlen(line) - strlen(ending) AS BIGINT) AS byte_offset FROM made),
+lines AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, k) - 1 AS pos FROM placed WHERE line <> '')"""
+
+
+def _files(spark, d):
+    """(path, length, content) of the session files."""
+    turn, id = F.col("turn").cast("string"), F.col("conv_id").cast("string")
+    clean = table(spark, d, "conversations").select("conv_id", "turn", "role", F.regexp_replace("text", r'[\x00-\x1F"\\]', " ").alias("t"))
+    head = F.concat(F.lit('{"type":"session","version":'), F.when(F.col("conv_id") % 7 == 3, "2").otherwise("3"), F.lit(',"id":"s'), id, F.lit('","timestamp":"2026-01-01T00:00:00Z"'), F.when(F.col("conv_id") % 7 == 5, "").otherwise(F.concat(F.lit(',"cwd":"/work/p'), (F.col("conv_id") % 10).cast("string"), F.lit('"'))), F.lit("}\n"))
+    parent = F.when(F.col("turn") == 0, "null").otherwise(F.concat(F.lit('"e'), (F.col("turn") - 1).cast("string"), F.lit('"')))
+    said = F.when(F.col("turn") % 3 == 1, F.concat(F.lit('[{"type":"thinking","text":"x"},{"type":"text","text":""},{"type":"text","text":"'), F.col("t"), F.lit('"}]'))).otherwise(F.concat(F.lit('"'), F.col("t"), F.lit('"')))
+    message = F.concat(F.lit('{"type":"message","id":"e'), turn, F.lit('","parentId":'), parent, F.lit(',"timestamp":"2026-01-01T00:00:01Z","message":{"role":"'), F.col("role"), F.lit('","content":'), said, F.lit("}}"), F.when(F.col("turn") % 2 == 1, "\r\n").otherwise("\n"))
+    more = [F.when(F.col("turn") % 4 == 1, F.concat(F.lit('{"type":"mystery","id":"x'), turn, F.lit('","parentId":null,"timestamp":"t"}\n'))), F.when(F.col("turn") % 3 == 0, "\n"), F.when(F.col("turn") % 5 == 2, '{"type":\n')]
+    text = F.concat(message, *(F.coalesce(x, F.lit("")) for x in more))
+    whole = clean.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", text.alias("text")))).alias("of"))
+    content = F.concat(head, F.array_join(F.transform("of", lambda x: x["text"]), ""), F.lit('{"torn":')).cast("binary")
+    return whole.select(F.concat(F.lit("/data/c"), id, F.lit(".jsonl")).alias("path"), F.octet_length(content).cast("long").alias("length"), content.alias("content"))
+
+
+@query(rf"""WITH {_FILES} SELECT '/data/c' || conv_id || '.jsonl' AS path, CAST(pos AS INTEGER) AS pos, byte_offset, sha256(line) AS line_hash FROM lines""")
+def jsonl_lines(spark, d):
+    return sessions.lines(_files(spark, d)).select("path", F.col("pos").cast("int").alias("pos"), "byte_offset", "line_hash")
+
+
+@query("""SELECT DISTINCT '/data/c' || conv_id || '.jsonl' AS path, CASE conv_id % 7 WHEN 3 THEN 'legacy-unsupported' WHEN 5 THEN 'header-invalid' ELSE 'ok' END AS status, CASE WHEN conv_id % 7 IN (3, 5) THEN NULL ELSE 's' || conv_id END AS session_id,
+  CASE WHEN conv_id % 7 IN (3, 5) THEN NULL ELSE '/work/p' || conv_id % 10 END AS cwd, CASE conv_id % 7 WHEN 3 THEN 'v2' WHEN 5 THEN 'fields' END AS detail FROM conversations""")
+def jsonl_headers(spark, d):
+    files = cut(_files(spark, d))
+    return sessions.headers(sessions.lines(files), files).select("path", "status", "session_id", "cwd", "detail")
+
+
+@query(rf"""WITH {_FILES} SELECT 's' || conv_id AS session_id, CAST(pos AS INTEGER) AS pos, CASE k WHEN 0 THEN 'message' ELSE 'mystery' END AS type, CASE k WHEN 0 THEN 'e' || turn ELSE 'x' || turn END AS entry_id,
+  CASE WHEN k = 0 AND turn > 0 THEN 'e' || (turn - 1) END AS parent_id, CASE k WHEN 0 THEN role END AS role, CAST(CASE WHEN k = 0 AND t <> '' AND role IN ('user', 'assistant') THEN 1 ELSE 0 END AS INTEGER) AS blocks,
+  CASE WHEN k = 0 AND t <> '' AND role IN ('user', 'assistant') THEN t END AS said FROM lines JOIN clean USING (conv_id, turn) WHERE k IN (0, 1) AND conv_id % 7 NOT IN (3, 5)""")
+def jsonl_entries(spark, d):
+    files = cut(_files(spark, d))
+    split = cut(sessions.lines(files))
+    found = sessions.entries(sessions.parsed(split, sessions.headers(split, files)))
+    return found.select("session_id", F.col("pos").cast("int").alias("pos"), "type", "entry_id", "parent_id", "role", F.greatest(F.size("text_blocks"), F.lit(0)).alias("blocks"), F.try_element_at("text_blocks", F.lit(1)).alias("said"))
+
+
+@query(rf"""WITH {_FILES} SELECT '/data/c' || conv_id || '.jsonl' AS path, CASE conv_id % 7 WHEN 3 THEN 'legacy-unsupported' ELSE 'header-invalid' END AS code, CASE conv_id % 7 WHEN 3 THEN 'v2' ELSE 'fields' END AS detail, count(*) AS n FROM lines WHERE pos = 0 AND conv_id % 7 IN (3, 5) GROUP BY ALL
+UNION ALL SELECT '/data/c' || conv_id || '.jsonl', 'entry-malformed', CASE k WHEN 1 THEN 'unknown-type' ELSE 'json' END, count(*) FROM lines WHERE k IN (1, 3) AND conv_id % 7 NOT IN (3, 5) GROUP BY ALL""")
+def jsonl_diagnostics(spark, d):
+    files = cut(_files(spark, d))
+    split = cut(sessions.lines(files))
+    heads = cut(sessions.headers(split, files))
+    return sessions.diagnostics(heads, sessions.parsed(split, heads)).groupBy("path", "code", "detail").agg(F.count("*").alias("n"))
+
+
+@query(rf"""WITH {_FILES} SELECT '/data/c' || conv_id || '.jsonl' AS path, CAST(sum(strlen(line) + strlen(ending)) AS BIGINT) AS byte_offset, sha256(string_agg(line || ending, '' ORDER BY turn, k)) AS prefix_hash,
+  sha256(arg_max(line, struct_pack(turn := turn, k := k)) FILTER (WHERE line <> '')) AS trailing_line_hash FROM made GROUP BY conv_id""")
+def file_cursors(spark, d):
+    return _files(spark, d).select("path", scan.cursor(F.col("content")).alias("c")).select("path", "c.byte_offset", "c.prefix_hash", "c.trailing_line_hash")
+
+
+@query("""WITH known AS (SELECT DISTINCT conv_id, conv_id % 4 AS root, CASE WHEN conv_id % 11 = 0 THEN 'excluded' ELSE 'active' END AS status FROM conversations),
+found AS (SELECT DISTINCT conv_id FROM conversations WHERE turn = 0 AND role = 'user' AND conv_id % 3 <> 0)
+SELECT 's' || conv_id AS session_id, root <> 3 AND status <> 'excluded' AND conv_id NOT IN (SELECT conv_id FROM found) AS gone FROM known""")
+def deleted_files(spark, d):
+    """Sessions whose file a scan of three of four roots does not find."""
+    turns, id = table(spark, d, "conversations"), F.concat(F.lit("s"), F.col("conv_id").cast("string")).alias("session_id")
+    known = turns.select("conv_id", id, F.when(F.col("conv_id") % 11 == 0, "excluded").otherwise("active").alias("status")).distinct()
+    found = turns.where("turn = 0 AND role = 'user' AND conv_id % 3 <> 0").select(id)
+    return scan.gone(known, found, F.col("conv_id") % 4 != 3).select("session_id", "gone")
+
+
 @query("""SELECT conv_id, turn, CASE WHEN role NOT IN ('user', 'assistant') THEN 0 WHEN turn % 3 = 0 THEN 1 ELSE 2 END AS blocks,
   CASE WHEN role NOT IN ('user', 'assistant') THEN NULL ELSE text END AS first_block FROM conversations""")
 def json_blocks(spark, d):
