@@ -20,7 +20,7 @@ from . import common
 
 START = "▁"  # begins a word in the vocabulary
 UNDETERMINED = "und"
-#: Words that a task remembers, and the longest of them.  Longest word used in fitting.  Most languages of a model: the broadcast is at most 25 MB.
+#: Words that a task remembers, and the longest of them.  Longest word used in fitting.  Most languages of a model: the broadcast is at most 51 MB.
 REMEMBERED, REMEMBERED_CHARS, FIT_CHARS, MOST_LANGUAGES = 500_000, 40, 40, 200
 
 

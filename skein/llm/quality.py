@@ -103,11 +103,13 @@ def train(x: np.ndarray, y: np.ndarray, epochs: int = 15, batch: int = 128, rate
 def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "quality", most_rows: int = 4000) -> Model:
     """A model from at most `most_rows` labelled rows that are not held out, those with the lowest hash of their id.
 
-    Their features, at most 66 MB, are the only thing that comes to the driver.
+    Of rows of `docs` that share an id one is taken, and of labels of an id the lower one.  Their features, at most 66 MB, are the only
+    thing that comes to the driver.  Null and empty texts have features like any other; without a labelled row the model is neutral.
     """
     rows = labels.where(F.col(label).isNotNull() & F.col(id).isNotNull() & ~common.held_out(id)).select(F.col(id).alias("of"), F.col(label).cast("int").alias("label"))
-    sample = rows.orderBy(F.xxhash64(F.lit("quality"), "of"), "of", "label").limit(most_rows)
-    chosen = docs.join(F.broadcast(sample), F.col(id) == F.col("of")).select(F.col(id).cast("string").alias("id"), F.col(text).alias("text"), "label")
+    sample = rows.groupBy("of").agg(F.min("label").alias("label")).orderBy(F.xxhash64(F.lit("quality"), "of"), "of").limit(most_rows)
+    chosen = docs.join(F.broadcast(sample), F.col(id) == F.col("of")).select(F.col(id).cast("string").alias("id"), F.struct(F.xxhash64(text).alias("h"), F.col(text).alias("text"), "label").alias("row"))
+    chosen = chosen.groupBy("id").agg(F.min("row").alias("row")).select("id", "row.text", "row.label")
 
     def extract(batches):
         features = Features()

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import common
+
 #: The broadcast trie has at most so many rules and characters (some 500 bytes a rule in memory); longer lists are matched by a join.
 MOST_RULES, MOST_CHARS = 200_000, 16_000_000
 #: Fixed rules of the registered query: (verdict, host and path).
@@ -98,17 +100,17 @@ def _by_trie(parsed: DataFrame, rules: Sequence[tuple[str, str]], default: str)
 
 
 def _by_join(parsed: DataFrame, rules: DataFrame, default: str) -> DataFrame:
-    """For rule lists of any size: each url asks for every suffix of its host, and rules of that host are tested on its path."""
+    """For rule lists of any size: each host and path asks for every suffix of its host, whose rules are tested on the path."""
     host, path = F.regexp_extract("rule", "^([^/]*)", 1), F.regexp_extract("rule", "^[^/]*(.*)$", 1)
     listed = rules.select(F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").alias("suffix"), path.alias("start"), "rule", F.col("verdict").alias("says"))
     listed = listed.groupBy("suffix").agg(F.collect_list(F.struct("start", "rule", "says")).alias("of"))
     labels = F.split("host", r"\.")
     suffixes = F.concat(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")), F.array(F.lit("")))
-    asked = parsed.withColumn("row", F.monotonically_increasing_id())
+    asked = parsed.select("host", "path").distinct()
     fits = F.filter("of", lambda r: F.startswith(F.col("path"), r["start"]))
     longest = F.array_max(F.transform(fits, lambda r: F.struct(F.length("suffix").alias("a"), F.length(r["start"]).alias("b"), r["rule"].alias("rule"), r["says"].alias("says"))))
-    hits = asked.select("row", "path", F.explode(F.array_distinct(suffixes)).alias("suffix")).join(listed, "suffix").select("row", longest.alias("x")).groupBy("row").agg(F.max("x").alias("x"))
-    return asked.join(hits, "row", "left").select(*parsed.columns, F.col("x.rule").alias("rule"), F.coalesce("x.says", F.lit(default)).alias("verdict"))
+    hits = asked.select("host", "path", F.explode(F.array_distinct(suffixes)).alias("suffix")).join(listed, "suffix").select("host", "path", longest.alias("x")).groupBy("host", "path").agg(F.max("x").alias("x"))
+    return common.lookup(parsed.withColumn("place", F.struct("host", "path")), hits.select(F.struct("host", "path").alias("place"), "x"), "place", "left").select(*parsed.columns, F.col("x.rule").alias("rule"), F.coalesce("x.says", F.lit(default)).alias("verdict"))
 
 
 def filter_urls(df: DataFrame, rules: Sequence[tuple[str, str]] | DataFrame, url: str = "url", default: str = "allow", most_rules: int = MOST_RULES) -> DataFrame:
