@@ -138,7 +138,10 @@ def agreement(a: str, b: str) -> Column:
 
 
 def append_fingerprint(docs: DataFrame, text: str = "text") -> DataFrame:
-    """`docs` with `fingerprint` (string) of each whole text; null counts as empty.  A column of this name is replaced."""
+    """`docs` with `fingerprint` (string) of each whole text, however long; null counts as empty.  A column of this name is replaced.
+
+    Equal texts, so repeated rows too, have equal fingerprints; an empty table gives no rows.
+    """
     from pyspark.sql import types as T
 
     make = lambda: lambda batch: [pa.array(text_of(fingerprints(common.texts(batch, text))), pa.string())]

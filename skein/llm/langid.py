@@ -274,6 +274,10 @@ def predict(docs: DataFrame, vocabulary: str, model: tuple[list[str], np.ndarray
 
 
 def keep_identified(docs: DataFrame, vocabulary: str, least: float = 0.5) -> DataFrame:
-    """The rows of `docs` whose language is determined with at least this probability, with their own columns."""
+    """The rows of `docs` whose language is determined with at least this probability, with their own columns, whatever their names.
+
+    Null texts, and those without a letter, go; repeated rows are judged alike; an empty table, or one without a language to learn
+    from, keeps nothing.  Texts count whole, however long.
+    """
     packed = docs.select(F.struct(*docs.columns).alias("row"), "text")
     return predict(packed, vocabulary, fit(docs, vocabulary)).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).select("row.*")

@@ -151,6 +151,25 @@ def plain_targets(sizes, most=3):
         capped |= more
 
 
+def test_mixing_odds(spark):
+    """Certain copies go to all; of the rest, documents of more words are taken more often, and ties of repeated rows together."""
+    rows = [(i, "big" if i % 4 else "small", " ".join(["w"] * (25 if i % 2 else 400))) for i in range(4000)]
+    docs = spark.createDataFrame(rows + [(9, "big", "tie")] * 3, "doc_id long, source string, text string")
+    got = collections.defaultdict(list)
+    ties = set()
+    for r in mixing.shares(docs).collect():
+        got[r.target > r.source_size, r.size].append(r.taken / r.size)
+        if r.size == 1:
+            ties.add(r.taken)
+    assert len(ties) == 1
+    for more in {k[0] for k in got}:
+        short, long = np.array(got[more, 25] or [0]), np.array(got[more, 400] or [0])
+        whole = np.floor(min(short.min(), long.min()))
+        assert set(np.unique(np.concatenate([short, long]))) <= {whole, whole + 1}
+        if len(short) > 50 and len(long) > 50:
+            assert long.mean() > short.mean() + 0.1
+
+
 @pytest.mark.parametrize("sizes", [{"a": 100, "b": 100, "c": 100}, {"a": 1, "b": 2, "c": 1000, None: 5}, {"a": 0, "é": 10, "z": 30, "zz": 1, "b": 70}, {"only": 7}, {"a": 1, "b": 1, "c": 1, "d": 100, "e": 1, "f": 50}])
 def test_targets(spark, sizes):
     df = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
@@ -218,6 +237,30 @@ def test_url_rules(spark):
         url_filter.filter_urls(spark.createDataFrame([("x",)], "url string"), [("maybe", "a/")])
 
 
+@pytest.mark.parametrize("rows", [0, 1])
+def test_pipeline_odd_rows(spark, tmp_path, rows):
+    """Repeated ids and rows, nulls in all columns, a very long text, other columns with names the stages use, or no row at all."""
+    import corpus_pipeline as pipeline
+
+    long = prose(60_000, 5)
+    odd = [(1, "the first of two texts with one id " + prose(60, 1), "en", "a"), (1, "the second of two texts with one id " + prose(60, 2), "en", "a"), (2, "said twice " + prose(60, 3), "en", None)]
+    odd += [odd[2], (None, "no id " + prose(60, 4), "en", "a"), (None, None, None, None), (3, "", "de", "b"), (4, long, "en", "b")] + [(10 + i, "und das ist der Text " + prose(50, 20 + i), "de", "b") for i in range(20)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, Score double, root string, removed int, row int, token_ids string"
+    docs = spark.createDataFrame([(i, t, lang, s, None if t is None else len(t), 1.0, "r", 7, None, "x") for i, t, lang, s in odd][: len(odd) * rows], schema)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for k, (name, stage) in enumerate(pipeline.STAGES):
+        docs = stage(spark, spark.read.parquet(f"{tmp_path}/documents.parquet" if k == 0 else f"{tmp_path}/{k - 1}"), str(tmp_path))
+        docs.write.parquet(f"{tmp_path}/{k}")
+    out = spark.read.parquet(f"{tmp_path}/4").collect()
+    kept = spark.read.parquet(f"{tmp_path}/2").collect()
+    assert k == 4 and all(r.round_trip for r in out)
+    if not rows:
+        assert out == []
+        return
+    near = {(r.doc_id, r.text) for r in kept}
+    assert {(i, t) for i, t, _, _ in odd if i in (1, 2, None, 4) and t} == near - {x for x in near if (x[0] or 0) >= 10} and sum(r.doc_id == 2 for r in kept) == 1
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as pipeline
 
