@@ -262,7 +262,7 @@ class Store:
     def session_chunks(self, session: str) -> DataFrame:
         """A session's chunks in order: entries by Unicode collation, then blocks and chunks.  Reads one bucket."""
         touched = [self.spark.range(1).select(bucket(F.lit(session))).first()[0]]
-        return self.table("chunks", touched).where(F.col("session_id") == session).orderBy(F.collate("entry_id", F.lit("UNICODE")), "block_index", "chunk_index")
+        return self.table("chunks", touched).where(F.col("session_id") == session).orderBy(F.collate("entry_id", "UNICODE"), "block_index", "chunk_index")
 
     def integrity(self) -> dict:
         """Whether the projection has the chunks' keys and no others, is of these versions, and every session lies under its root."""

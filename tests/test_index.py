@@ -156,6 +156,37 @@ def test_lifecycle(spark, tmp_path, capsys):
     assert not (tmp_path / "home").exists()
 
 
+def test_writers(spark, tmp_path):
+    """Two objects on one home do not undo each other's changes; a lease that is taken over stops the writer that lost it."""
+    root = tmp_path / "in"
+    for name in "ab":
+        write(root / f"{name}.jsonl", header(name), message("Z" + name, "user", f"{name} lastword"), message("é" + name, "user", f"{name} secondword"), message("a" + name, "user", f"{name} firstword"))
+    one = SessionIndex(spark, str(tmp_path / "home"))
+    one.setup([str(root)])
+    other = SessionIndex(spark, str(tmp_path / "home"))
+    one.index()
+    assert other.index()["dispositions"] == {"unchanged": 2} and {r.session_id for r in other.search("firstword").collect()} == {"a", "b"}
+    # A session's chunks come in the order of their collated entries, from one bucket.
+    assert [r.entry_id for r in one.store.session_chunks("a").collect()] == ["aa", "éa", "Za"]
+    one.exclude_session("a")
+    other.exclude_session("b")
+    one.store.refresh()
+    assert {r.session_id for r in one.store.table("exclusions").collect()} == {"a", "b"} and one.store.table("chunks").isEmpty()
+    assert one.store.integrity()["ready"] and one.store.health()["healthy"]
+    with one.store.lease("slow", seconds=-1):
+        with other.store.lease("quick"), pytest.raises(StoreError, match="taken over"):
+            one.store.publish(projection_status="partial")
+    with one.store.lease("early"):
+        pass
+    other.store.state["revision"] -= 1
+    with pytest.raises(StoreError, match="another writer"):
+        other.store.publish(projection_status="partial")
+    # A root that no longer holds a session's file leaves the projection degraded.
+    with one.store.lease("roots"):
+        one.store.publish(roots={str(tmp_path / "elsewhere"): True})
+    assert one.store.integrity()["status"] == "degraded" and one.store.misplaced().count() == 2
+
+
 def test_follow(spark, tmp_path):
     root = tmp_path / "in"
     write(root / "a.jsonl", header("a"), message("a1", "user", "streamedword"))
