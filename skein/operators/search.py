@@ -46,6 +46,23 @@ def first_of_each_text(df: DataFrame) -> DataFrame:
     return df.withColumn("nth", F.row_number().over(w)).where("nth = 1").drop("nth")
 
 
+def looked_up(matches: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Matches with the whole rows of their chunks, which are read only now."""
+    return matches.join(chunks, "source_key")
+
+
+def allowed(rows: DataFrame, sessions: DataFrame, options: Options) -> DataFrame:
+    """Rows of active sessions that pass the filters that come after the best matches are taken."""
+    rows = rows.join(sessions.where("status = 'active'").select("session_id"), "session_id", "left_semi")
+    if options.exclude_session is not None:
+        rows = rows.where(F.col("session_id") != options.exclude_session)
+    if options.auto_eligible_only:
+        rows = rows.where("auto_eligible")
+    if options.verified_only:
+        rows = rows.where("provenance = 'verified'")
+    return rows
+
+
 def search(index: DataFrame, stats: DataFrame, chunks: DataFrame, sessions: DataFrame, queries: dict[int, str], as_of: str, options: Options = Options()) -> DataFrame:
     """Hits of each query, best first: query_id, source_key, session_id, entry_id, role, origin_project_key, occurred_at,
     content_hash, text, snippet, truncated, coverage, score.
@@ -65,14 +82,7 @@ def search(index: DataFrame, stats: DataFrame, chunks: DataFrame, sessions: Data
         ranked = ranked.where(F.col("origin_project_key") == options.project)
     matches = _top(ranked, MATCH_LIMIT, F.col("bm25"), F.col("source_key")).select("query_id", "source_key", "bm25")
     # At most 256 rows a query of at most 10,000 queries meet the chunks; Spark broadcasts them if they are small.
-    active = sessions.where("status = 'active'").select("session_id")
-    rows = matches.join(chunks, "source_key").join(active, "session_id", "left_semi")
-    if options.exclude_session is not None:
-        rows = rows.where(F.col("session_id") != options.exclude_session)
-    if options.auto_eligible_only:
-        rows = rows.where("auto_eligible")
-    if options.verified_only:
-        rows = rows.where("provenance = 'verified'")
+    rows = allowed(looked_up(matches, chunks), sessions, options)
     rows = _top(rows, CANDIDATE_LIMIT, F.col("bm25"), F.col("source_key"))
     terms = spark.createDataFrame([(q, fts.parse_query(x)) for q, x in queries.items()], "query_id long, terms array<string>")
     rows = rows.join(F.broadcast(terms), "query_id").withColumn("coverage", X.coverage(F.col("text"), F.col("terms"))).where(F.col("coverage") >= options.least_coverage)

@@ -296,17 +296,25 @@ def inject_blocks(spark, d):
 
 @query("SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
 def semi_scope(spark, d):
-    return table(spark, d, "documents").join(table(spark, d, "labels").where("quality = 1"), "doc_id", "left_semi").select("doc_id", "source")
+    """Documents whose session is active: those labelled 1."""
+    rows = table(spark, d, "documents").withColumnRenamed("doc_id", "session_id")
+    state = table(spark, d, "labels").select(F.col("doc_id").alias("session_id"), F.when(F.col("quality") == 1, "active").otherwise("excluded").alias("status"))
+    return search.allowed(rows, state, search.Options()).select(F.col("session_id").alias("doc_id"), "source")
 
 
 @query("SELECT doc_id, source FROM documents WHERE NOT EXISTS (SELECT 1 FROM labels WHERE labels.doc_id = documents.doc_id)")
 def anti_deleted(spark, d):
-    return table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left_anti").select("doc_id", "source")
+    """Sessions that are gone: a scan has found those with labels only."""
+    known = table(spark, d, "documents").select(F.col("doc_id").alias("session_id"), "source", F.lit("active").alias("status"))
+    found = table(spark, d, "labels").select(F.col("doc_id").alias("session_id"))
+    return scan.gone(known, found, F.lit(True)).where("gone").select(F.col("session_id").alias("doc_id"), "source")
 
 
 @query("SELECT doc_id, source, quality, toxic FROM documents JOIN labels USING (doc_id)")
 def inner_lookup(spark, d):
-    return table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").select("doc_id", "source", "quality", "toxic")
+    matches = table(spark, d, "labels").withColumnRenamed("doc_id", "source_key")
+    found = search.looked_up(matches, table(spark, d, "documents").withColumnRenamed("doc_id", "source_key"))
+    return found.select(F.col("source_key").alias("doc_id"), "source", "quality", "toxic")
 
 
 @query("""SELECT page_id, min(root) AS owner FROM pages JOIN (SELECT DISTINCT regexp_extract(url, '^([a-z]+://[^/]+)', 1) AS root FROM pages UNION SELECT DISTINCT regexp_extract(url, '^([a-z]+://[^/]+/[a-z]+)/', 1) FROM pages)
