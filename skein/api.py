@@ -212,7 +212,7 @@ class SessionIndex:
             options["project"] = self.project_key(cwd)
         chunks = self.store.table("chunks")
         options.setdefault("limit", self.store.state["config"]["manual_limit"])
-        return search.search(self.store.table("postings"), fts.corpus_stats(chunks), chunks, self.store.table("sessions"), queries, as_of or now(), search.Options(**options))
+        return search.search(self.store.table("postings"), self.store.stats(), chunks, self.store.table("sessions"), queries, as_of or now(), search.Options(**options))
 
     def tool_search(self, query: str, cwd: str, limit: int | None = None) -> DataFrame:
         limit = self.store.state["config"]["tool_limit"] if limit is None else limit

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from skein import versions as V
 from skein.functions import keys
+from skein.operators import fts
 
 SCHEMAS = {
     "projects": "project_key string, kind string, normalized_root string",
@@ -94,6 +95,8 @@ class Store:
         self._fs = self._path("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self._bytes = lambda text: bytearray(text.encode())
         self._lease: Lease | None = None
+        self._frames: dict = {}
+        self._counted: tuple = (None, None)
         self.state = self._load()
 
     def _read(self, name: str) -> str:
@@ -141,7 +144,20 @@ class Store:
         """A table, or only these buckets of one that has buckets."""
         found = self.state["tables"].get(name) or {}
         paths = [found] if isinstance(found, str) else [p for b, p in sorted(found.items()) if buckets is None or int(b) in buckets]
-        return self.spark.read.schema(SCHEMAS[name]).parquet(*paths) if paths else self.spark.createDataFrame([], SCHEMAS[name])
+        if not paths:
+            return self.spark.createDataFrame([], SCHEMAS[name])
+        key = (name, buckets is None, *paths)
+        if key not in self._frames:  # written folders never change, so their files are listed once; older generations are let go
+            self._frames = {k: v for k, v in self._frames.items() if k[:2] != key[:2]}
+            self._frames[key] = self.spark.read.schema(SCHEMAS[name]).parquet(*paths)
+        return self._frames[key]
+
+    def stats(self) -> DataFrame:
+        """One row of corpus statistics, counted once a generation."""
+        chunks = self.table("chunks")
+        if self._counted[0] is not chunks:
+            self._counted = (chunks, fts.corpus_stats(chunks).first())
+        return self.spark.createDataFrame([tuple(self._counted[1])], "n long, avgdl double")
 
     def publish(self, tables: dict[str, DataFrame] | None = None, touched: list[int] | None = None, **changes) -> None:
         """Writes these tables as the next generation and makes them and the changes of the state current at once.
