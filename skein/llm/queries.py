@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, edit_embedding, langid, mixing, outliers, quality, simhash, suffix_dedup, token_count, url_filter
+from . import bpe, edit_embedding, langid, line_dedup, mixing, outliers, prefix_trie, quality, runs, simhash, suffix_dedup, token_count, url_filter
 from .common import documents, held_out
 
 
@@ -56,6 +56,18 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.hexadecimal(simhash.classes(documents(spark, sf_dir).select("doc_id", "text")))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(*prefix_trie.rebuilt(prefix_trie.turns(spark.read.parquet(f"{sf_dir}/conversations.parquet"))))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digests(line_dedup.dedup(documents(spark, sf_dir).select("doc_id", "text")))
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digests(runs.find(runs.planted(documents(spark, sf_dir).select("doc_id", "text"))))
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_fingerprints": op2_fingerprints,
@@ -67,9 +79,14 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_url_filter": op9_url_filter,
     "op10_simhash": op10_simhash,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_line_dedup": op12_line_dedup,
+    "op13_runs": op13_runs,
 }
 
 SQL: dict[str, str] = {
     "op7_mixing": mixing.SQL,
     "op9_url_filter": url_filter.SQL,
+    "op11_prefix_trie": prefix_trie.SQL,
+    "op12_line_dedup": line_dedup.SQL,
 }
