@@ -16,6 +16,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 #: Rows of the largest table that `lookup` broadcasts, and the pieces that it deals a key into otherwise.
 BROADCAST_ROWS, SALTS = 200_000, 16
+#: Rows of one key that meet in one task, about, where `dealt` joins.
+HOT = 1000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,6 +94,22 @@ def lookup(df: DataFrame, table: DataFrame, key: str, how: str = "inner") -> Dat
     return dealt.join(table.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [key, salt], how).drop(salt)
 
 
+def dealt(df: DataFrame, table: DataFrame, key: str, times: str, hot: int | None = None) -> DataFrame:
+    """`df` joined with `table`, which has one row a key and in `times` how many rows of `df` have it; `times` goes.
+
+    A key of more than `hot` rows is dealt into as many more parts, each with the table's row.  Such keys are at most one in `hot`
+    rows of `df`; their table is broadcast if it is counted to be small.
+    """
+    hot = hot or HOT
+    part, parts = f"part_{uuid.uuid4().hex}", f"parts_{uuid.uuid4().hex}"
+    heat = cut(table.where(F.col(times) > hot).select(key, F.ceil(F.col(times) / hot).cast("int").alias(parts)))
+    if heat.count() <= BROADCAST_ROWS:
+        heat = F.broadcast(heat)
+    rows = df.join(heat, key, "left").withColumn(part, F.pmod(F.xxhash64(*df.columns), F.coalesce(parts, F.lit(1))).cast("int")).drop(parts)
+    given = table.drop(times).join(heat, key, "left").withColumn(part, F.explode(F.sequence(F.lit(0), F.coalesce(parts, F.lit(1)) - 1))).drop(parts)
+    return rows.join(given, [key, part]).drop(part)
+
+
 def row_hash(df: DataFrame) -> F.Column:
     """128 bits of hash of all columns, as text.  xxhash64 passes over nulls, so it takes where they are as well."""
     of = [x for c in df.columns for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))]

@@ -140,9 +140,9 @@ def repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", least: int
     kind = docs.schema[id].dataType.simpleString()
     named = docs.select(*_names(id, text), F.col(id).alias("id"), F.col(text).alias(text))
     found = common.cut(named.mapInArrow(suspects, f"r1 long, r2 long, id {kind}, key binary"))
-    of = found.groupBy("key").agg(F.min("id").alias("keeper"), F.max("id").alias("last"), F.bool_or(F.col("id").isNull()).alias("none"))
-    ends = of.where("keeper <> last OR (none AND keeper IS NOT NULL)").select("key", "keeper")
-    lost = found.join(ends, "key").where(~F.col("id").eqNullSafe(F.col("keeper")))
+    of = found.groupBy("key").agg(F.min("id").alias("keeper"), F.max("id").alias("last"), F.bool_or(F.col("id").isNull()).alias("none"), F.count("*").alias("times"))
+    ends = of.where("keeper <> last OR (none AND keeper IS NOT NULL)").select("key", "keeper", "times")
+    lost = common.dealt(found, ends, "key", "times").where(~F.col("id").eqNullSafe(F.col("keeper")))
     return lost.groupBy("r1", "r2").agg(F.collect_set("key").alias("keys"))
 
 
