@@ -6,7 +6,7 @@ compared exactly with exclusive-or and bit counts.
 
 `classes` and `near_dedup` link 64-bit fingerprints by a radius.  `near_classes` and `drop_near_copies` link texts whose sets of five-word shingles have
 a Jaccard similarity of at least 0.8: sets are compared by fingerprints of 1,024 bits, whose difference tells the similarity to
-about 0.013.  What is surely below is dropped, what is surely above is linked, and the rest is decided by the sets themselves.
+about 0.013.  What is surely below is dropped, and all links are decided by the sets themselves.
 """
 
 from __future__ import annotations
@@ -26,14 +26,14 @@ from .components import components
 SEED = 42
 #: The most fingerprints in a tile, about, and the most entries of a comparison held at once.
 TILE, BLOCK = 32_768, 1 << 21
-#: The most sets, about, in a tile that has the shingles themselves.
-SET_TILE = 1024
+#: The most sets, about, in a tile that has the shingles themselves, and their bytes.
+SET_TILE, SET_BYTES = 1024, 8 << 20
 
 #: Words of a shingle, 64-bit words of a fingerprint, and NUM / DEN, the similarity from which two sets are near copies.
 SHINGLE, WORDS, NUM, DEN = 5, 16, 4, 5
 #: Of 1,024 bits a pair at similarity 0.8 differs in 155, with a standard deviation of 11.5.  Pairs are compared in full if their first
 #: 64 bits differ in at most FIRST (a pair at 0.8 does not once in 3,000 times), and may be near copies if all differ in at most FAR
-#: (missed once in 4,000); up to NEAR they are so surely (similarity 0.8 differs so little once in 2,000).
+#: (missed once in 4,000); up to NEAR they are very likely so and come first.
 FIRST, NEAR, FAR = 19, 117, 195
 
 _rng = np.random.default_rng(SEED)
@@ -227,18 +227,16 @@ def _described(docs: DataFrame) -> DataFrame:
 
 
 class _Tile:
-    """The items (key, n, root, print) of a tile, with their sets if they come along."""
+    """The items (key, n, print) of a tile."""
 
     def __init__(self, of):
         values = of.values
-        self.key, self.n, self.root = (values.field(k).to_numpy(zero_copy_only=False) for k in ("key", "n", "root"))
+        self.key, self.n = (values.field(k).to_numpy(zero_copy_only=False) for k in ("key", "n"))
         self.print = np.frombuffer(b"".join(values.field("print").to_pylist()), np.uint64).reshape(-1, WORDS)
-        self.sets = [x.values.to_numpy(zero_copy_only=False) for x in values.field("of")] if values.type.get_field_index("of") >= 0 else []
 
     def __add__(self, other: _Tile) -> _Tile:
         both = object.__new__(_Tile)
-        both.key, both.n, both.root, both.print = (np.concatenate([getattr(self, k), getattr(other, k)]) for k in ("key", "n", "root", "print"))
-        both.sets = self.sets + other.sets
+        both.key, both.n, both.print = (np.concatenate([getattr(self, k), getattr(other, k)]) for k in ("key", "n", "print"))
         return both
 
 
@@ -265,14 +263,10 @@ def _alike(tile: _Tile, first: int, low: int, high: int, forest: Forest):
                     yield a[keep], b[keep], bits[keep]
 
 
-def _span(tile: _Tile, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(u, v, sure): keys of pairs that span all pairs of the tile that may be near copies; the likelier ones come first."""
+def _span(tile: _Tile, first: int) -> tuple[np.ndarray, np.ndarray]:
+    """(u, v): keys of pairs that span all pairs of the tile that may be near copies; the likelier ones come first."""
     forest, u, v = Forest(len(tile.key)), [], []
-    for i, j, _ in _alike(tile, first, -1, NEAR, forest):
-        forest.link(i, j)
-    sure = np.flatnonzero(forest.up != np.arange(len(tile.key)))
-    ends = forest.up[sure]
-    for low, high in ((NEAR, (NEAR + FAR) // 2), ((NEAR + FAR) // 2, FAR)):
+    for low, high in ((-1, NEAR), (NEAR, (NEAR + FAR) // 2), ((NEAR + FAR) // 2, FAR)):
         for i, j, bits in _alike(tile, first, low, high, forest):
             order = np.argsort(bits, kind="stable")
             i, j = i[order], j[order]
@@ -287,31 +281,51 @@ def _span(tile: _Tile, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
                 apart = forest.up[i] != forest.up[j]
                 i, j = i[apart], j[apart]
     u, v = (np.concatenate([np.empty(0, np.int64), *x]) for x in (u, v))
-    return tile.key[np.concatenate([sure, u])], tile.key[np.concatenate([ends, v])], np.arange(len(sure) + len(u)) < len(sure)
+    return tile.key[u], tile.key[v]
 
 
-def _join(tile: _Tile, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(u, v, True): keys of pairs with the similarity that join what has different roots.  Each pair that may be alike and is not yet
-    joined is verified by its sets, the likelier ones first in a block."""
-    forest, u, v = Forest(len(tile.key)), [], []
-    _, at, back = np.unique(tile.root, return_index=True, return_inverse=True)
-    forest.link(np.arange(len(tile.key)), at[back])
-    for i, j, bits in _alike(tile, first, NEAR, FAR, forest):
-        order = np.argsort(bits, kind="stable")
-        for a, b in zip(i[order].tolist(), j[order].tolist()):
-            if forest.up[a] != forest.up[b]:
-                both = len(np.intersect1d(tile.sets[a], tile.sets[b], assume_unique=True))
-                if (NUM + DEN) * both >= NUM * (len(tile.sets[a]) + len(tile.sets[b])):
-                    u.append(a)
-                    v.append(b)
-                    forest.link(np.array([a]), np.array([b]))
-    return tile.key[np.array(u, np.int64)], tile.key[np.array(v, np.int64)], np.ones(len(u), bool)
-
-
-def _compared(sets: DataFrame, tile: int, pairs) -> DataFrame:
-    """(u, v, sure): what `pairs`, `_span` or `_join`, gives for the tiles of distinct sets (key, n, print, ones, root and maybe of)."""
+def common_shingles(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many elements each set of `a` and each of `b` have in common: all pairs at once.
+
+    Elements that few sets have are counted pair by pair, the others by products of 0-1 matrices, some thousand columns at a time.
+    """
+    both = np.zeros((len(a), len(b)), np.float32)
+    own, of = ((np.concatenate([np.empty(0, np.int64), *x]), np.repeat(np.arange(len(x)), [len(y) for y in x])) for x in (a, b))
+    codes, inverse = np.unique(np.concatenate([own[0], of[0]]), return_inverse=True)
+    code_a, code_b = inverse[: len(own[0])], inverse[len(own[0]) :]
+    in_a, in_b = np.bincount(code_a, minlength=len(codes)), np.bincount(code_b, minlength=len(codes))
+    rare, often = (in_a > 0) & (in_b > 0) & (in_a * in_b <= 64), in_a * in_b > 64
+    order = np.argsort(code_b, kind="stable")
+    begin = np.cumsum(in_b) - in_b
+    few = np.flatnonzero(rare[code_a])
+    times = in_b[code_a[few]]
+    for start in range(0, len(few), BLOCK // 64):
+        some, n = few[start : start + BLOCK // 64], times[start : start + BLOCK // 64]
+        at = np.repeat(begin[code_a[some]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        np.add.at(both, (np.repeat(own[1][some], n), of[1][order[at]]), 1)
+    column = np.cumsum(often) - 1
+    total = int(often.sum())
+    for start in range(0, total, width := max(256, BLOCK // max(1, len(a), len(b)))):
+        parts = []
+        for code, owner, rows in ((code_a, own[1], len(a)), (code_b, of[1], len(b))):
+            here = np.flatnonzero(often[code] & (column[code] >= start) & (column[code] < start + width))
+            part = np.zeros((rows, min(width, total - start)), np.float32)
+            part[owner[here], column[code[here]] - start] = 1
+            parts.append(part)
+        both += parts[0] @ parts[1].T
+    return both.astype(np.int64)
+
+
+def _near_sets(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j): which sets of `a` and of `b` have the similarity."""
+    sizes = np.array([len(x) for x in a])[:, None] + np.array([len(x) for x in b])[None, :]
+    return np.nonzero((NUM + DEN) * common_shingles(a, b) >= NUM * sizes)
+
+
+def _spanned(sets: DataFrame, tile: int) -> DataFrame:
+    """(u, v): what `_span` gives for the tiles of distinct sets (key, n, print, ones)."""
     # A size class is a factor of DEN / NUM wide, and a little more, and a count class FAR + 1 bits: pairs lie in equal or neighbouring ones.
-    placed = sets.withColumn("p", F.floor(F.log("n") / (1.0001 * math.log(DEN / NUM))).cast("int")).withColumn("q", F.floor(F.col("ones") / (FAR + 1)).cast("int"))
+    placed = sets.withColumn("p", _size_class(F.col("n"))).withColumn("q", F.floor(F.col("ones") / (FAR + 1)).cast("int"))
     steps = [(0, 0), (0, 1), (1, -1), (1, 0), (1, 1)]
 
     def compare(batches):
@@ -319,12 +333,16 @@ def _compared(sets: DataFrame, tile: int, pairs) -> DataFrame:
             for same, a, b in zip(*(batch.column(i) for i in range(3))):
                 a = _Tile(a)
                 first, whole = (0, a) if same.as_py() else (len(a.key), a + _Tile(b))
-                u, v, sure = pairs(whole, first)
+                u, v = _span(whole, first)
                 for at in range(0, len(u), 65536):
                     c = slice(at, at + 65536)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u[c], v[c])), pa.array(np.maximum(u[c], v[c])), pa.array(sure[c])], names=["u", "v", "sure"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u[c], v[c])), pa.array(np.maximum(u[c], v[c]))], names=["u", "v"])
+
+    return _meetings(placed, F.struct("key", "n", "print"), steps, tile).mapInArrow(compare, "u long, v long").distinct()
+
 
-    return _meetings(placed, F.struct(*(c for c in ("key", "n", "root", "print", "of") if c in sets.columns)), steps, tile).mapInArrow(compare, "u long, v long, sure boolean")
+def _size_class(n: Column) -> Column:
+    return F.floor(F.log(n) / (1.0001 * math.log(DEN / NUM))).cast("int")
 
 
 def _sets(keys: DataFrame, rows: DataFrame, own: DataFrame) -> DataFrame:
@@ -341,35 +359,85 @@ def _sets(keys: DataFrame, rows: DataFrame, own: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, rows: DataFrame, own: DataFrame) -> DataFrame:
     """(u, v, near) for pairs of keys: whether their sets have the similarity."""
     sets = _sets(pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct(), rows, own)
-    a, b = (sets.select(F.col("key").alias(k), F.col("of").alias(f"of_{k}")) for k in ("u", "v"))
     both = F.size(F.array_intersect("of_u", "of_v"))
     near = (NUM + DEN) * both >= NUM * (F.size("of_u") + F.size("of_v"))
-    return common.cut(pairs.select("u", "v").join(a, "u").join(b, "v").select("u", "v", near.alias("near")))
+    met = pairs.select("u", "v")
+    for side in ("u", "v"):  # a set may be in very many pairs
+        times = pairs.groupBy(side).agg(F.count("*").alias("times"))
+        met = common.dealt(met, times.join(sets.select(F.col("key").alias(side), F.col("of").alias(f"of_{side}")), side), side, "times")
+    return common.cut(met.select("u", "v", near.alias("near")))
+
+
+def _candidates(sets: DataFrame) -> DataFrame:
+    """(key, group): sets (key, of) that may have the similarity with another are in one group with it; others have no row.
+
+    Elements are ordered from the rarest on.  Two sets that are near copies share one of their first n - ceil(n * NUM / DEN) + 1
+    elements, so sets that do are joined, each with the lowest key that shares it: rows, not pairs.
+    """
+    each = sets.select("key", F.explode("of").alias("shingle"))
+    often = each.groupBy("shingle").agg(F.count("*").alias("times"))
+    ordered = common.cut(common.dealt(each, often.withColumn("rows", F.col("times")), "shingle", "rows").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("times", "shingle"))).alias("of")))
+    prefix = F.size("of") - F.ceil(F.size("of") * NUM / DEN).cast("int") + 1
+    first = common.cut(ordered.select("key", F.explode(F.slice("of", F.lit(1), prefix)).alias("e")).where("e.times > 1").select("key", "e.shingle"))
+    lowest = first.groupBy("shingle").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count("*").alias("times")).where("low < high").select("shingle", "low", "times")
+    links = common.dealt(first, lowest, "shingle", "times").where("key <> low").select(F.col("key").alias("u"), F.col("low").alias("v")).distinct()
+    return components(links).select(F.col("node").alias("key"), F.col("root").alias("group"))
+
+
+def _exact_links(sets: DataFrame) -> DataFrame:
+    """(u, v): links that join all sets (key, of) that have the similarity, found by comparing all that may.
+
+    Each group of candidates is dealt by size class into tiles of bounded count and bytes; tiles of equal and neighbouring classes meet.
+    """
+    placed = common.cut(sets.join(_candidates(sets), "key").withColumn("p", _size_class(F.size("of"))))
+    cells = placed.groupBy("group", "p").agg(F.ceil(F.greatest(F.count("*") / SET_TILE, F.sum(8 * F.size("of")) / SET_BYTES)).cast("int").alias("parts"))
+    tiles = common.cut(
+        placed.join(cells, ["group", "p"]).groupBy("group", "p", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("part")).agg(F.collect_list(F.struct("key", "of")).alias("of"))
+    )
+    to = F.explode(F.array(F.lit(0), F.lit(1)))
+    reach = (
+        tiles.select("group", F.col("p").alias("p1"), F.col("part").alias("part1"), to.alias("step")).withColumn("p", F.col("p1") + F.col("step"))
+        .join(cells, ["group", "p"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("(p, part) >= (p1, part1)")
+    )
+    other = tiles.select("group", F.col("p").alias("p1"), F.col("part").alias("part1"), F.col("of").alias("of1"))
+    met = reach.join(other, ["group", "p1", "part1"]).join(tiles, ["group", "p", "part"]).select(F.expr("(p, part) = (p1, part1)").alias("same"), "of1", "of")
+
+    def compare(batches):
+        for batch in batches:
+            for same, *sides in zip(*(batch.column(i) for i in range(3))):
+                (key_a, a), (key_b, b) = ((x.values.field("key").to_numpy(zero_copy_only=False), [y.values.to_numpy(zero_copy_only=False) for y in x.values.field("of")]) for x in sides)
+                i, j = _near_sets(a, b)
+                shift = 0 if same.as_py() else len(a)
+                keys = key_a if same.as_py() else np.concatenate([key_a, key_b])
+                forest = Forest(len(keys))
+                forest.link(i, j + shift)
+                linked = np.flatnonzero(forest.up != np.arange(len(keys)))
+                yield pa.RecordBatch.from_arrays([pa.array(keys[linked]), pa.array(keys[forest.up[linked]])], names=["u", "v"])
+
+    return met.mapInArrow(compare, "u long, v long")
 
 
 def near_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", tile: int = TILE) -> DataFrame:
     """(id, row, root) for each row of `docs`: `row` its hash, `root` the same for rows that chains of near copies join.
 
     Equal sets are one class whatever their rows; null, empty and blank texts have no shingle and are one class.  First the pairs
-    that span all likely links are verified, one less than there are sets at most.  Only where one of them fails, the group's sets
-    meet in tiles, where every pair that still crosses classes is: as long as there are pairs alike but not near enough.
+    that span all likely links are verified, one less than there are sets at most.  Only the groups in which one of them fails are
+    compared again, by their sets: those that share a rare shingle meet in tiles, all pairs of a tile at once.
     """
     rows = docs.select(F.col(id).alias("id"), common.row_hash(docs).alias("row"), F.col(text).alias("text"))
     own = common.cut(_described(rows).drop("text"))
-    sets = common.cut(own.where("n > 0").groupBy("key").agg(F.min("n").alias("n"), F.min("print").alias("print"), F.min("ones").alias("ones")).withColumn("root", F.col("key")))
-    found = common.cut(_compared(sets, tile, _span).groupBy("u", "v").agg(F.max("sure").alias("sure")))
-    verified = _verified(found.where("NOT sure"), rows, own)
-    links = found.where("sure").select("u", "v").unionByName(verified.where("near").select("u", "v"))
-    roots = components(links)
+    sets = common.cut(own.where("n > 0").groupBy("key").agg(F.min("n").alias("n"), F.min("print").alias("print"), F.min("ones").alias("ones")))
+    found = common.cut(_spanned(sets, tile))
+    verified = _verified(found, rows, own)
+    links = verified.where("near").select("u", "v")
     failed = verified.where("NOT near").select("u", "v")
     if not failed.isEmpty():
         # Of the groups that the spanning pairs join, those with a pair that failed are compared again.
-        groups = components(found.select("u", "v"))
+        groups = components(found)
         touched = groups.join(failed.select(F.col("u").alias("node")).distinct(), "node").select("root").distinct()
         nodes = common.cut(groups.join(touched, "root", "left_semi").select(F.col("node").alias("key")))
-        again = sets.drop("root").join(_sets(nodes, rows, own), "key").join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-        roots = components(links.unionByName(_compared(again, min(tile, SET_TILE), _join).select("u", "v")))
-    return common.lookup(own, roots.select(F.col("node").alias("key"), "root"), "key", "left").select(F.col("id").alias(id), "row", F.coalesce("root", "key").alias("root"))
+        links = links.unionByName(_exact_links(_sets(nodes, rows, own)))
+    return common.lookup(own, components(links).select(F.col("node").alias("key"), "root"), "key", "left").select(F.col("id").alias(id), "row", F.coalesce("root", "key").alias("root"))
 
 
 def drop_near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", tile: int = TILE) -> DataFrame:

@@ -2,6 +2,9 @@
 
 import random
 
+import numpy as np
+import pytest
+
 from skein.llm import simhash
 
 rnd = random.Random(5)
@@ -76,6 +79,36 @@ def test_large_group(spark):
     check(spark, rows)
 
 
+@pytest.mark.parametrize("shared, others", [(200, 30), (200, 60), (60, 200)])
+def test_alike_but_not_near(spark, monkeypatch, shared, others):
+    """Many texts with a common part: similarity about 0.77, 0.64 or 0.13 for most pairs, and a near copy of some."""
+    monkeypatch.setattr(simhash, "SET_TILE", 64)
+    template, rows = words(shared), []
+    for i in range(250):
+        own = template + [f"own{rnd.randint(0, 10**9)}" for _ in range(others)]
+        rows.append((i, " ".join(own)))
+        if i % 10 == 0:
+            rows.append((1000 + i, " ".join(changed(own, 2))))
+    check(spark, rows)
+
+
+def test_common_shingles():
+    rng = np.random.default_rng(2)
+    for most in (3, 60, 2000):
+        a, b = ([np.unique(rng.integers(0, most, rng.integers(0, 90))) for _ in range(n)] for n in (37, 90))
+        assert (simhash.common_shingles(a, b) == [[len(np.intersect1d(x, y)) for y in b] for x in a]).all()
+    assert simhash.common_shingles([], a).shape == (0, 37) and simhash.common_shingles(a[:1], [np.empty(0, np.int64)]).tolist() == [[0]]
+
+
+def test_star(spark, monkeypatch):
+    """Many texts near one that lies between them, which meets more of them than one part has."""
+    from skein.llm import common
+
+    monkeypatch.setattr(common, "HOT", 7)
+    base = words(400)
+    check(spark, [(5000, " ".join(base)), *((i, " ".join(changed(base, 6))) for i in range(60))])
+
+
 def test_stage_links_at_four_fifths(spark):
     """Pairs of similarity 0.8 to 0.95 become one document each in the pipeline's stage."""
     import corpus_pipeline as pipeline
