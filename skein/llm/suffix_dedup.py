@@ -4,11 +4,13 @@ Every string of `length` bytes contains places where a suffix may start; the one
 is the string's anchor.  Equal strings have equal anchors at equal offsets, so only suffixes that begin at anchors (one in about
 120 bytes of prose) have to be sorted: all others would not fit on disk.
 
-Runs of neighbouring strings with one anchor are a context.  Contexts that occur twice are repeated as a whole.  For the others,
-suffixes are dealt to range partitions by leading token, with splitters from a sample of the tokens, and each partition sorts its
-strings by multikey quicksort: by leading token and offset, then by the largest tokens of a power of two that start and end
-the string, where strings that stand alone drop out.  Strings with one leading token never lie on two sides of a splitter, so none has to be
-compared across a boundary; a leading token with very many contexts is dealt further by the hash of the whole strings.
+Runs of neighbouring strings with one anchor are a context.  Contexts that occur twice, found by grouping them by the hash of leading
+token and context, are repeated as a whole.  For the others, suffixes are dealt to range partitions by the hash of their leading token,
+with splitters that are approximate quantiles of all of them.  A partition orders its strings by hashes: of leading token and offset
+first, then of the largest pieces of a power of two that start and end the string, where strings that stand alone drop out.  These
+orders tell equal from unequal and no more; they are not those of the bytes.  Strings with one leading token never lie on two sides of a
+splitter, so none has to be compared across a boundary; a leading token with very many contexts is dealt further by the hash of the
+whole strings.
 """
 
 from __future__ import annotations
@@ -135,7 +137,7 @@ def _runs(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def repeated(keys: list[np.ndarray], further) -> np.ndarray:
-    """Positions whose keys and whose further tokens all equal another's.  Multikey quicksort, token by token: what stands alone drops out."""
+    """Positions whose keys and whose further tokens all equal another's, by sorting hashes key by key: what stands alone drops out."""
     at = np.arange(len(keys[0]))
     for level in range(len(further) + 1):
         order, run = _runs(keys)
