@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Sequence
 
@@ -28,7 +29,10 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's, or one for local runs if it has none."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/checkpoints/{uuid.uuid4().hex}")
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or f"/tmp/checkpoints/{uuid.uuid4().hex}")
     return sc.getCheckpointDir()
 
 
@@ -51,6 +55,21 @@ def slices(batch: pa.RecordBatch, text: str, most_rows: int, most_bytes: int):
         start = end
 
 
+def trimmed(run):
+    """`run`, a function of batches, after which its worker gives memory that it no longer needs back to the system.
+
+    Workers stay for later tasks, which may be of stages that need the memory for something else.
+    """
+
+    def whole(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return whole
+
+
 def append(df: DataFrame, fields: Sequence[T.StructField], make: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]], text: str, most_rows: int = 1024, most_bytes: int = 8 << 20) -> DataFrame:
     """`df` with the columns `fields`, which `make()`, called once a task, computes from each small record batch.
 
@@ -67,7 +86,7 @@ def append(df: DataFrame, fields: Sequence[T.StructField], make: Callable[[], Ca
                 new = f(piece)
                 yield pa.RecordBatch.from_arrays([*piece.columns, *new], names=[*piece.schema.names, *(x.name for x in fields)])
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(trimmed(run), schema)
 
 
 def texts(batch: pa.RecordBatch, name: str) -> list[str]:

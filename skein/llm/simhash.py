@@ -27,7 +27,7 @@ SEED = 42
 #: The most fingerprints in a tile, about, and the most entries of a comparison held at once.
 TILE, BLOCK = 32_768, 1 << 21
 #: The most sets, about, in a tile that has the shingles themselves, and their bytes.
-SET_TILE, SET_BYTES = 1024, 8 << 20
+SET_TILE, SET_BYTES = 512, 2 << 20
 
 #: Words of a shingle, 64-bit words of a fingerprint, and NUM / DEN, the similarity from which two sets are near copies.
 SHINGLE, WORDS, NUM, DEN = 5, 16, 4, 5
@@ -338,7 +338,7 @@ def _spanned(sets: DataFrame, tile: int) -> DataFrame:
                     c = slice(at, at + 65536)
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u[c], v[c])), pa.array(np.maximum(u[c], v[c]))], names=["u", "v"])
 
-    return _meetings(placed, F.struct("key", "n", "print"), steps, tile).mapInArrow(compare, "u long, v long").distinct()
+    return _meetings(placed, F.struct("key", "n", "print"), steps, tile).mapInArrow(common.trimmed(compare), "u long, v long").distinct()
 
 
 def _size_class(n: Column) -> Column:
@@ -414,7 +414,7 @@ def _exact_links(sets: DataFrame) -> DataFrame:
                 linked = np.flatnonzero(forest.up != np.arange(len(keys)))
                 yield pa.RecordBatch.from_arrays([pa.array(keys[linked]), pa.array(keys[forest.up[linked]])], names=["u", "v"])
 
-    return met.mapInArrow(compare, "u long, v long")
+    return met.mapInArrow(common.trimmed(compare), "u long, v long")
 
 
 def near_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", tile: int = TILE) -> DataFrame:

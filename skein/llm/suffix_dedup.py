@@ -29,7 +29,7 @@ from . import common
 #: Bytes of a string and of a leading token.
 LENGTH, LEAD = 400, 32
 #: Bytes of text in one block of arrays (below 2^24), contexts of one leading token that one group sorts, and partitions at most.
-BLOCK, GROUP, MOST_PARTITIONS = 2 << 20, 2048, 4096
+BLOCK, GROUP, MOST_PARTITIONS = 1 << 20, 2048, 4096
 _U = np.uint64
 _random = np.random.default_rng(20240229)
 _BYTES = _random.integers(1, 1 << 63, 256, dtype=_U)
@@ -258,7 +258,7 @@ def _partitions(spark: SparkSession) -> int:
 def spans(keyed: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFrame:
     """(r1, r2, from, to) of what is repeated in the texts of rows (r1, r2, whole: a struct with bytes); spans of a text may overlap."""
     span(length)
-    scan, fetch, sort = (partial(f, length=length) for f in (_scan, _fetch, _sort))
+    scan, fetch, sort = (common.trimmed(partial(f, length=length)) for f in (_scan, _fetch, _sort))
     suffixes = _written(keyed.select("r1", "r2", "whole.bytes").mapInArrow(scan, "r1 long, r2 long, lead long, context long, lo int, hi int, anchor int"))
     place = F.struct("r1", "r2", "lo", "hi", "anchor")
     each = _written(suffixes.groupBy("lead", "context").agg(F.count("*").alias("times"), F.min(place).alias("at")))
@@ -320,7 +320,7 @@ def dedup(docs: DataFrame, text: str = "text", length: int = LENGTH, group: int
             kind = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))
             yield pa.RecordBatch.from_arrays([*own, pa.array(removed, kind), pa.array(kept, pa.binary())], names=[*columns, "removed", "kept"])
 
-    return keyed.join(of, ["r1", "r2"], "left").select("whole", "spans").mapInArrow(remove, schema)
+    return keyed.join(of, ["r1", "r2"], "left").select("whole", "spans").mapInArrow(common.trimmed(remove), schema)
 
 
 def digests(found: DataFrame) -> DataFrame:
