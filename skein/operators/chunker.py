@@ -1,17 +1,13 @@
-"""Splitting of texts into chunks of bounded length."""
+"""Splitting of texts into chunks of bounded length, all in column expressions."""
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from skein.versions import CHUNK_MERGE, CHUNK_MOST, CHUNK_OVERLAP, CHUNK_TARGET
 
-#: A code fence with what it encloses, to the end if it is never closed, or a stretch without a fence.
-_PARTS = re.compile(r"```.*?(?:```|\Z)|(?:(?!```).)+", re.DOTALL)
+FENCE = "```"
 
 
 def windows(text: Column, most: int = CHUNK_MOST, overlap: int = CHUNK_OVERLAP) -> Column:
@@ -23,39 +19,43 @@ def windows(text: Column, most: int = CHUNK_MOST, overlap: int = CHUNK_OVERLAP)
     )
 
 
-def _segments(text: str):
-    for paragraph in re.split(r"\n{2,}", text):
-        yield from _PARTS.findall(paragraph) if "```" in paragraph else [paragraph] * bool(paragraph)
+def segments(text: Column) -> Column:
+    """Paragraphs, and of those with code fences the fences with what they enclose, to the end if one is never closed, and what is between."""
+
+    def parts(paragraph: Column) -> Column:
+        pieces = F.split(paragraph, FENCE)
+        fenced = lambda x, i: F.concat(F.lit(FENCE), x, F.when(i + 1 < F.size(pieces), FENCE).otherwise(""))
+        return F.transform(pieces, lambda x, i: F.when(i % 2 == 1, fenced(x, i)).otherwise(x))
+
+    paragraphs = F.split(text, "\n{2,}")
+    return F.filter(F.flatten(F.transform(paragraphs, lambda p: F.when(F.contains(p, F.lit(FENCE)), parts(p)).otherwise(F.array(p)))), lambda x: x != "")
+
+
+def _grown(pieces: Column, more: Column) -> Column:
+    """`pieces` with `more` added to the last one as a paragraph."""
+    return F.array_append(F.slice(pieces, F.lit(1), F.size(pieces) - 1), F.concat(F.element_at(pieces, -1), F.lit("\n\n"), more))
 
 
-def split(text: str) -> list[str]:
-    """The chunks of a canonical text: paragraphs and fences are gathered up to the target, long ones cut, short ones joined."""
-    pieces: list[str] = []
-    open_ = False  # the last piece may still grow towards the target
-    for segment in _segments(text):
-        if len(segment) > CHUNK_MOST:
-            stride = CHUNK_MOST - CHUNK_OVERLAP
-            pieces += [segment[i : i + CHUNK_MOST] for i in range(0, max(1, len(segment) - CHUNK_OVERLAP), stride)]
-            open_ = False
-        elif open_ and len(pieces[-1]) + 2 + len(segment) <= CHUNK_TARGET:
-            pieces[-1] += "\n\n" + segment
-        else:
-            pieces.append(segment)
-            open_ = True
-    chunks: list[str] = []
-    for piece in pieces:
-        if chunks and len(piece) < CHUNK_MERGE and len(chunks[-1]) + 2 + len(piece) <= CHUNK_MOST:
-            chunks[-1] += "\n\n" + piece
-        else:
-            chunks.append(piece)
-    return chunks
+def gathered(parts: Column) -> Column:
+    """Segments gathered up to the target, long ones cut into windows, and short pieces joined with the one before."""
+    kind = "struct<pieces: array<string>, open: boolean>"
+    made = lambda pieces, open_: F.struct(pieces.alias("pieces"), F.lit(open_).alias("open"))
 
+    def fold(state: Column, x: Column) -> Column:
+        pieces = state["pieces"]
+        fits = state["open"] & (F.length(F.element_at(pieces, -1)) + 2 + F.length(x) <= CHUNK_TARGET)
+        return (
+            F.when(F.length(x) > CHUNK_MOST, made(F.concat(pieces, windows(x)), False))
+            .when(fits, made(_grown(pieces, x), True))
+            .otherwise(made(F.array_append(pieces, x), True))
+        )
 
-def _split(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda x: None if x is None else split(x))
+    pieces = F.aggregate(parts, F.struct(F.array().alias("pieces"), F.lit(False).alias("open")).cast(kind), lambda s, x: fold(s, x).cast(kind), lambda s: s["pieces"])
+    joins = lambda done, x: (F.size(done) > 0) & (F.length(x) < CHUNK_MERGE) & (F.length(F.try_element_at(done, F.lit(-1))) + 2 + F.length(x) <= CHUNK_MOST)
+    return F.aggregate(pieces, F.array().cast("array<string>"), lambda done, x: F.when(joins(done, x), _grown(done, x)).otherwise(F.array_append(done, x)))
 
 
 def chunks(text: Column) -> Column:
-    """The chunks of a canonical text.  Only texts with blank lines or fences leave the JVM."""
-    plain = ~(F.contains(text, F.lit("\n\n")) | F.contains(text, F.lit("```")))
-    return F.when(plain, windows(text)).otherwise(F.pandas_udf(_split, "array<string>")(F.when(~plain, text)))
+    """The chunks of a canonical text."""
+    plain = ~(F.contains(text, F.lit("\n\n")) | F.contains(text, F.lit(FENCE)))
+    return F.when(plain, windows(text)).otherwise(gathered(segments(text)))
