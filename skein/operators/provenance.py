@@ -35,47 +35,83 @@ def parents(sessions: DataFrame, roots: list[str]) -> DataFrame:
     return children.select("path").join(found, "path", "left")
 
 
+def _judged(chain: Column) -> Column:
+    """Why each member of a chain, nearest first, can't be an ancestor, or null: `chain` has (path, id, status, more)."""
+    def reason(x, i):
+        before = F.slice(chain, F.lit(1), i)
+        return (
+            F.when(x["path"].isNull() | x["status"].isNull(), MISSING)
+            .when(F.exists(before, lambda y: y["path"] == x["path"]), CYCLE)
+            .when(x["status"] != "ok", MISSING)
+            .when(F.exists(before, lambda y: y["id"] == x["id"]), CYCLE)
+        )
+
+    return F.transform(chain, reason)
+
+
 def chains(sessions: DataFrame, roots: list[str], cut=lambda df: df, of: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(path, ancestor, depth) with 0 for the nearest parent, and (path, reason) of sessions whose chain is broken.
 
-    All chains, or those of the paths `of`, take a step at a time, at most 32; `cut` may checkpoint between steps.
+    All sessions know their parent at first, and in each round the chain of a session is followed by that of its last member, so
+    five rounds know the 32 ancestors that count, and fewer do where no chain is as long.  In a cycle members come again, which
+    is seen in the end.  `of` names the sessions (path) whose chains are wanted, and `cut` may checkpoint each round.
     """
-    header = sessions.select(F.col("path").alias("current"), F.col("session_id").alias("current_id"), F.col("status").alias("current_status"), F.col("parent_session").isNotNull().alias("more"))
-    up = cut(parents(sessions, roots))
-    front = (up if of is None else up.join(of.select("path").distinct(), "path", "left_semi")).select("path", F.col("parent_path").alias("current"), F.array().cast("array<string>").alias("paths"), F.array().cast("array<string>").alias("ids"))
-    links, broken = None, None
-    step = up.select(F.col("path").alias("current"), F.col("parent_path").alias("next"))
-    for depth in range(PARENT_DEPTH):
-        seen = front.join(header, "current", "left")
-        reason = (
-            F.when(F.col("current").isNull() | F.col("current_status").isNull(), MISSING)
-            .when(F.array_contains("paths", F.col("current")), CYCLE)
-            .when(F.col("current_status") != "ok", MISSING)
-            .when(F.array_contains("ids", F.col("current_id")), CYCLE)
-        )
-        seen = cut(seen.withColumn("reason", reason))
-        bad, good = seen.where("reason IS NOT NULL").select("path", "reason"), seen.where("reason IS NULL")
-        new = good.select("path", F.col("current").alias("ancestor"), F.lit(depth).alias("depth"))
-        links, broken = (new, bad) if links is None else (links.unionByName(new), broken.unionByName(bad))
-        going = good.where("more").select("path", "current", F.array_append("paths", F.col("current")).alias("paths"), F.array_append("ids", F.col("current_id")).alias("ids"))
-        front = going.join(step, "current", "left").select("path", F.col("next").alias("current"), "paths", "ids")
-        if front.isEmpty():
-            return links, broken
-    return links, broken.unionByName(front.select("path", F.lit(DEEP).alias("reason")))
-
-
-def attribute(sessions: DataFrame, messages: DataFrame, roots: list[str], cut=lambda df: df, found: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    header = sessions.select(F.col("path").alias("parent_path"), F.col("session_id").alias("id"), "status", F.col("parent_session").isNotNull().alias("more"))
+    member = F.struct(F.col("parent_path").alias("path"), "id", "status", F.coalesce("more", F.lit(False)).alias("more"))
+    known = cut(parents(sessions, roots).join(header, "parent_path", "left").select("path", F.array(member).alias("chain")))
+    last = F.element_at("chain", -1)
+    going = (last["status"] == "ok") & last["more"]
+    length = 1
+    while length < PARENT_DEPTH and not known.where((F.size("chain") == length) & going).isEmpty():
+        further = known.select(F.col("path").alias("end"), F.col("chain").alias("rest"))
+        open_ = F.when((F.size("chain") == length) & going, last["path"])
+        longer = F.slice(F.concat("chain", F.coalesce("rest", F.array().cast(known.schema["chain"].dataType))), 1, PARENT_DEPTH)
+        known = cut(known.withColumn("end", open_).join(further, "end", "left").select("path", longer.alias("chain")))
+        length *= 2
+    if of is not None:
+        known = known.join(of.select("path").distinct(), "path", "left_semi")
+    judged = known.withColumn("reasons", _judged(F.col("chain"))).withColumn("good", F.coalesce(F.nullif(F.array_position(F.transform("reasons", lambda r: r.isNotNull()), True), F.lit(0)) - 1, F.size("chain")).cast("int"))
+    judged = cut(judged.select("path", "chain", "good", F.get("reasons", F.col("good")).alias("reason")))
+    links = judged.select("path", F.posexplode(F.slice("chain", F.lit(1), F.col("good"))).alias("depth", "a")).select("path", F.col("a.path").alias("ancestor"), "depth")
+    deep = F.when((F.col("good") == PARENT_DEPTH) & F.element_at("chain", -1)["more"], DEEP)
+    return links, judged.select("path", F.coalesce("reason", deep).alias("reason")).where("reason IS NOT NULL")
+
+
+#: Sessions with one ancestor that meet its messages in one task, about.
+HOT = 1000
+
+
+def _met(links: DataFrame, messages: DataFrame, hot: int) -> DataFrame:
+    """(path, entry_id, fingerprint, ancestor, depth, theirs, at): messages and those of their id in each ancestor.
+
+    What comes from an ancestor of more than `hot` sessions is dealt into as many more parts by session, and the ancestor's messages
+    are repeated for each part.
+    """
+    parts = links.groupBy("ancestor").agg(F.ceil(F.count("*") / hot).cast("int").alias("parts")).where("parts > 1")
+    dealt = links.join(parts, "ancestor", "left").withColumn("part", F.pmod(F.xxhash64("path"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    own = messages.select("path", "entry_id", "fingerprint").distinct().join(dealt, "path")
+    theirs = messages.select(F.col("path").alias("ancestor"), "entry_id", F.col("fingerprint").alias("theirs"), F.col("pos").alias("at")).join(parts, "ancestor", "left")
+    theirs = theirs.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    return own.join(theirs, ["ancestor", "part", "entry_id"])
+
+
+def attribute(sessions: DataFrame, messages: DataFrame, roots: list[str], cut=lambda df: df, found: tuple[DataFrame, DataFrame] | None = None, hot: int = HOT) -> DataFrame:
     """`messages` (path, pos, entry_id, fingerprint, ...) with provenance, origin_project_key and reason.
 
     A message belongs to the earliest ancestor that has the same one, else to its own session's project.  It is unresolved if the
     chain is broken or if the nearest ancestor that has its id has another content for it.  `found` may give the chains.
     """
     links, broken = found or chains(sessions, roots, cut)
+    links = cut(links)
     own = sessions.select("path", F.col("project_key").alias("own_project"))
-    old = links.join(messages.select(F.col("path").alias("ancestor"), "pos", "entry_id", "fingerprint"), "ancestor").join(own.select(F.col("path").alias("ancestor"), "own_project"), "ancestor")
-    first = old.groupBy("path", "fingerprint").agg(F.max_by("own_project", "depth").alias("first_project"))
-    nearest = old.groupBy("path", "entry_id").agg(F.max_by("fingerprint", F.struct(-F.col("depth"), "pos")).alias("nearest"))
-    df = messages.join(own, "path").join(broken, "path", "left").join(first, ["path", "fingerprint"], "left").join(nearest, ["path", "entry_id"], "left")
+    # Equal fingerprints have equal ids, so one meeting by id tells both; a session's message has at most 32 ancestors to meet.
+    met = _met(links, messages, hot).groupBy("path", "entry_id", "fingerprint").agg(
+        F.max_by("ancestor", F.when(F.col("theirs") == F.col("fingerprint"), F.col("depth"))).alias("first"),
+        F.max_by("theirs", F.struct(-F.col("depth"), "at")).alias("nearest"), F.max(F.col("theirs") == F.col("fingerprint")).alias("same"),
+    )
+    projects = own.select(F.col("path").alias("first"), F.col("own_project").alias("first_project"))
+    met = met.withColumn("first", F.when(F.col("same"), F.col("first"))).join(projects, "first", "left").drop("first", "same")
+    df = messages.join(own, "path").join(broken, "path", "left").join(met, ["path", "entry_id", "fingerprint"], "left")
     reason = F.when(F.col("reason").isNotNull(), F.col("reason")).when(F.col("nearest") != F.col("fingerprint"), UNRESOLVED)
     df = df.withColumn("reason", reason)
     return df.withColumns({
