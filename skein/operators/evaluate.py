@@ -17,6 +17,32 @@ def recall_at(hits: DataFrame, relevant: DataFrame, k: int = 5) -> DataFrame:
     return relevant.select("query_id").distinct().join(found, "query_id", "left").agg(F.avg(F.coalesce("hit", F.lit(0.0))).alias("recall"))
 
 
+def judged(hits: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
+    """(query_id, pool, holdout, hit, leaked, exposed) for rows (query_id, pool, holdout, relevant, foreign, hidden) of `queries`.
+
+    Of the first k hits: `hit`, whether one is an entry of `relevant`, or, where that is empty, whether there is none; `leaked`,
+    whether one is of the project `foreign`; `exposed`, whether one's text has the words `hidden`.  What leaks or exposes is no hit.
+    """
+    top = hits.withColumn("place", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "source_key"))).where(F.col("place") <= k)
+    found = queries.join(top.select("query_id", "entry_id", "origin_project_key", "text"), "query_id", "left")
+    any_ = lambda x: F.coalesce(F.bool_or(x), F.lit(False))
+    each = found.groupBy("query_id", "pool", "holdout", "relevant").agg(
+        any_(F.array_contains("relevant", F.col("entry_id"))).alias("found"), any_(F.col("entry_id").isNotNull()).alias("any"),
+        any_(F.col("origin_project_key") == F.col("foreign")).alias("leaked"), any_(F.contains("text", "hidden")).alias("exposed"),
+    )
+    hit = F.when(F.size("relevant") > 0, F.col("found")).otherwise(~F.col("any")) & ~F.col("leaked") & ~F.col("exposed")
+    return each.select("query_id", "pool", "holdout", hit.alias("hit"), "leaked", "exposed")
+
+
+def gates(judged: DataFrame, main: list[str]) -> DataFrame:
+    """One row: recall of the pools `main` and of the held-out queries, how many queries leak, expose or fail."""
+    share = lambda which: F.avg(F.when(which, F.col("hit").cast("double")))
+    return judged.agg(
+        F.count("*").alias("queries"), share(F.col("pool").isin(main)).alias("recall"), share(F.col("holdout")).alias("holdout_recall"),
+        F.count_if("leaked").alias("leaks"), F.count_if("exposed").alias("exposed"), F.count_if(~F.col("hit")).alias("failed"),
+    )
+
+
 def percentiles(values: DataFrame, group: str, value: str, shares: dict[str, float], bins: int = 1024, most: int = 100_000) -> DataFrame:
     """(group, a column for each share): the value at place floor(n q), from 0, of a group's values in order.  Nulls do not count.
 

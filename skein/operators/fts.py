@@ -1,8 +1,8 @@
 """Full-text index and BM25 ranking over two fields, content and cjk.
 
 The index is a postings table (token, field, source_key, session_id, origin_project_key, dl, positions), stored sorted by token, and
-one row of corpus statistics.  A query is a small list of phrases; only postings of their tokens are read, by a filter that reaches
-the scan.  A phrase of one token needs no positions; longer ones are matched by aligned positions.
+one row of corpus statistics.  A query is a list of phrases, and queries are rows of a table, so that any number of them is searched in one job; only postings of
+their tokens are read.  A phrase of one token needs no positions; longer ones are matched by aligned positions.
 """
 
 from __future__ import annotations
@@ -11,16 +11,14 @@ import re
 import unicodedata
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions import text as X
 from skein.versions import MOST_QUERY_BYTES, MOST_QUERY_CHARS, MOST_QUERY_TERMS
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
-#: Queries searched in one job: their phrases, at most 64 a query, are broadcast.  More are searched in several.
-MOST_QUERIES = 10_000
-#: Tokens up to which the filter of a scan lists them; more are broadcast.
+#: Tokens up to which the filter of a scan lists them; with more it is a join.
 MOST_LISTED = 5_000
 
 
@@ -42,10 +40,30 @@ def postings(indexed: DataFrame) -> DataFrame:
     return each.groupBy("token", "field", *own).agg(F.sort_array(F.collect_list("pos")).alias("positions"))
 
 
-def of_queries(index: DataFrame, queries: Iterable[str], wanted: DataFrame) -> DataFrame:
-    """The postings of the tokens of these queries, which `wanted` has as phrases."""
-    found = sorted({token for q in queries for term in parse_query(q) for token in term_tokens(term)})
-    return index.where(F.col("token").isin(found)) if len(found) <= MOST_LISTED else index.join(F.broadcast(wanted.select("token").distinct()), "token", "left_semi")
+def of_queries(index: DataFrame, wanted: DataFrame, tokens: Iterable[str] | None = None) -> DataFrame:
+    """The rows of `index` whose token is among the phrases `wanted`: by a list, if the tokens are given and few, or by a join."""
+    found = sorted(set(tokens)) if tokens is not None else None
+    return index.where(F.col("token").isin(found)) if found is not None and len(found) <= MOST_LISTED else index.join(wanted.select("token").distinct(), "token", "left_semi")
+
+
+def query_tokens(queries: Iterable[str]) -> list[str]:
+    """The tokens of valid queries."""
+    return sorted({token for q in queries for term in parse_query(q) for token in term_tokens(term)})
+
+
+def frequencies(postings: DataFrame) -> DataFrame:
+    """(token, field, df): in how many chunks a token stands."""
+    return postings.groupBy("token", "field").agg(F.count("*").alias("df"))
+
+
+def changed_frequencies(old: DataFrame, gone: DataFrame, new: DataFrame) -> DataFrame:
+    """`old` (token, field, df) after the postings `gone` have left and `new` have come."""
+    difference = frequencies(new).unionByName(frequencies(gone).withColumn("df", -F.col("df")))
+    return summed_frequencies(old.unionByName(difference))
+
+
+def summed_frequencies(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("token", "field").agg(F.sum("df").alias("df")).where("df <> 0")
 
 
 def corpus_stats(indexed: DataFrame) -> DataFrame:
@@ -71,35 +89,83 @@ def term_tokens(term: str) -> list[str]:
     return re.findall(r"[^\W_]+", folded)
 
 
-def phrases(spark: SparkSession, queries: Iterable[tuple[int, str]]) -> DataFrame:
-    """(query_id, phrase, field, k, token, m): each term is a phrase of m tokens, looked for in both fields."""
-    rows = [
-        (q, 2 * i + f, field, k, token, len(found))
-        for q, query in queries
-        for i, term in enumerate(parse_query(query))
-        if (found := term_tokens(term))
-        for f, field in enumerate(("content", "cjk"))
-        for k, token in enumerate(found)
-    ]
-    return spark.createDataFrame(rows, "query_id long, phrase int, field string, k int, token string, m int")
+def parsed(prompts: DataFrame, text: str = "text") -> DataFrame:
+    """`prompts` with `terms`, in order and each once, and `reason`, query-invalid where the text can't be a query, else null.
+
+    A query has, composed and trimmed, 1 to 500 characters, at most 2,048 bytes and a term.  A null text is empty.
+    """
+    composed = prompts.withColumn("__query", X.trim(X.nfc(F.coalesce(F.col(text), F.lit("")))))
+    q = F.col("__query")
+    sized = F.length(q).between(1, MOST_QUERY_CHARS) & (F.octet_length(q) <= MOST_QUERY_BYTES)
+    found = composed.withColumn("terms", F.when(sized, X.query_terms(q)).otherwise(F.array().cast("array<string>")))
+    return found.withColumn("reason", F.when(F.size("terms") == 0, QueryInvalid.code)).drop("__query")
 
 
-def bm25(index: DataFrame, stats: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(query_id, source_key, origin_project_key, bm25) of all rows in which a phrase occurs; lower is better.
+def phrases_of(queries: DataFrame, id: str = "query_id") -> DataFrame:
+    """(query_id, phrase, field, k, token, m) for rows (id, terms): each term is a phrase of m tokens, looked for in both fields.
 
-    Document frequencies and lengths are those of the whole index, whatever is filtered later.  `wanted` has at most 64 rows a term
-    of at most MOST_QUERIES queries and `stats` one row, so both are broadcast.
+    A column `project`, to which a query's matches are confined unless it is null, comes along.
     """
-    row = ["query_id", "phrase", "source_key", "origin_project_key", "dl"]
-    hits = index.join(F.broadcast(wanted), ["token", "field"])
+    more = ["project"] if "project" in queries.columns else []
+    each = queries.select(F.col(id).alias("query_id"), *more, F.posexplode("terms").alias("i", "term")).withColumn("words", X.tokens(F.col("term")))
+    fields = F.array(*(F.struct(F.lit(n).alias("n"), F.lit(f).alias("field")) for n, f in enumerate(("content", "cjk"))))
+    both = each.select("*", F.explode(fields).alias("f")).select("query_id", *more, (2 * F.col("i") + F.col("f.n")).alias("phrase"), "f.field", "words", F.size("words").alias("m"))
+    return both.select("query_id", *more, "phrase", "field", F.posexplode("words").alias("k", "token"), "m")
+
+
+def saturation(f: Column, dl: Column) -> Column:
+    """What the frequency of a phrase in a chunk counts, beside the column avgdl."""
+    return f * (K1 + 1) / (f + K1 * (1 - B + B * dl / F.col("avgdl")))
+
+
+def phrase_counts(hits: DataFrame) -> DataFrame:
+    """(query_id, phrase, source_key, ..., dl, f) from postings that are joined with the phrases: how often each stands in a chunk."""
+    row = [c for c in ("query_id", "phrase", "project", "source_key", "session_id", "origin_project_key", "slot", "dl") if c in hits.columns]
     single = hits.where("m = 1").select(*row, F.size("positions").cast("long").alias("f"))
     aligned = hits.where("m > 1").select(*row, "m", F.explode(F.transform("positions", lambda p: p - F.col("k"))).alias("start"))
     starts = aligned.groupBy(*row, "start", "m").agg(F.count("*").alias("found")).where("found = m")
-    counts = single.unionByName(starts.groupBy(*row).agg(F.count("*").alias("f")))
-    frequency = counts.groupBy("query_id", "phrase").agg(F.count("*").alias("df"))
+    return single.unionByName(starts.groupBy(*row).agg(F.count("*").alias("f")))
+
+
+def frequencies_of(counts: DataFrame) -> DataFrame:
+    return counts.groupBy("query_id", "phrase").agg(F.count("*").alias("df"))
+
+
+def kept_frequencies(frequencies: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(query_id, phrase, df) of phrases of one token, from the kept table."""
+    return frequencies.join(wanted.where("m = 1").select("query_id", "phrase", "token", "field"), ["token", "field"]).select("query_id", "phrase", "df")
+
+
+def weights(frequency: DataFrame, stats: DataFrame) -> DataFrame:
+    """(query_id, phrase, weight) from (query_id, phrase, df); `stats` is one row."""
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = F.when(idf > 0, idf).otherwise(F.lit(LEAST_IDF))
-    part = weight * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    # One row a phrase: as bounded as `wanted` is.
-    joined = counts.join(F.broadcast(frequency), ["query_id", "phrase"]).join(F.broadcast(stats))
-    return joined.groupBy("query_id", "source_key", "origin_project_key").agg((-F.sum(part)).alias("bm25"))
+    return frequency.join(F.broadcast(stats)).select("query_id", "phrase", F.when(idf > 0, idf).otherwise(F.lit(LEAST_IDF)).alias("weight"))
+
+
+def added(counts: DataFrame, weights: DataFrame, stats: DataFrame) -> DataFrame:
+    """`counts` with `part`, what each phrase adds to the score."""
+    return counts.join(weights, ["query_id", "phrase"]).join(F.broadcast(stats)).withColumn("part", F.col("weight") * saturation(F.col("f"), F.col("dl"))).select(*counts.columns, "part")
+
+
+def ranked(parts: DataFrame) -> DataFrame:
+    own = [c for c in ("query_id", "project", "source_key", "session_id", "origin_project_key") if c in parts.columns]
+    return parts.groupBy(*own).agg((-F.sum("part")).alias("bm25"))
+
+
+def bm25(index: DataFrame, stats: DataFrame, wanted: DataFrame, kept: DataFrame | None = None) -> DataFrame:
+    """(query_id, source_key, session_id, origin_project_key, bm25) of all rows in which a phrase occurs; lower is better.
+
+    Document frequencies and lengths are those of the whole index, also where a query is confined to a project; `kept` may give
+    those of tokens.
+    """
+    counts = phrase_counts(index.join(wanted, ["token", "field"]))
+    if kept is None:
+        frequency = frequencies_of(counts)
+    else:
+        frequency = kept_frequencies(kept, wanted).unionByName(frequencies_of(phrase_counts(index.join(wanted.where("m > 1"), ["token", "field"]))))
+    return in_project(ranked(added(counts, weights(frequency, stats), stats)))
+
+
+def in_project(rows: DataFrame) -> DataFrame:
+    """Rows of the project that their query is confined to, if it is."""
+    return rows.where("project IS NULL OR project = origin_project_key").drop("project") if "project" in rows.columns else rows

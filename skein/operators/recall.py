@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skein.functions import text as X
+from skein.operators import fts
 from skein.versions import ENVELOPE_TOKENS, MARK, RECALL_RECORDS, RECALL_TOKENS
 
 ENVELOPE_VERSION, TRUST_VERSION = "envelope-v1", "trust-rule-v1"
@@ -57,6 +58,30 @@ def bundle(hits: DataFrame, request: str = "request_id", mark: str = MARK, recor
     return sizes.groupBy(request).agg(F.max_by(F.struct(F.col("k").alias("records"), "envelope", "tokens"), "k").alias("b")).select(request, "b.*")
 
 
+def gated(prompts: DataFrame, closed: str | None = None) -> DataFrame:
+    """`prompts` (request_id, prompt, project, ...) with `terms` and `reason`, why nothing is to be recalled, null for those that go on.
+
+    `closed` is a reason that holds for all.  Then come a project that is not known, an empty prompt, and one that can't be a query.
+    """
+    found = fts.parsed(prompts, "prompt")
+    empty = X.trim(F.coalesce(F.col("prompt"), F.lit(""))) == ""
+    unknown = F.coalesce(F.col("project"), F.lit("")) == ""
+    return found.withColumn("reason", F.lit(closed) if closed else F.when(unknown, "project-unresolved").when(empty, "empty-prompt").otherwise(F.col("reason")))
+
+
+def answered(prompts: DataFrame, hits: DataFrame, records: int = RECALL_RECORDS, tokens: int = RECALL_TOKENS) -> DataFrame:
+    """(request_id, reason, records, envelope, tokens): one row for each of `gated` prompts, with a reason or an envelope.
+
+    `hits` are those of the prompts without a reason, query_id being the request.
+    """
+    found = hits.withColumnRenamed("query_id", "request_id")
+    bundles = bundle(found, records=records, tokens=tokens)
+    some = found.select("request_id").distinct().withColumn("hit", F.lit(True))
+    rows = prompts.select("request_id", F.col("reason").alias("closed")).join(some, "request_id", "left").join(bundles, "request_id", "left")
+    reason = F.coalesce("closed", F.when(F.col("hit").isNull(), "no-hit").when(F.col("envelope").isNull(), "budget-empty"))
+    return rows.select("request_id", reason.alias("reason"), "records", "envelope", "tokens")
+
+
 MESSAGES = "array<struct<role: string, content: array<struct<type: string, text: string>>>>"
 
 

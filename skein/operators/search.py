@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -16,7 +15,6 @@ from skein.versions import CANDIDATE_LIMIT, DEFAULT_LIMIT, MANUAL_MOST, MATCH_LI
 
 @dataclass(frozen=True)
 class Options:
-    project: str | None = None  # only this project's chunks compete; None: all projects
     exclude_session: str | None = None
     auto_eligible_only: bool = False
     verified_only: bool = False
@@ -47,8 +45,12 @@ def first_of_each_text(df: DataFrame) -> DataFrame:
 
 
 def looked_up(matches: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Matches with the whole rows of their chunks, which are read only now."""
-    return matches.join(chunks, "source_key")
+    """Matches with the whole rows of their chunks, which are read only now.
+
+    Matches that know their session as well meet chunks by that too: chunks are stored by session.
+    """
+    both = [c for c in ("session_id", "source_key") if c in matches.columns]
+    return matches.join(chunks, both)
 
 
 def allowed(rows: DataFrame, sessions: DataFrame, options: Options) -> DataFrame:
@@ -63,29 +65,30 @@ def allowed(rows: DataFrame, sessions: DataFrame, options: Options) -> DataFrame
     return rows
 
 
-def search(index: DataFrame, stats: DataFrame, chunks: DataFrame, sessions: DataFrame, queries: dict[int, str], as_of: str, options: Options = Options()) -> DataFrame:
+def asked(spark: SparkSession, queries: dict[int, str], project: str | None = None) -> DataFrame:
+    """(query_id, terms, project) of a few valid queries."""
+    return spark.createDataFrame([(q, fts.parse_query(x), project) for q, x in queries.items()], "query_id long, terms array<string>, project string")
+
+
+def first_matches(index: DataFrame, stats: DataFrame, wanted: DataFrame, kept: DataFrame | None = None) -> DataFrame:
+    """(query_id, source_key, session_id, origin_project_key, bm25) of the 256 best matches of each query, by ranking all."""
+    return _top(fts.bm25(index, stats, wanted, kept), MATCH_LIMIT, F.col("bm25"), F.col("source_key"))
+
+
+def search(matches: DataFrame, chunks: DataFrame, sessions: DataFrame, queries: DataFrame, as_of: str, options: Options = Options()) -> DataFrame:
     """Hits of each query, best first: query_id, source_key, session_id, entry_id, role, origin_project_key, occurred_at,
     content_hash, text, snippet, truncated, coverage, score.
 
-    `index` has postings.  The project filter comes before the 256 best matches are taken, all other filters after it.  Ties go by
-    source_key.  More queries than fit one job are searched in several.
+    `matches` are the 256 best of each query, among those of its project if it has one; all other filters come after.  Ties go by
+    source_key.  `queries` has (query_id, terms) and maybe exclude_session, a session that gives no hits; they may be of any number.
     """
-    spark = chunks.sparkSession
-    if len(queries) > fts.MOST_QUERIES:
-        ids = sorted(queries)
-        parts = [{q: queries[q] for q in ids[i : i + fts.MOST_QUERIES]} for i in range(0, len(ids), fts.MOST_QUERIES)]
-        found = [search(index, stats, chunks, sessions, part, as_of, options) for part in parts]
-        return reduce(DataFrame.unionByName, found).orderBy("query_id", F.desc("score"), "source_key")
-    wanted = fts.phrases(spark, queries.items())
-    ranked = fts.bm25(fts.of_queries(index, queries.values(), wanted), stats, wanted)
-    if options.project is not None:
-        ranked = ranked.where(F.col("origin_project_key") == options.project)
-    matches = _top(ranked, MATCH_LIMIT, F.col("bm25"), F.col("source_key")).select("query_id", "source_key", "bm25")
-    # At most 256 rows a query of at most 10,000 queries meet the chunks; Spark broadcasts them if they are small.
-    rows = allowed(looked_up(matches, chunks), sessions, options)
+    rows = looked_up(matches.drop("origin_project_key"), chunks)
+    own = [c for c in ("exclude_session",) if c in queries.columns]
+    rows = allowed(rows.join(queries.select("query_id", "terms", *own), "query_id"), sessions, options)
+    if own:
+        rows = rows.where(~F.col("session_id").eqNullSafe(F.col("exclude_session")))
     rows = _top(rows, CANDIDATE_LIMIT, F.col("bm25"), F.col("source_key"))
-    terms = spark.createDataFrame([(q, fts.parse_query(x)) for q, x in queries.items()], "query_id long, terms array<string>")
-    rows = rows.join(F.broadcast(terms), "query_id").withColumn("coverage", X.coverage(F.col("text"), F.col("terms"))).where(F.col("coverage") >= options.least_coverage)
+    rows = rows.withColumn("coverage", X.coverage(F.col("text"), F.col("terms"))).where(F.col("coverage") >= options.least_coverage)
     rows = rows.withColumn("score", score(F.col("bm25"), F.col("coverage"), F.col("role"), X.recency(F.col("occurred_at"), F.lit(as_of).cast("timestamp"))))
     best = _top(first_of_each_text(rows), options.rows, F.desc("score"), F.col("source_key"))
     return best.select(
