@@ -13,11 +13,15 @@ from pyspark.sql import functions as F
 
 from skein import versions as V
 from skein.functions import keys, policy
-from skein.operators import chunker, fts, provenance, recall, scan, search
+from skein.operators import blocks, chunker, fts, provenance, recall, scan, search
+from skein.operators import roots as owning
 from skein.sources import sessions as S
 from skein.sources.store import Store, StoreError, now, upsert
 from skein.streaming.cuts import cut
 
+#: Chunks up to which a search ranks all matches, which is one pass, and queries whose matches come to the driver (256 each).
+EXHAUSTIVE, FEW = 100_000, 4
+
 
 def _project_root(cwd: str) -> str:
     """kind|root: the nearest folder above with a .git, else the folder itself."""
@@ -66,14 +70,14 @@ class SessionIndex:
 
     def setup(self, roots: list[str], auto_recall: bool = False) -> dict:
         known = {os.path.normpath(os.path.abspath(r)): True for r in roots}
-        with self.store.lease("setup"):
-            self.store.publish(roots={**self.store.state["roots"], **known})
-            return self.store.configure(setup_completed=True, indexing_enabled=True, auto_recall=auto_recall)
+        self.store.refresh()
+        self.store.change(roots={**self.store.state["roots"], **known})
+        return self.store.configure(setup_completed=True, indexing_enabled=True, auto_recall=auto_recall)
 
     def status(self) -> dict:
         self.store.refresh()
         by_status = {r["status"]: r["count"] for r in self.store.table("sessions").groupBy("status").count().collect()}
-        return {**self.store.state["config"], **self.store.integrity(), "sessions": by_status, "roots": sorted(self.store.state["roots"]), "generation": self.store.state["generation"]}
+        return {**self.store.state["config"], **self.store.integrity(), "sessions": by_status, "roots": sorted(self.store.state["roots"]), "revision": self.store.state["revision"]}
 
     def project_key(self, cwd: str) -> str:
         kind, root = _project_root(cwd).split("|", 1)
@@ -88,28 +92,28 @@ class SessionIndex:
             raise StoreError("setup-required")
         if not state["config"]["indexing_enabled"]:
             return {"scanned": 0, "indexed": 0, "skipped_excluded": 0, "chunks": 0, "dispositions": {"indexing-disabled": 1}}
-        with self.store.lease("index"):
-            if root is not None:
-                root = os.path.normpath(os.path.abspath(root))
-                self.store.publish(roots={**self.store.state["roots"], root: True})
-            roots = sorted(r for r, enabled in self.store.state["roots"].items() if enabled)
-            return self._index(roots, [root] if root else roots, force, paths)
+        if root is not None:
+            root = os.path.normpath(os.path.abspath(root))
+            self.store.change(roots={**self.store.state["roots"], root: True})
+        roots = sorted(r for r, enabled in self.store.state["roots"].items() if enabled)
+        return self._index(roots, [root] if root else roots, force, paths)
 
     def _index(self, roots: list[str], scanned: list[str], force: bool, paths: list[str] | None) -> dict:
-        under = lambda column, of: F.coalesce(*(F.when(F.startswith(F.col(column), F.lit(r.rstrip("/") + "/")), True) for r in of), F.lit(False))
+        registered, mine = owning.table(self.spark, roots), owning.table(self.spark, scanned)
         listed = S.listing(self.spark, roots)
         if paths:
-            mine = F.broadcast(self.spark.createDataFrame([(S.assert_readable(p, roots), True) for p in paths], "path string, mine boolean"))
-            listed = listed.join(mine, "path", "left").withColumn("mine", F.coalesce("mine", F.lit(False)))
+            chosen = self.spark.createDataFrame([(S.assert_readable(p, roots),) for p in paths], "path string").distinct()
         else:
-            listed = listed.withColumn("mine", under("path", scanned))
+            chosen = owning.holding(listed.select("path"), mine).select("path").distinct()
+        listed = listed.join(chosen.withColumn("mine", F.lit(True)), "path", "left").withColumn("mine", F.coalesce("mine", F.lit(False)))
         old = self.store.table("sessions").withColumnRenamed("status", "old_status")
         excluded = self.store.table("exclusions").select("session_id", F.lit(True).alias("excluded"))
         # Files as they were listed when they were last read are not read again; of the others each is.
         before = old.select(F.col("file_path").alias("path"), "session_id", "parent_session", F.col("header_project_key").alias("project_key"), "old_status", F.col("listed_bytes").alias("b"), F.col("listed_at").alias("t"))
         same = (F.col("b") == F.col("listed_bytes")) & (F.col("t") == F.col("listed_at")) & (F.col("old_status") != "deleted") & ~(F.col("mine") & F.lit(force))
         listed = cut(listed.join(before, "path", "left").withColumn("quiet", F.coalesce(same, F.lit(False))))
-        files = S.read(self.spark, [r.path for r in listed.where("NOT quiet").select("path").toLocalIterator()])
+        # One read: lines, headers and cursors are of the same content.
+        files = cut(S.read(self.spark, [r.path for r in listed.where("NOT quiet").select("path").toLocalIterator()]))
         split = cut(S.lines(files))
         fresh = S.headers(split, files)
         projects = self._projects(fresh)
@@ -135,28 +139,38 @@ class SessionIndex:
         work = seen.where("disposition IN ('append', 'rewrite', 'truncate', 'full-reconcile')")
         chunks, bad = self._chunks(split, fresh, heads, work.select("path"), roots)
         tokens = cut(fts.tokenized(chunks))
-        root_of = F.coalesce(*(F.when(F.startswith(F.col("path"), F.lit(r.rstrip("/") + "/")), keys.root_id(F.lit(r))) for r in roots), F.lit(None))
-        rows = seen.where("status = 'ok' AND disposition <> 'excluded'").select(
-            "session_id", root_of.alias("root_id"), "parent_session", F.col("project_key").alias("header_project_key"), F.col("path").alias("file_path"), "c.prefix_hash", "c.trailing_line_hash",
+        owner = owning.owners(seen.select("path"), registered).select("path", "root_id")
+        rows = seen.where("status = 'ok' AND disposition <> 'excluded'").join(owner, "path", "left").select(
+            "session_id", "root_id", "parent_session", F.col("project_key").alias("header_project_key"), F.col("path").alias("file_path"), "c.prefix_hash", "c.trailing_line_hash",
             F.when(F.col("disposition") == "unchanged", F.col("old_status")).otherwise("active").alias("status"), F.lit(None).cast("string").alias("error_code"), F.lit(now()).alias("updated_at"),
             F.col("c.size_bytes").alias("file_size"), F.col("c.byte_offset").alias("scan_byte_offset"), "listed_bytes", "listed_at",
         )
         sessions = upsert(self.store.table("sessions"), rows, ["session_id"])
         if not paths:  # what was under a scanned root and is no longer there
-            gone = scan.gone(sessions, dispositions.select("session_id"), under("file_path", scanned))
-            sessions = Store._without_cursor(gone, F.col("gone")).withColumn("status", F.when(F.col("gone"), "deleted").otherwise(F.col("status"))).drop("gone")
+            held = owning.holding(sessions.select(F.col("file_path").alias("path")).distinct(), mine).select(F.col("path").alias("file_path"), F.lit(True).alias("held")).distinct()
+            gone = scan.gone(sessions.join(held, "file_path", "left"), dispositions.select("session_id"), F.coalesce("held", F.lit(False))).drop("held")
+            sessions = Store.without_cursor(gone, F.col("gone")).withColumn("status", F.when(F.col("gone"), "deleted").otherwise(F.col("status"))).drop("gone")
         sessions = cut(sessions)
         deleted = sessions.where("status = 'deleted'").select("session_id")
         before_deleted = self.store.table("sessions").where("status = 'deleted'").select("session_id")
         stale = cut(work.select("session_id").unionByName(deleted.join(before_deleted, "session_id", "left_anti")).distinct())
         histogram = {r["disposition"]: r["count"] for r in scan.histogram(dispositions).collect()}
-        done = {"scanned": sum(histogram.values()), "indexed": work.count(), "skipped_excluded": histogram.get("excluded", 0), "chunks": tokens.count(), "deleted": deleted.count(), "dispositions": histogram}
+        bad = cut(bad)
+        unresolved = bad.agg(F.coalesce(F.sum(F.when(F.col("code") == "provenance-unresolved", F.col("count"))), F.lit(0))).first()[0]
+        done = {
+            "scanned": sum(histogram.values()), "indexed": work.count(), "skipped_excluded": histogram.get("excluded", 0), "chunks": tokens.count(), "deleted": deleted.count(),
+            "unresolved_copied": unresolved, "dispositions": histogram,
+        }
         if seen.isEmpty() and stale.isEmpty():
             return done
-        marked = bad.select(F.lit(now()).alias("at"), "session_hash", "code", "detail", F.col("count").cast("long").alias("count"))
+        if not bad.isEmpty():
+            self.store.log(bad.select(F.lit(now()).alias("at"), "session_hash", "code", "detail", F.col("count").cast("long").alias("count")))
         project_rows = projects.select("project_key", "kind", "normalized_root").distinct()
-        tables = {"sessions": sessions, "projects": upsert(self.store.table("projects"), project_rows, ["project_key"]), "diagnostics": self.store.table("diagnostics").unionByName(marked)}
-        self.store.replace_chunks(stale, tokens.drop("content_tokens", "cjk_tokens"), fts.postings(tokens), tables, projection_status="ready")
+        tables = {"sessions": sessions, "projects": upsert(self.store.table("projects"), project_rows, ["project_key"])}
+        if stale.isEmpty():
+            self.store.publish(tables, projection_status="ready")
+        else:
+            self.store.replace_chunks(stale, tokens, tables, projection_status="ready")
         return done
 
     def _projects(self, heads: DataFrame) -> DataFrame:
@@ -197,49 +211,74 @@ class SessionIndex:
 
     # Search and recall
 
+    def _closed(self) -> str | None:
+        """Why nothing can be searched."""
+        state = self.store.refresh()
+        if state["projection_status"] != "ready":
+            return "projection-unavailable"
+        return None if state["config"]["setup_completed"] else "setup-required"
+
+    def matches(self, queries: DataFrame, tokens: list[str] | None = None) -> DataFrame:
+        """The 256 best matches of each row of `queries` (query_id, terms, project); `tokens` may list those of a few queries."""
+        wanted = cut(fts.phrases_of(queries)) if tokens is None else fts.phrases_of(queries)
+        blocks_ = fts.of_queries(self.store.rows("blocks"), wanted, tokens)
+        kept = fts.summed_frequencies(fts.of_queries(self.store.rows("frequencies"), wanted, tokens).drop("segment"))
+        if self.store.state["totals"][0] <= EXHAUSTIVE:
+            return search.first_matches(self.store.live(blocks.opened(blocks_)).drop("segment", "slot"), self.store.stats(), wanted, kept)
+        return blocks.best(blocks_, cut(kept), self.store.stats(), wanted, V.MATCH_LIMIT, self.store.live, cut)[0]
+
+    def _search(self, queries: DataFrame, as_of: str | None, options: dict, tokens: list[str] | None = None, few: bool = False) -> DataFrame:
+        found, chunks = self.matches(queries, tokens), self.store.rows("chunks")
+        if few:
+            # At most 256 matches a query: their sessions are a filter that reaches the scan of the chunks.
+            rows = found.collect()
+            found = self.spark.createDataFrame(rows, found.schema)
+            chunks = chunks.where(F.col("session_id").isin(sorted({r.session_id for r in rows})))
+        options.setdefault("limit", self.store.state["config"]["manual_limit"])
+        chunks = self.store.live(chunks).drop("segment", "bucket")
+        return search.search(found, chunks, self.store.table("sessions"), queries, as_of or now(), search.Options(**options))
+
     def search(self, query: str | dict[int, str], scope: str = "all", cwd: str | None = None, as_of: str | None = None, **options) -> DataFrame:
         """Hits of one query, or of many by id.  `scope` project takes the project of `cwd`."""
-        if self.store.refresh()["projection_status"] != "ready":
-            raise StoreError("projection-unavailable")
-        if not self.store.state["config"]["setup_completed"]:
-            raise StoreError("setup-required")
+        if closed := self._closed():
+            raise StoreError(closed)
         queries = query if isinstance(query, dict) else {0: query}
-        for q in queries.values():
-            fts.parse_query(q)
-        if scope == "project":
-            if not cwd:
-                raise StoreError("project-unresolved")
-            options["project"] = self.project_key(cwd)
-        chunks = self.store.table("chunks")
-        options.setdefault("limit", self.store.state["config"]["manual_limit"])
-        return search.search(self.store.table("postings"), self.store.stats(), chunks, self.store.table("sessions"), queries, as_of or now(), search.Options(**options))
+        tokens = fts.query_tokens(queries.values())
+        if scope == "project" and not cwd:
+            raise StoreError("project-unresolved")
+        project = self.project_key(cwd) if scope == "project" else None
+        return self._search(search.asked(self.spark, queries, project), as_of, options, tokens, len(queries) <= FEW)
+
+    def search_all(self, prompts: DataFrame, as_of: str | None = None, **options) -> tuple[DataFrame, DataFrame]:
+        """Hits of all rows of `prompts` (query_id, text and maybe project), and (query_id, reason) of those that are no queries."""
+        if closed := self._closed():
+            raise StoreError(closed)
+        found = cut(fts.parsed(prompts))
+        return self._search(found.where("reason IS NULL"), as_of, options), found.where("reason IS NOT NULL").select("query_id", "reason")
 
     def tool_search(self, query: str, cwd: str, limit: int | None = None) -> DataFrame:
         limit = self.store.state["config"]["tool_limit"] if limit is None else limit
         return search.safe_hits(self.search(query, "project", cwd, limit=limit, most=V.TOOL_MOST))
 
-    def auto_retrieve(self, prompt: str, cwd: str, request: str = "0", session: str | None = None, as_of: str | None = None) -> dict:
-        """{"reason"} if nothing is recalled, else {"envelope", "records", "tokens", "trust_rule"}."""
+    def recall_all(self, prompts: DataFrame, as_of: str | None = None) -> DataFrame:
+        """(request_id, reason, records, envelope, tokens) for all `prompts` (request_id, prompt, project, session): what is recalled
+        for each, or why nothing is.  All of them are searched in one plan; a session gives no hits to its own prompts."""
         state = self.store.refresh()
-        if not state["config"]["setup_completed"]:
-            return {"reason": "setup-required"}
-        if not state["config"]["auto_recall"]:
-            return {"reason": "auto-off"}
-        if state["projection_status"] != "ready":
-            return {"reason": "rebuild-partial" if state["projection_status"] == "partial" else "projection-unavailable"}
-        if not cwd:
-            return {"reason": "project-unresolved"}
-        if not prompt.strip():
-            return {"reason": "empty-prompt"}
-        try:
-            hits = self.search(prompt, "project", cwd, as_of, limit=state["config"]["auto_max_records"], exclude_session=session, auto_eligible_only=True, verified_only=True, least_coverage=V.RECALL_COVERAGE)
-        except fts.QueryInvalid as error:
-            return {"reason": error.code}
-        hits = cut(hits)
-        if hits.isEmpty():
-            return {"reason": "no-hit"}
-        best = recall.bundle(hits.withColumn("request_id", F.lit(request)), records=state["config"]["auto_max_records"], tokens=state["config"]["auto_max_tokens"]).first()
-        return {"envelope": best.envelope, "records": best.records, "tokens": best.tokens, "trust_rule": recall.trust_rule()} if best else {"reason": "budget-empty"}
+        config = state["config"]
+        closed = None if config["auto_recall"] and config["setup_completed"] else "auto-off" if config["setup_completed"] else "setup-required"
+        if not closed and state["projection_status"] != "ready":
+            closed = "rebuild-partial" if state["projection_status"] == "partial" else "projection-unavailable"
+        asked = cut(recall.gated(prompts, closed))
+        options = {"limit": config["auto_max_records"], "auto_eligible_only": True, "verified_only": True, "least_coverage": V.RECALL_COVERAGE}
+        queries = asked.where("reason IS NULL").select(F.col("request_id").alias("query_id"), "terms", "project", F.col("session").alias("exclude_session"))
+        hits = cut(self._search(queries, as_of, options))
+        return recall.answered(asked, hits, config["auto_max_records"], config["auto_max_tokens"])
+
+    def auto_retrieve(self, prompt: str, cwd: str, request: str = "0", session: str | None = None, as_of: str | None = None) -> dict:
+        """{"reason"} if nothing is recalled for one prompt, else {"envelope", "records", "tokens", "trust_rule"}."""
+        row = (request, prompt, self.project_key(cwd) if cwd else None, session)
+        found = self.recall_all(self.spark.createDataFrame([row], "request_id string, prompt string, project string, session string"), as_of).first()
+        return {"reason": found.reason} if found.reason else {"envelope": found.envelope, "records": found.records, "tokens": found.tokens, "trust_rule": recall.trust_rule()}
 
     # Exclusion, rebuild, purge
 

@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 
 from skein.functions import keys, policy
 from skein.functions import text as X
-from skein.operators import chunker, evaluate, fts, provenance, recall, scan, search
+from skein.operators import blocks, chunker, evaluate, fts, provenance, recall, scan, search
+from skein.operators import roots as roots_
 from skein.plans import tables as D
 from skein.plans.tables import literal, table
 from skein.sources import sessions, store
 from skein.streaming.cuts import cut
+from skein.versions import MATCH_LIMIT, RECALL_COVERAGE, RECALL_RECORDS
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -138,6 +140,28 @@ def chunk_conversations(spark, d):
     return D.chunked(D.said(spark, d)).select("source_key", "content_hash", "role", "origin_project_key", "text")
 
 
+# Turns as texts with paragraphs and code fences, some of them never closed.
+_FENCED = """fenced AS (SELECT conv_id, turn, rtrim(replace(replace(text, '. ', '.' || repeat(chr(10), CAST(2 + turn % 2 AS INTEGER))), 'the ', CASE WHEN turn % 3 = 0 THEN '```the ' ELSE 'the ' END) || CASE WHEN turn % 4 = 1 THEN chr(10) || chr(10) || repeat('long words ', 300) ELSE '' END, ' ' || chr(10)) AS text FROM conversations)"""
+_FOLD = """parted AS (SELECT conv_id, turn, flatten(list_transform(regexp_split_to_array(text, '\n{2,}'), lambda p: CASE WHEN contains(p, '```')
+    THEN list_transform(string_split(p, '```'), lambda x, i: CASE WHEN i % 2 = 0 THEN '```' || x || CASE WHEN i < len(string_split(p, '```')) THEN '```' ELSE '' END ELSE x END) ELSE [p] END)) AS parts FROM fenced),
+listed AS (SELECT conv_id, turn, list_transform(list_filter(parts, lambda x: x <> ''), lambda x: {'p': [x], 'o': FALSE}) AS parts FROM parted),
+folded AS (SELECT conv_id, turn, list_reduce(list_prepend({'p': []::VARCHAR[], 'o': FALSE}, parts), lambda a, b: CASE
+    WHEN length(b.p[1]) > 2000 THEN {'p': list_concat(a.p, list_transform(range(0, CAST(ceil((length(b.p[1]) - 2000) / 1920) AS BIGINT) + 1), lambda i: substr(b.p[1], 1 + 1920 * i, 2000))), 'o': FALSE}
+    WHEN a.o AND length(a.p[len(a.p)]) + 2 + length(b.p[1]) <= 1200 THEN {'p': list_append(a.p[1:len(a.p) - 1], a.p[len(a.p)] || chr(10) || chr(10) || b.p[1]), 'o': TRUE}
+    ELSE {'p': list_append(a.p, b.p[1]), 'o': TRUE} END).p AS pieces FROM listed),
+joined AS (SELECT conv_id, turn, list_reduce(list_prepend([]::VARCHAR[], list_transform(pieces, lambda x: [x])), lambda a, b: CASE
+    WHEN len(a) > 0 AND length(b[1]) < 200 AND length(a[len(a)]) + 2 + length(b[1]) <= 2000 THEN list_append(a[1:len(a) - 1], a[len(a)] || chr(10) || chr(10) || b[1]) ELSE list_append(a, b[1]) END) AS chunks FROM folded)"""
+
+
+@query(f"WITH {_FENCED}, {_FOLD} SELECT conv_id, turn, CAST(i AS INTEGER) AS chunk_index, chunk FROM (SELECT conv_id, turn, unnest(chunks) AS chunk, unnest(range(len(chunks))) AS i FROM joined)")
+def chunk_paragraphs(spark, d):
+    turn, text = F.col("turn"), F.col("text")
+    gaps = F.replace(text, F.lit(". "), F.concat(F.lit("."), F.repeat(F.lit("\n"), (2 + turn % 2).cast("int"))))
+    fenced = F.replace(gaps, F.lit("the "), F.when(turn % 3 == 0, "```the ").otherwise("the "))
+    long = F.concat(fenced, F.when(turn % 4 == 1, F.concat(F.lit("\n\n"), F.repeat(F.lit("long words "), F.lit(300)))).otherwise(""))
+    return table(spark, d, "conversations").select("conv_id", "turn", F.posexplode(chunker.chunks(F.rtrim(long, F.lit(" \n")))).alias("chunk_index", "chunk"))
+
+
 # Terms and statistics
 
 _HAN = ("aeiou", "登录认证书")
@@ -184,8 +208,8 @@ def doc_length(spark, d):
 
 def _bm25(spark, d, text):
     indexed = cut(fts.tokenized(D.chunked(D.posts(spark, d))).drop("text"))  # as a stored index would be
-    wanted = fts.phrases(spark, [(0, text)])
-    ranked = fts.bm25(fts.of_queries(fts.postings(indexed), [text], wanted), fts.corpus_stats(indexed), wanted)
+    wanted = fts.phrases_of(search.asked(spark, {0: text}))
+    ranked = fts.bm25(fts.of_queries(fts.postings(indexed), wanted, fts.query_tokens([text])), fts.corpus_stats(indexed), wanted)
     return ranked.select("source_key", F.round("bm25", 6).alias("bm25"))
 
 
@@ -211,11 +235,14 @@ def bm25_phrase(spark, d):
 _COLUMNS = "source_key, session_id, entry_id, role, origin_project_key, snippet, truncated, round(coverage, 6) AS coverage, round(score, 6) AS score"
 
 
-def _search(spark, d, entries, text, **options):
+def _search(spark, d, entries, text, project=None, **options):
     chunks = cut(D.chunked(entries(spark, d)))  # as a stored index would be
     indexed = fts.tokenized(chunks)
     active = chunks.select("session_id").distinct().withColumn("status", F.lit("active"))
-    found = search.search(fts.postings(indexed), fts.corpus_stats(indexed), chunks, active, {0: text}, D.AS_OF, search.Options(**options))
+    queries = search.asked(spark, {0: text}, project)
+    wanted = fts.phrases_of(queries)
+    matches = search.first_matches(fts.of_queries(fts.postings(indexed), wanted, fts.query_tokens([text])), fts.corpus_stats(indexed), wanted)
+    found = search.search(matches, chunks, active, queries, D.AS_OF, search.Options(**options))
     return found.select("source_key", "session_id", "entry_id", "role", "origin_project_key", "snippet", "truncated", F.round("coverage", 6).alias("coverage"), F.round("score", 6).alias("score"))
 
 
@@ -239,6 +266,96 @@ def search_late_filter(spark, d):
     return _search(spark, d, D.said, "the of in", exclude_session="7", auto_eligible_only=True, verified_only=True, limit=10)
 
 
+_PARSED = f"WITH prompts AS (SELECT conv_id * 1000 + turn AS query_id, text, NULL AS project FROM conversations), {D.sql_asked('prompts')}"
+
+
+def _prompts(spark, d):
+    return table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text")
+
+
+@query(f"{_PARSED} SELECT query_id, reason, array_to_string(terms, ' ') AS terms FROM asked")
+def parsed_queries(spark, d):
+    """Every turn as a query: its terms, or why it can't be one."""
+    return fts.parsed(_prompts(spark, d)).select("query_id", "reason", F.array_join("terms", " ").alias("terms"))
+
+
+@query(f"""{_PARSED}, each AS (SELECT query_id, i, {D.sql_tokens('term')} AS words FROM (SELECT query_id, unnest(terms) AS term, unnest(range(len(terms))) AS i FROM asked)),
+tokens AS (SELECT query_id, i, len(words) AS m, unnest(words) AS token, unnest(range(len(words))) AS k FROM each)
+SELECT query_id, CAST(2 * i + f AS INTEGER) AS phrase, field, CAST(k AS INTEGER) AS k, token, CAST(m AS INTEGER) AS m FROM tokens, (VALUES ('content', 0), ('cjk', 1)) v(field, f)""")
+def query_phrases(spark, d):
+    """The phrases of all turns that can be queries, each in both fields."""
+    return fts.phrases_of(fts.parsed(_prompts(spark, d)))
+
+
+@query(f"""WITH {D.SQL_POSTS}, changed AS (SELECT * REPLACE (CASE WHEN CAST(session_id AS BIGINT) % 3 = 1 THEN 'revised ' || text ELSE text END AS text) FROM posts WHERE CAST(session_id AS BIGINT) % 7 <> 0),
+{D.sql_chunks('changed')}, fields AS (SELECT source_key, 'content' AS field, {D.sql_tokens('text')} AS tokens FROM chunks UNION ALL SELECT source_key, 'cjk', flatten(list_transform({D.sql_bigrams('text')}, lambda g: {D.sql_tokens('g')})) FROM chunks)
+SELECT token, field, count(DISTINCT source_key) AS df FROM (SELECT source_key, field, unnest(tokens) AS token FROM fields) GROUP BY ALL""")
+def kept_frequencies(spark, d):
+    """Document frequencies after a seventh of the sessions has gone and a third has been written anew, from those kept before."""
+    id = F.col("session_id").cast("long")
+    before = D.posts(spark, d)
+    old = cut(fts.tokenized(D.chunked(before)).drop("text"))
+    new = fts.tokenized(D.chunked(before.where((id % 3 == 1) & (id % 7 != 0)).withColumn("text", F.concat(F.lit("revised "), F.col("text")))))
+    return fts.changed_frequencies(fts.frequencies(fts.postings(old)), fts.postings(old.where((id % 7 == 0) | (id % 3 == 1))), fts.postings(new))
+
+
+def _blocks(spark, d):
+    """(blocks, frequencies, stats, chunks) of the documents, as a stored index would have them."""
+    chunks = cut(D.chunked(D.posts(spark, d)))
+    sized = cut(fts.tokenized(chunks).drop("text"))
+    postings = fts.postings(sized)
+    return cut(blocks.blocked(postings, blocks.spread(sized))), cut(fts.frequencies(postings)), cut(fts.corpus_stats(sized)), chunks
+
+
+_ITEMS = "prompts AS (SELECT item_id AS query_id, text, CASE WHEN item_id % 2 = 0 THEN 'src' || item_id % 8 END AS project FROM benchmark)"
+
+
+def _items(spark, d):
+    project = F.when(F.col("item_id") % 2 == 0, F.concat(F.lit("src"), (F.col("item_id") % 8).cast("string")))
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text", project.alias("project"))
+
+
+@query(f"WITH {D.SQL_POSTS}, {D.sql_chunks('posts')}, {_ITEMS}, {D.sql_asked('prompts')}, {D.sql_matches()} SELECT query_id, source_key, round(bm25, 6) AS bm25 FROM matches")
+def block_matches(spark, d):
+    """The 256 best matches of each benchmark passage, half of them in one project, by blocks with bounds."""
+    blocks_, frequencies, stats, _ = _blocks(spark, d)
+    wanted = cut(fts.phrases_of(fts.parsed(_items(spark, d))))
+    found, _ = blocks.best(blocks_, frequencies, stats, wanted, MATCH_LIMIT, cut=cut)
+    return found.select("query_id", "source_key", F.round("bm25", 6).alias("bm25"))
+
+
+@query(f"""WITH {D.SQL_POSTS}, {D.sql_chunks('posts')}, {_ITEMS}, {D.sql_asked('prompts')}, {D.sql_matches()}, {D.sql_hits()}
+SELECT query_id, source_key, session_id, snippet, round(score, 6) AS score FROM (SELECT *, CASE WHEN length(text) > 240 THEN substr(text, 1, 240) || '…' ELSE text END AS snippet FROM hits)""")
+def search_many(spark, d):
+    """Hits of all benchmark passages in one plan."""
+    blocks_, frequencies, stats, chunks = _blocks(spark, d)
+    asked = cut(fts.parsed(_items(spark, d)).where("reason IS NULL"))
+    found, _ = blocks.best(blocks_, frequencies, stats, cut(fts.phrases_of(asked)), MATCH_LIMIT, cut=cut)
+    active = chunks.select("session_id").distinct().withColumn("status", F.lit("active"))
+    return search.search(found, chunks, active, asked, D.AS_OF).select("query_id", "source_key", "session_id", "snippet", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH {D.SQL_POSTS}, {D.sql_chunks('posts')}, prompts AS (SELECT item_id AS query_id, CASE item_id % 10 WHEN 3 THEN '  ' WHEN 4 THEN text || text ELSE text END AS text, CASE WHEN item_id % 10 <> 5 THEN 'src' || item_id % 8 END AS project FROM benchmark),
+{D.sql_asked('prompts')}, gated AS (SELECT query_id, CASE WHEN project IS NULL THEN 'project-unresolved' WHEN text = '' THEN 'empty-prompt' ELSE reason END AS reason FROM asked),
+{D.sql_matches()}, {D.sql_hits('auto_eligible', 0.25, 4)}, recalled AS (SELECT query_id AS request_id, * FROM hits WHERE query_id IN (SELECT query_id FROM gated WHERE reason IS NULL)),
+{D.sql_bundles(*recall.marks())}
+SELECT gated.query_id AS request_id, CASE WHEN reason IS NOT NULL THEN reason WHEN gated.query_id NOT IN (SELECT request_id FROM recalled) THEN 'no-hit' WHEN envelope IS NULL THEN 'budget-empty' END AS reason, records, envelope, tokens
+FROM gated LEFT JOIN bundles ON bundles.request_id = gated.query_id""")
+def recall_many(spark, d):
+    """What is recalled for each benchmark passage as a prompt, or why nothing is, in one plan."""
+    blocks_, frequencies, stats, chunks = _blocks(spark, d)
+    item, text = F.col("item_id"), F.col("text")
+    prompt = F.when(item % 10 == 3, "  ").when(item % 10 == 4, F.concat(text, text)).otherwise(text)
+    prompts = table(spark, d, "benchmark").select(item.alias("request_id"), prompt.alias("prompt"), F.when(item % 10 != 5, F.concat(F.lit("src"), (item % 8).cast("string"))).alias("project"))
+    gated = cut(recall.gated(prompts))
+    asked = cut(gated.where("reason IS NULL").withColumnRenamed("request_id", "query_id"))
+    found, _ = blocks.best(blocks_, frequencies, stats, cut(fts.phrases_of(asked)), MATCH_LIMIT, cut=cut)
+    active = chunks.select("session_id").distinct().withColumn("status", F.lit("active"))
+    options = search.Options(auto_eligible_only=True, verified_only=True, least_coverage=RECALL_COVERAGE, limit=RECALL_RECORDS)
+    hits = cut(search.search(found, chunks, active, asked, D.AS_OF, options))
+    return recall.answered(gated, hits).select("request_id", "reason", F.col("records").cast("int").alias("records"), "envelope", "tokens")
+
+
 @query("""SELECT doc_id, len(list_filter(['the', 'Rights', 'ou', 'zzz'], lambda t: contains(lower(text), lower(t)))) / 4 AS coverage,
   CASE WHEN length(text) > 240 THEN substr(text, 1, 240) || '…' ELSE text END AS snippet, CAST(ceil(strlen(text) / 2) AS BIGINT) AS tokens FROM documents""")
 def coverage_and_snippet(spark, d):
@@ -323,9 +440,8 @@ def owning_root(spark, d):
     """The first root by path that holds a page: each url asks for its own leading folders, an equality join."""
     pages = table(spark, d, "pages").select("page_id", "url")
     roots = pages.select(F.explode(F.array(F.regexp_extract("url", "^([a-z]+://[^/]+)", 1), F.regexp_extract("url", "^([a-z]+://[^/]+/[a-z]+)/", 1))).alias("root")).where("root <> ''").distinct()
-    parts = F.split("url", "/")
-    folders = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
-    return pages.select("page_id", F.explode(folders).alias("root")).join(roots, "root").groupBy("page_id").agg(F.min("root").alias("owner"))
+    held = roots_.owners(pages.select(F.col("url").alias("path")).distinct(), roots)
+    return pages.join(held, F.col("url") == F.col("path")).select("page_id", F.col("root").alias("owner"))
 
 
 def _family(spark, d):
@@ -505,6 +621,17 @@ def replace_sessions(spark, d):
     return store.replace_groups(turns, fresh.select("conv_id", "turn", "text"), ["conv_id"])
 
 
+@query("""SELECT conv_id, turn, segment, auto_eligible AND NOT (conv_id % 6 = 1 AND segment <= 1) AS auto_eligible FROM (SELECT conv_id, turn, turn % 3 AS segment, length(text) % 2 = 0 AS auto_eligible FROM conversations)
+WHERE NOT (conv_id % 4 = 0 AND segment <= 1) AND NOT (conv_id % 5 = 0)""")
+def counting_rows(spark, d):
+    """Turns written in three segments, after a quarter of the sessions was replaced after the second, a fifth excluded, and some held."""
+    rows = table(spark, d, "conversations").select("conv_id", F.col("conv_id").cast("string").alias("session_id"), "turn", (F.col("turn") % 3).alias("segment"), (F.length("text") % 2 == 0).alias("auto_eligible"))
+    id = F.col("conv_id")
+    upto = F.when(id % 5 == 0, 2).when(id % 4 == 0, 1)
+    marks = rows.select("conv_id", "session_id").distinct().select("session_id", upto.alias("upto"), F.when(id % 6 == 1, 1).alias("held")).where("upto IS NOT NULL OR held IS NOT NULL")
+    return store.counting(rows, marks).select("conv_id", "turn", "segment", "auto_eligible")
+
+
 @query("SELECT source, lang, sha256(text) AS content_hash, count(*) AS n FROM (SELECT source, lang, text FROM documents UNION ALL SELECT source, lang, text FROM documents WHERE doc_id % 4 = 0) GROUP BY ALL HAVING count(*) > 1")
 def duplicate_keys(spark, d):
     """Texts that a source has twice, as after a load that was run again for a part."""

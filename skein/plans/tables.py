@@ -181,3 +181,63 @@ scored AS (
 rescored AS (SELECT *, -bm25 + coverage + CASE WHEN role = 'user' THEN 0.05 ELSE 0 END + recency AS score FROM scored),
 firsts AS (SELECT * FROM rescored QUALIFY row_number() OVER (PARTITION BY origin_project_key, role, content_hash ORDER BY score DESC, source_key) = 1),
 found AS (SELECT *, CASE WHEN length(text) > 240 THEN substr(text, 1, 240) || '…' ELSE text END AS snippet, length(text) > 240 AS truncated FROM firsts ORDER BY score DESC, source_key LIMIT {limit})"""
+
+
+def sql_asked(prompts: str) -> str:
+    """CTEs that end in `asked` (query_id, text, project, terms, reason) for the CTE `prompts` (query_id, text, project)."""
+    bounds = f"^[{SPACE}]+|[{SPACE}]+$"
+    return f"""
+composed AS (SELECT * EXCLUDE (text), regexp_replace(nfc_normalize(coalesce(text, '')), {literal(bounds)}, '', 'g') AS text FROM {prompts}),
+spoken AS (SELECT *, CASE WHEN length(text) BETWEEN 1 AND 500 AND strlen(text) <= 2048 THEN list_concat(regexp_extract_all(text, '[A-Za-z0-9_./-]+'), {sql_bigrams('text')}) ELSE [] END AS words FROM composed),
+numbered AS (SELECT query_id, term, min(i) AS i FROM (SELECT query_id, unnest(words) AS term, unnest(range(len(words))) AS i FROM spoken) GROUP BY ALL),
+kept AS (SELECT query_id, list(term ORDER BY i)[1:32] AS terms FROM numbered GROUP BY query_id),
+asked AS (SELECT query_id, text, project, coalesce(kept.terms, []) AS terms, CASE WHEN kept.terms IS NULL THEN 'query-invalid' END AS reason FROM spoken LEFT JOIN kept USING (query_id))"""
+
+
+def sql_matches(rows: str = "chunks") -> str:
+    """CTEs that end in `matches` (query_id, source_key, bm25), the 256 best of each row of `asked` that has no reason."""
+    return f"""
+indexed AS (SELECT source_key, origin_project_key, {sql_tokens('text')} AS content, flatten(list_transform({sql_bigrams('text')}, lambda g: {sql_tokens('g')})) AS cjk FROM {rows}),
+sized AS (SELECT *, len(content) + len(cjk) AS dl FROM indexed),
+stats AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM sized),
+fields AS (SELECT source_key, origin_project_key, dl, 'content' AS field, content AS tokens FROM sized UNION ALL SELECT source_key, origin_project_key, dl, 'cjk', cjk FROM sized),
+places AS (SELECT source_key, field, unnest(tokens) AS token, unnest(range(1, len(tokens) + 1)) AS pos FROM fields),
+each AS (SELECT query_id, project, i, {sql_tokens('term')} AS words FROM (SELECT query_id, project, unnest(terms) AS term, unnest(range(len(terms))) AS i FROM asked WHERE reason IS NULL)),
+wanted AS (SELECT each.*, field, 2 * i + f AS phrase FROM each, (VALUES ('content', 0), ('cjk', 1)) v(field, f) WHERE len(words) > 0),
+counts AS (
+  SELECT query_id, wanted.project, phrase, fields.source_key, origin_project_key, dl, count(*) AS f
+  FROM wanted JOIN places ON places.field = wanted.field AND places.token = wanted.words[1] JOIN fields ON fields.source_key = places.source_key AND fields.field = places.field
+  WHERE fields.tokens[pos:pos + len(words) - 1] = words GROUP BY ALL),
+weighed AS (SELECT *, count(*) OVER (PARTITION BY query_id, phrase) AS df FROM counts),
+parts AS (SELECT *, ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) AS raw FROM weighed, stats),
+ranked AS (
+  SELECT query_id, source_key, -sum((CASE WHEN raw > 0 THEN raw ELSE 1e-6 END) * f * 2.2::DOUBLE / (f + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))) AS bm25
+  FROM parts WHERE project IS NULL OR project = origin_project_key GROUP BY ALL),
+matches AS (SELECT * FROM ranked QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 9), source_key) <= 256)"""
+
+
+def sql_hits(late: str = "TRUE", coverage: float = 0, limit: int = 5) -> str:
+    """CTEs that end in `hits` (query_id, ..., score), the best few of `matches` of each query."""
+    return f"""
+late AS (SELECT chunks.*, query_id, bm25 FROM matches JOIN chunks USING (source_key) WHERE {late} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 9), source_key) <= 64),
+scored AS (
+  SELECT late.*, len(list_filter(asked.terms, lambda t: contains(lower(late.text), lower(t)))) / len(asked.terms) AS coverage,
+         greatest(0, 0.1::DOUBLE - greatest(0, (epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(CAST(occurred_at AS TIMESTAMP))) / 86400000000) * 0.0001::DOUBLE) AS recency
+  FROM late JOIN asked USING (query_id)),
+rescored AS (SELECT *, round(-bm25 + coverage + CASE WHEN role = 'user' THEN 0.05 ELSE 0 END + recency, 9) AS score FROM scored WHERE coverage >= {coverage}),
+firsts AS (SELECT * FROM rescored QUALIFY row_number() OVER (PARTITION BY query_id, origin_project_key, role, content_hash ORDER BY score DESC, source_key) = 1),
+hits AS (SELECT * FROM firsts QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, source_key) <= {limit})"""
+
+
+def sql_bundles(start: str, end: str) -> str:
+    """CTEs that end in `bundles` (request_id, records, envelope, tokens) from `recalled`, hits with a request_id."""
+    record = """'- role: ' || role || chr(10) || '  occurredAt: ' || occurred_at || chr(10) || '  sessionId: ' || session_id || chr(10) || '  entryId: ' || entry_id || chr(10)
+  || '  contentHash: ' || content_hash || chr(10) || '  textLength: ' || length(text) || chr(10) || '  text: |' || chr(10) || '    ' || replace(text, chr(10), chr(10) || '    ')"""
+    return f"""
+placed AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, session_id, entry_id) AS place FROM recalled QUALIFY place <= 4),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, place DESC) AS keep, {record} AS lines FROM placed),
+counted AS (SELECT request_id, k, count(*) AS n, string_agg(lines, chr(10) ORDER BY place) AS body FROM ordered, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE keep <= k GROUP BY ALL HAVING count(*) = k),
+rendered AS (SELECT request_id, k, {literal(start)} || chr(10) || 'version: envelope-v1' || chr(10) || 'requestId: ' || request_id || chr(10) || 'recordCount: ' || k || chr(10) || 'records:' || chr(10) || body || chr(10) || {literal(end)} AS envelope FROM counted),
+bundles AS (
+  SELECT request_id, CAST(k AS INTEGER) AS records, envelope, CAST(ceil(strlen(envelope) / 2) AS BIGINT) + 40 AS tokens FROM rendered WHERE ceil(strlen(envelope) / 2) + 40 <= 600
+  QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY k DESC) = 1)"""

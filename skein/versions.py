@@ -14,6 +14,5 @@ MATCH_LIMIT, CANDIDATE_LIMIT, SNIPPET_CHARS = 256, 64, 240
 DEFAULT_LIMIT, MANUAL_MOST, TOOL_MOST = 5, 20, 10
 RECALL_RECORDS, RECALL_TOKENS, RECALL_COVERAGE, ENVELOPE_TOKENS = 4, 600, 0.25, 40
 PARENT_DEPTH = 32
-LEASE_SECONDS = 120
 #: The name inside the marks that begin and end an envelope of recalled text.
 MARK = "session-recall"

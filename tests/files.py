@@ -16,8 +16,7 @@ def header(id, cwd=A, parent=None, **more):
 
 
 def message(id, role, text, parent=None, **more):
-    content = text if isinstance(text, (str, list)) else text
-    return {"type": "message", "id": id, "parentId": parent, "timestamp": "2026-01-01T00:00:01.000Z", "message": {"role": role, "content": content, **more}}
+    return {"type": "message", "id": id, "parentId": parent, "timestamp": "2026-01-01T00:00:01.000Z", "message": {"role": role, "content": text, **more}}
 
 
 def write(path, *rows, end="\n"):
