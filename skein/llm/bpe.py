@@ -192,7 +192,8 @@ def codec(path: str, pattern: str) -> Codec:
 def encode_decode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
     """`docs` with `token_ids` (array<int>), the ids of the whole text, and `decoded` (binary), the bytes of those ids.
 
-    A null text counts as empty: no ids, no bytes.  Repeated rows are encoded each.  Columns that have these names are replaced.
+    A null text counts as empty: no ids, no bytes.  Repeated rows are encoded each, texts of any length whole, and an empty table gives
+    no rows.  Columns that have these names are replaced.
     """
 
     def make():

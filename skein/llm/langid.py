@@ -150,7 +150,8 @@ def fit(docs: DataFrame, vocabulary: str, id: str = "doc_id", text: str = "text"
     """(languages, probabilities by piece and language), fitted on rows with a non-null language that are not held out.
 
     The sample is about `documents_a_language` documents of each language, chosen by a hash of the id, or all if there are fewer.
-    Raises ValueError if the rows have more than MOST_LANGUAGES languages; without any usable row the model is empty.
+    Repeated rows are learned from each, and of texts of any length all words of up to FIT_CHARS characters.  Raises ValueError if the
+    rows have more than MOST_LANGUAGES languages; without any usable row, or of an empty table, the model is empty.
     """
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~common.held_out(id))
     shares = [(r[0], min(1.0, documents_a_language / r[1])) for r in rows.groupBy(lang).count().orderBy(lang).limit(MOST_LANGUAGES + 1).collect()]
@@ -257,7 +258,8 @@ def predict(docs: DataFrame, vocabulary: str, model: tuple[list[str], np.ndarray
     """`docs` with `lang_pred` (a language of the model) and `score` (its probability if all languages are as likely beforehand).
 
     The whole text counts.  A null text, or one without a letter, has `und` and 0, as has any text if the model has no language; of
-    equally likely languages the first by name is taken.  Columns that have these names are replaced.
+    equally likely languages the first by name is taken.  Texts count whole however long, repeated rows are judged alike, and an empty
+    table gives no rows.  Columns that have these names are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -104,7 +104,8 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     """A model from at most `most_rows` labelled rows that are not held out, those with the lowest hash of their id.
 
     Of rows of `docs` that share an id one is taken, and of labels of an id the lower one.  Their features, at most 66 MB, are the only
-    thing that comes to the driver.  Null and empty texts have features like any other; without a labelled row the model is neutral.
+    thing that comes to the driver.  Null and empty texts have features like any other, and texts of any length are read whole; without
+    a labelled row, or of an empty table, the model is neutral.
     """
     rows = labels.where(F.col(label).isNotNull() & F.col(id).isNotNull() & ~common.held_out(id)).select(F.col(id).alias("of"), F.col(label).cast("int").alias("label"))
     sample = rows.groupBy("of").agg(F.min("label").alias("label")).orderBy(F.xxhash64(F.lit("quality"), "of"), "of").limit(most_rows)
@@ -126,7 +127,8 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
 def score(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.3) -> DataFrame:
     """`docs` with `score` (0 to 1, higher: label 1 likelier) and `predicted` (1 if score >= threshold, else 0).
 
-    The whole text counts; a null text is scored as an empty one.  Columns that have these names are replaced.
+    The whole text counts, however long; a null text is scored as an empty one.  Repeated rows have equal scores, and an empty table
+    gives no rows.  Columns that have these names are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -133,7 +133,8 @@ def counter(path: str) -> Counter:
 def count_tokens(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """`docs` with `n_tokens` (long), the number of tokens of the whole text by the tokenizer file at `path`.
 
-    A null or empty text has 0.  Special strings in a text count as one token each.  A column `n_tokens` is replaced.
+    A null or empty text has 0.  Special strings in a text count as one token each.  Texts of any length count whole, repeated rows
+    are counted each, and an empty table gives no rows.  A column `n_tokens` is replaced.
     """
 
     def make():
