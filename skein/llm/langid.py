@@ -20,8 +20,9 @@ from . import common
 
 START = "▁"  # begins a word in the vocabulary
 UNDETERMINED = "und"
-#: Words that a task remembers, and the longest of them.  Longest word used in fitting.  Most languages of a model: the broadcast is at most 51 MB.
-REMEMBERED, REMEMBERED_CHARS, FIT_CHARS, MOST_LANGUAGES = 500_000, 40, 40, 200
+#: Words that a task remembers, and the longest of them.  Characters of a lattice in fitting; a longer word has one of its own.
+#: Most languages of a model: the broadcast is at most 51 MB.
+REMEMBERED, REMEMBERED_CHARS, FIT_CHARS, MOST_LANGUAGES = 500_000, 40, 65_536, 200
 
 
 class Pieces:
@@ -115,21 +116,29 @@ def _rest(at, lengths, p, t0, alpha, log):
 
 
 def expected(at: np.ndarray, lengths: np.ndarray, p: np.ndarray, times: np.ndarray, size: int) -> np.ndarray:
-    """Expected number of uses of each piece over all segmentations of words of at most FIT_CHARS letters; p: (piece,)."""
+    """Expected number of uses of each piece over all segmentations of words of any length; p: (piece,).
+
+    Sums are kept as logarithms, since the probability of a long word is less than the least number.
+    """
     n, longest, most = at.shape
-    alpha, beta, used = np.zeros((n, longest)), np.zeros((n, longest)), np.zeros(size)
-    alpha[:, 0], beta[np.arange(n), lengths] = 1, 1
-    prob = p[at]
+    with np.errstate(divide="ignore"):
+        log_p = np.log(p)
+    alpha, beta, used = np.full((n, longest), -np.inf), np.full((n, longest), -np.inf), np.zeros(size)
+    alpha[:, 0], beta[np.arange(n), lengths] = 0, 0
     for t in range(1, longest):
         k = min(t, most)
-        alpha[:, t] = (alpha[:, t - k : t][:, ::-1] * prob[:, t, :k]).sum(axis=1)
+        way = alpha[:, t - k : t][:, ::-1] + log_p[at[:, t, :k]]
+        top = np.maximum(way.max(axis=1), -1e300)  # no way at all stays so
+        with np.errstate(divide="ignore"):
+            alpha[:, t] = top + np.log(np.exp(way - top[:, None]).sum(axis=1))
     for t in range(longest - 1, 0, -1):
         k = min(t, most)
-        beta[:, t - k : t] += (beta[:, t, None] * prob[:, t, :k])[:, ::-1]
+        part = beta[:, t - k : t]
+        np.logaddexp(part, beta[:, t, None] + log_p[at[:, t, :k]][:, ::-1], out=part)
     total = alpha[np.arange(n), lengths]
     for t in range(1, longest):
         k = min(t, most)
-        share = alpha[:, t - k : t][:, ::-1] * prob[:, t, :k] * (beta[:, t] * times / total)[:, None]
+        share = np.exp(alpha[:, t - k : t][:, ::-1] + log_p[at[:, t, :k]] + (beta[:, t] - total)[:, None]) * times[:, None]
         used += np.bincount(at[:, t, :k].ravel(), share.ravel(), size)
     used[0] = 0
     return used
@@ -150,7 +159,7 @@ def fit(docs: DataFrame, vocabulary: str, id: str = "doc_id", text: str = "text"
     """(languages, probabilities by piece and language), fitted on rows with a non-null language that are not held out.
 
     The sample is about `documents_a_language` documents of each language, chosen by a hash of the id, or all if there are fewer.
-    Repeated rows are learned from each, and of texts of any length all words of up to FIT_CHARS characters.  Raises ValueError if the
+    Repeated rows are learned from each, and of texts of any length all words, however long.  Raises ValueError if the
     rows have more than MOST_LANGUAGES languages; without any usable row, or of an empty table, the model is empty.
     """
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~common.held_out(id))
@@ -169,8 +178,7 @@ def fit(docs: DataFrame, vocabulary: str, id: str = "doc_id", text: str = "text"
             own: dict[tuple[str, str], int] = {}
             for name, x in zip(batch.column(lang).to_pylist(), batch.column(text).to_pylist()):
                 for w in _words(x):
-                    if len(w) <= FIT_CHARS:
-                        own[name, w] = own.get((name, w), 0) + 1
+                    own[name, w] = own.get((name, w), 0) + 1
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in own], pa.string()), pa.array([k[1] for k in own], pa.string()), pa.array(own.values(), pa.int64())], names=["lang", "word", "n"])
 
     words = common.cut(sample.select(lang, text).mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
@@ -187,8 +195,12 @@ def fit(docs: DataFrame, vocabulary: str, id: str = "doc_id", text: str = "text"
                 for k in range(len(names_)):
                     mine = np.flatnonzero(by == k)
                     mine = mine[np.argsort([len(x) for x in all_[mine]], kind="stable")]
-                    for i in range(0, len(mine), 2048):
-                        some = mine[i : i + 2048]
+                    start = 0
+                    while start < len(mine):
+                        end = start + 1  # words of nearly one length
+                        while end < min(len(mine), start + 2048) and (len(all_[mine[end]]) + 1) * (end - start + 1) <= FIT_CHARS:
+                            end += 1
+                        some, start = mine[start:end], end
                         at, lengths = own.lattice(list(all_[some]))
                         if shared is None:  # start from how often each piece occurs at all
                             used[k] += np.bincount(at.ravel(), np.repeat(n[some], at.shape[1] * at.shape[2]), own.size)

@@ -315,6 +315,12 @@ def test_language_forward():
         q[i] *= 1 + 1e-6
         change = sum(np.log(brute_word(w, q, own) / brute_word(w, p[:, 0], own)) for w in words[:2])
         assert used[i] == pytest.approx(change / 1e-6, rel=1e-3)
+    # A word whose probability is below the least number: the pieces of each segmentation have all its characters.
+    at, lengths = own.lattice(["straße" * 500, "zq"])
+    used = langid.expected(at, lengths, p[:, 0], np.array([2.0, 3.0]), own.size)
+    width = np.ones(own.size)
+    width[list(own.ids.values())] = [len(x) for x in own.ids]
+    assert (used * width).sum() == pytest.approx(2 * 3001 + 3 * 3)
 
 
 def test_language(spark, empty):
