@@ -310,7 +310,7 @@ def main(argv: list[str] | None = None) -> int:
     add = lambda name, *args: [sub.choices.get(name) or sub.add_parser(name)] and [sub.choices[name].add_argument(*a, **k) for a, k in args]
     add("setup", (("roots",), {"nargs": "+"}), (("--auto",), {"action": "store_true"}))
     add("index", (("--root",), {}), (("--force",), {"action": "store_true"}))
-    add("search", (("query",), {}), (("--project",), {"metavar": "CWD"}), (("--limit",), {"type": int}))
+    add("search", (("query",), {}), (("--project",), {"metavar": "CWD"}), (("--limit",), {"type": int}), (("--plain",), {"action": "store_true"}))
     for name in ("exclude-session", "include-session"):
         add(name, (("session",), {}))
     for name in ("status", "rebuild", "purge-index", "purge-data", "probe"):
@@ -324,6 +324,9 @@ def main(argv: list[str] | None = None) -> int:
             out = index.index(args.root, args.force)
         elif args.command == "search":
             hits = index.search(args.query, "project" if args.project else "all", args.project, **({"limit": args.limit} if args.limit is not None else {}))
+            if args.plain:
+                print(search.plain(hits, index.spark.createDataFrame([(0,)], "query_id int")).first().shown)
+                return 0
             out = [r.asDict() for r in search.safe_hits(hits).collect()]
         elif args.command in ("exclude-session", "include-session"):
             out = getattr(index, args.command.replace("-", "_"))(args.session)

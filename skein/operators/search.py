@@ -29,7 +29,7 @@ class Options:
         return min(max(DEFAULT_LIMIT if self.limit is None else self.limit, 1), self.most)
 
 
-def _top(df: DataFrame, n: int, *order: Column) -> DataFrame:
+def top(df: DataFrame, n: int, *order: Column) -> DataFrame:
     """The first n rows of each query.  Spark keeps n rows a partition and query before the shuffle."""
     return df.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= n).drop("rank")
 
@@ -72,7 +72,7 @@ def asked(spark: SparkSession, queries: dict[int, str], project: str | None = No
 
 def first_matches(index: DataFrame, stats: DataFrame, wanted: DataFrame, kept: DataFrame | None = None) -> DataFrame:
     """(query_id, source_key, session_id, origin_project_key, bm25) of the 256 best matches of each query, by ranking all."""
-    return _top(fts.bm25(index, stats, wanted, kept), MATCH_LIMIT, F.col("bm25"), F.col("source_key"))
+    return top(fts.bm25(index, stats, wanted, kept), MATCH_LIMIT, F.col("bm25"), F.col("source_key"))
 
 
 def search(matches: DataFrame, chunks: DataFrame, sessions: DataFrame, queries: DataFrame, as_of: str, options: Options = Options()) -> DataFrame:
@@ -87,10 +87,10 @@ def search(matches: DataFrame, chunks: DataFrame, sessions: DataFrame, queries:
     rows = allowed(rows.join(queries.select("query_id", "terms", *own), "query_id"), sessions, options)
     if own:
         rows = rows.where(~F.col("session_id").eqNullSafe(F.col("exclude_session")))
-    rows = _top(rows, CANDIDATE_LIMIT, F.col("bm25"), F.col("source_key"))
+    rows = top(rows, CANDIDATE_LIMIT, F.col("bm25"), F.col("source_key"))
     rows = rows.withColumn("coverage", X.coverage(F.col("text"), F.col("terms"))).where(F.col("coverage") >= options.least_coverage)
     rows = rows.withColumn("score", score(F.col("bm25"), F.col("coverage"), F.col("role"), X.recency(F.col("occurred_at"), F.lit(as_of).cast("timestamp"))))
-    best = _top(first_of_each_text(rows), options.rows, F.desc("score"), F.col("source_key"))
+    best = top(first_of_each_text(rows), options.rows, F.desc("score"), F.col("source_key"))
     return best.select(
         "query_id", "source_key", "session_id", "entry_id", "role", "origin_project_key", "occurred_at", "content_hash", "text",
         X.snippet(F.col("text")).alias("snippet"), (F.length("text") > X.SNIPPET_CHARS).alias("truncated"), "coverage", "score",
@@ -98,5 +98,21 @@ def search(matches: DataFrame, chunks: DataFrame, sessions: DataFrame, queries:
 
 
 def safe_hits(hits: DataFrame) -> DataFrame:
-    """What a tool shows of hits: six fields, without control characters."""
-    return hits.select("role", "occurred_at", "session_id", "entry_id", X.without_control(F.col("snippet")).alias("snippet"), "score")
+    """What a tool shows of hits: six fields and their query, best first; no score, text or key, and no control characters."""
+    shown = hits.select("session_id", "entry_id", "role", "occurred_at", X.without_control(F.col("snippet")).alias("snippet"), "truncated", "query_id", "score", "source_key")
+    return shown.orderBy("query_id", F.desc("score"), "source_key").drop("query_id", "score", "source_key")
+
+
+def plain(hits: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, shown): the hits of each row of `queries` (query_id) as text, best first, or the line that there are none.
+
+    A hit is a line of where it stands and an indented line with its snippet, without control characters; hits are apart by an empty
+    line.  Fields that are null are left empty.  A query has at most as many hits as the search that found them was allowed.
+    """
+    place = F.concat_ws("  ", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("session_id", "entry_id", "role", "occurred_at")))
+    mark = F.when(F.col("truncated"), " [truncated]").otherwise("")
+    snippet = X.without_control(F.coalesce(F.col("snippet"), F.lit("")))
+    lines = F.concat(place, mark, F.lit("\n  "), snippet)
+    ordered = F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("rank"), "source_key", lines.alias("lines"))))
+    found = hits.groupBy("query_id").agg(F.array_join(F.transform(ordered, lambda x: x["lines"]), "\n\n").alias("shown"))
+    return queries.select("query_id").distinct().join(found, "query_id", "left").select("query_id", F.coalesce("shown", F.lit("No hits.")).alias("shown"))

@@ -375,6 +375,22 @@ def dedupe_first(spark, d):
     return search.first_of_each_text(rows).select("source_key", "origin_project_key", "score")
 
 
+@query(rf"""WITH {D.SQL_POSTS}, {D.sql_chunks('posts')},
+best AS (SELECT *, length(text) % 7 AS score FROM chunks QUALIFY row_number() OVER (PARTITION BY origin_project_key ORDER BY length(text) % 7 DESC, source_key) <= 10),
+lines AS (SELECT *, session_id || '  ' || entry_id || '  ' || role || '  ' || occurred_at || CASE WHEN length(text) > 240 THEN ' [truncated]' ELSE '' END || chr(10) || '  '
+  || regexp_replace(CASE WHEN length(text) > 240 THEN substr(text, 1, 240) || '…' ELSE text END, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g') AS line FROM best),
+shown AS (SELECT origin_project_key AS query_id, string_agg(line, chr(10) || chr(10) ORDER BY score DESC, source_key) AS shown FROM lines GROUP BY ALL)
+SELECT query_id, coalesce(shown, 'No hits.') AS shown FROM (SELECT source AS query_id FROM documents UNION SELECT r_name FROM region) LEFT JOIN shown USING (query_id)""")
+def plain_hits(spark, d):
+    """Ten chunks of each source, and of regions, which have none, as text."""
+    text = F.concat(F.lit("\x1b[1m"), X.snippet(F.col("text")), F.lit("\x1b[0m\x07"))
+    rows = D.chunked(D.posts(spark, d)).withColumn("query_id", F.col("origin_project_key")).withColumn("score", (F.length("text") % 7).cast("long"))
+    best = search.top(rows, 10, F.desc("score"), F.col("source_key"))
+    hits = best.withColumn("truncated", F.length("text") > X.SNIPPET_CHARS).withColumn("snippet", text)
+    queries = table(spark, d, "documents").select(F.col("source").alias("query_id")).union(table(spark, d, "region").select("r_name"))
+    return search.plain(hits, queries)
+
+
 # Recall
 
 _START, _END = recall.marks()

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import keys, policy
 from skein.functions import text as X
-from skein.operators import chunker, fts, recall, scan
+from skein.operators import chunker, fts, recall, scan, search
 
 
 def one(spark, column, **values):
@@ -176,3 +176,16 @@ def test_inject(spark):
     assert inject([m("assistant", "x")], "x")[0] is None
     assert inject([m("user", recall.marks()[0])], "x")[0] is None
     assert inject([], "x")[0] is None
+
+
+def test_plain(spark):
+    schema = "query_id int, source_key string, session_id string, entry_id string, role string, occurred_at string, snippet string, truncated boolean, score double"
+    hits = spark.createDataFrame(
+        [(1, "b", "s1", "e1", "user", "t1", "one\x1b[31m red\x07", False, 0.5), (1, "a", "s2", "e2", "assistant", None, "two…", True, 0.5), (1, "c", "s3", "e3", "user", "t3", None, None, 0.9)], schema
+    )
+    queries = spark.createDataFrame([(1,), (2,), (2,)], "query_id int")
+    got = {r.query_id: r.shown for r in search.plain(hits, queries).collect()}
+    assert got == {1: "s3  e3  user  t3\n  \n\ns2  e2  assistant   [truncated]\n  two…\n\ns1  e1  user  t1\n  one red", 2: "No hits."}
+    safe = search.safe_hits(hits)
+    assert safe.columns == ["session_id", "entry_id", "role", "occurred_at", "snippet", "truncated"] and [r.session_id for r in safe.collect()] == ["s3", "s2", "s1"]
+    assert search.plain(hits.limit(0), queries.limit(0)).collect() == []

@@ -79,7 +79,7 @@ def test_search(built):
     assert evaluate.recall_at(index.search({1: "beta", 2: "branch", 3: "nothingatall"}), relevant).first().recall == pytest.approx(1 / 3)
     assert evaluate.leaks(index.search({1: "beta"}), index.spark.createDataFrame([(1, KEY_B)], "query_id long, origin_project_key string")).first().leaks == 1
     assert [h.entry_id for h in index.search("忽略指令").collect()] == ["c687a3b9"]
-    assert index.tool_search("beta", B).columns == ["role", "occurred_at", "session_id", "entry_id", "snippet", "score"]
+    assert index.tool_search("beta", B).columns == ["session_id", "entry_id", "role", "occurred_at", "snippet", "truncated"]
     with pytest.raises(StoreError, match="project-unresolved"):
         index.search("x", "project")
 
@@ -143,6 +143,8 @@ def test_lifecycle(spark, tmp_path, capsys):
     with pytest.raises(StoreError, match="projection-unavailable"):
         index.search("x")
     index.rebuild()
+    capsys.readouterr()
+    assert main(["--home", str(tmp_path / "home"), "search", "nosuchwordanywhere", "--plain"]) == 0 and capsys.readouterr().out == "No hits.\n"
     index.purge_index()
     assert index.status()["chunks"] == 0 and index.index()["dispositions"] == {"indexing-disabled": 1}
     assert main(["--home", str(tmp_path / "home"), "status"]) == 0 and '"indexing_enabled": false' in capsys.readouterr().out
