@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
+#: Links that a task has, about.  There are as many tasks as cores at least, and at most as many as shuffle partitions.
+LINKS = 100_000
+
 
 def _lowest(pairs: DataFrame) -> DataFrame:
     """(u, v, m): each pair with the lowest of u and all its v."""
@@ -30,7 +33,7 @@ def components(links: DataFrame) -> DataFrame:
     """(node, root) for each node of `links` (u, v: equal comparable types): the root is the component's lowest node.
 
     Each round writes the links to the checkpoint folder; rounds grow with the logarithm of the longest path.  A node without a
-    link to another has no row.
+    link to another has no row.  Tasks follow the number of links, so few links do not make many small files in each shuffle.
     """
     links = cut(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     mark = None
@@ -38,4 +41,5 @@ def components(links: DataFrame) -> DataFrame:
         new = links.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.expr("sum(cast(xxhash64(u, v) as decimal(38, 0)))")).first()
         if new == mark or new[0] == 0:
             return links.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        mark, links = new, cut(_small_star(_large_star(links)))
+        tasks = max(links.sparkSession.sparkContext.defaultParallelism, -(-new[0] // LINKS))
+        mark, links = new, cut(_small_star(_large_star(links.coalesce(tasks)).coalesce(tasks)).coalesce(tasks))
