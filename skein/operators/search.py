@@ -72,24 +72,24 @@ def asked(spark: SparkSession, queries: dict[int, str], project: str | None = No
 
 def first_matches(index: DataFrame, stats: DataFrame, wanted: DataFrame, kept: DataFrame | None = None) -> DataFrame:
     """(query_id, source_key, session_id, origin_project_key, bm25) of the 256 best matches of each query, by ranking all."""
-    return top(fts.bm25(index, stats, wanted, kept), MATCH_LIMIT, F.col("bm25"), F.col("source_key"))
+    return top(fts.bm25(index, stats, wanted, kept), MATCH_LIMIT, F.round("bm25", fts.PLACES), F.col("source_key"))
 
 
 def search(matches: DataFrame, chunks: DataFrame, sessions: DataFrame, queries: DataFrame, as_of: str, options: Options = Options()) -> DataFrame:
     """Hits of each query, best first: query_id, source_key, session_id, entry_id, role, origin_project_key, occurred_at,
     content_hash, text, snippet, truncated, coverage, score.
 
-    `matches` are the 256 best of each query, among those of its project if it has one; all other filters come after.  Ties go by
-    source_key.  `queries` has (query_id, terms) and maybe exclude_session, a session that gives no hits; they may be of any number.
+    `matches` are the 256 best of each query, among those of its project if it has one; all other filters come after.  Scores that
+    are equal to nine places are ties, which go by source_key.  `queries` has (query_id, terms) and maybe exclude_session, a session that gives no hits; they may be of any number.
     """
     rows = looked_up(matches.drop("origin_project_key"), chunks)
     own = [c for c in ("exclude_session",) if c in queries.columns]
     rows = allowed(rows.join(queries.select("query_id", "terms", *own), "query_id"), sessions, options)
     if own:
         rows = rows.where(~F.col("session_id").eqNullSafe(F.col("exclude_session")))
-    rows = top(rows, CANDIDATE_LIMIT, F.col("bm25"), F.col("source_key"))
+    rows = top(rows, CANDIDATE_LIMIT, F.round("bm25", fts.PLACES), F.col("source_key"))
     rows = rows.withColumn("coverage", X.coverage(F.col("text"), F.col("terms"))).where(F.col("coverage") >= options.least_coverage)
-    rows = rows.withColumn("score", score(F.col("bm25"), F.col("coverage"), F.col("role"), X.recency(F.col("occurred_at"), F.lit(as_of).cast("timestamp"))))
+    rows = rows.withColumn("score", F.round(score(F.col("bm25"), F.col("coverage"), F.col("role"), X.recency(F.col("occurred_at"), F.lit(as_of).cast("timestamp"))), fts.PLACES))
     best = top(first_of_each_text(rows), options.rows, F.desc("score"), F.col("source_key"))
     return best.select(
         "query_id", "source_key", "session_id", "entry_id", "role", "origin_project_key", "occurred_at", "content_hash", "text",
