@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +23,9 @@ TOKENS = (
     r"xox[baprs]-[A-Za-z0-9-]{10,}",
     r"AIza[0-9A-Za-z_-]{20,}",
 )
+#: What each match of a token starts with, and a part of the name in each match of an assignment.
+STARTS = ("sk-", "ghp_", "github_pat_", "xox", "AIza")
+WORDS = r"(?i)key|secret|token|password"
 _WORD = r"(?:API[_-]?KEY|ACCESS[_-]?KEY(?:_ID)?|SECRET|TOKEN|PASSWORD)"
 NAME = rf"(?:{_WORD}|[A-Za-z_][A-Za-z0-9_]*{_WORD}[A-Za-z0-9_]*)"
 ASSIGNMENT = rf"({NAME})[{SPACE}]*[:=][{SPACE}]*['\"]?([^{SPACE}'\"]{{8,}})['\"]?"
@@ -43,7 +48,7 @@ def rejection(text: Column) -> Column:
     return (
         F.when(text.isNull() | (F.length(text) == 0), "empty")
         .when(F.length(text) > MOST_POLICY_CHARS, "size-reject")
-        .when(text.rlike(PEM) | text.rlike(CREDENTIAL), "secret-reject")
+        .when((F.contains(text, F.lit("-----BEGIN ")) & text.rlike(PEM)) | text.rlike(CREDENTIAL), "secret-reject")
     )
 
 
@@ -63,15 +68,22 @@ def redact(text: Column) -> Column:
     return redaction_steps(text)[-1][1]
 
 
+def may_be_redacted(text: Column) -> Column:
+    """Whether a text has what a match of any step needs.  Few texts have, and to look for it is cheaper than the steps."""
+    has = lambda x: F.contains(text, F.lit(x))
+    assigns = (has(":") | has("=")) & text.rlike(WORDS)
+    return reduce(lambda a, b: a | b, map(has, STARTS)) | (has("://") & has("@")) | assigns
+
+
 def is_unsafe(text: Column, mark: str = MARK) -> Column:
     """Whether a text looks like an instruction or an envelope, and so is not recalled automatically."""
-    return text.rlike(recall_marker(mark)) | text.rlike(PSEUDO_ROLE) | text.rlike(INJECTION)
+    return (F.contains(text, F.lit("[[")) & text.rlike(recall_marker(mark))) | (F.contains(text, F.lit(":")) & text.rlike(PSEUDO_ROLE)) | text.rlike(INJECTION)
 
 
 def applied(df: DataFrame, raw: str = "text", compose: bool = False, mark: str = MARK) -> DataFrame:
     """`df` with canonical, rejected_by, clean, disposition and auto_eligible, each made once from the one before."""
     df = df.withColumn("canonical", canonical(F.col(raw), compose)).withColumn("rejected_by", rejection(F.col("canonical")))
-    df = df.withColumn("clean", F.when(F.col("rejected_by").isNull(), redact(F.col("canonical"))))
+    df = df.withColumn("clean", F.when(F.col("rejected_by").isNull(), F.when(may_be_redacted(F.col("canonical")), redact(F.col("canonical"))).otherwise(F.col("canonical"))))
     disposition = F.when(F.col("rejected_by").isNotNull(), "reject").when(F.col("clean") != F.col("canonical"), "redacted").otherwise("allow")
     return df.withColumns({"disposition": disposition, "auto_eligible": F.coalesce(~is_unsafe(F.col("clean"), mark), F.lit(False))})
 

@@ -13,6 +13,8 @@ from skein.versions import MOST_QUERY_TERMS, SNIPPET_CHARS
 
 #: White space as ECMAScript's \s and trim() know it; Java's \s is ASCII only.  Inside a character class.
 SPACE = r"\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+#: The same characters one by one.
+SPACES = "\t\n\x0b\x0c\r \xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 TOKEN = r"[\p{L}\p{N}\p{Co}]+"
 LATIN_TERM = r"[A-Za-z0-9_./-]+"
 
@@ -27,12 +29,13 @@ def nfc(x: Column) -> Column:
 
 
 def trim(x: Column) -> Column:
-    return F.regexp_replace(x, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.trim(x, F.lit(SPACES))
 
 
 def canonical(x: Column, compose: bool = False) -> Column:
     """Line ends as \\n, outer white space off; with `compose` in normalisation form C first."""
-    return trim(F.regexp_replace(nfc(x) if compose else x, "\r\n?", "\n"))
+    ends = F.regexp_replace(nfc(x) if compose else x, "\r\n?", "\n")
+    return trim(ends if compose else F.when(F.contains(x, F.lit("\r")), ends).otherwise(x))
 
 
 @lru_cache(1)
@@ -59,16 +62,13 @@ def tokens(x: Column) -> Column:
 
 
 def han(x: Column) -> Column:
-    return F.regexp_replace(x, r"[^\p{IsHan}]", "")
+    return F.regexp_replace(x, r"[^\p{IsHan}]+", "")
 
 
 def han_bigrams(x: Column) -> Column:
     """Pairs of neighbours among the Han characters alone, so that a pair may span a gap; a single one stays single."""
-    h = han(x)
-    each = F.split(h, "")
-    # Both sides are made once; an expression inside a lambda would be made again for each element.
-    pairs = F.zip_with(F.slice(each, 1, F.size(each) - 1), F.slice(each, 2, F.size(each) - 1), lambda a, b: F.concat(a, b))
-    return F.when(F.length(h) >= 2, pairs).when(F.length(h) == 1, F.array(h)).otherwise(F.array().cast("array<string>"))
+    # A match takes one character and looks at the next, so neighbours overlap.
+    return F.regexp_extract_all(han(x), F.lit("(?=(..|^.$))."), F.lit(1))
 
 
 def query_terms(x: Column) -> Column:
