@@ -37,14 +37,43 @@ def spread(sized: DataFrame, block: int = BLOCK) -> DataFrame:
 
 def blocked(postings: DataFrame, parts: DataFrame) -> DataFrame:
     """Blocks (SCHEMA) of postings, dealt as `parts` says; classes that it does not know have one slot."""
-    placed = postings.withColumn("class", length_class(F.col("dl"))).join(F.broadcast(parts), "class", "left")  # some 80 rows
+    return gathered(placed(postings, parts))
+
+
+def placed(rows: DataFrame, parts: DataFrame) -> DataFrame:
+    """Rows (source_key, dl, ...) with the slot that `parts` deals them to."""
     slot = F.shiftleft(F.col("class").cast("long"), 40) + F.pmod(F.xxhash64("source_key"), F.coalesce("parts", F.lit(1)))
+    known = rows.withColumn("class", length_class(F.col("dl"))).join(F.broadcast(parts), "class", "left")  # some 80 rows
+    return known.withColumn("slot", slot).drop("class", "parts")
+
+
+def gathered(postings: DataFrame) -> DataFrame:
+    """Blocks of postings that know their slots."""
     entry = F.struct("source_key", "session_id", "origin_project_key", "dl", "positions")
-    return placed.groupBy("token", "field", slot.alias("slot")).agg(
+    return postings.groupBy("token", "field", "slot").agg(
         F.count("*").alias("n"), F.max(F.size("positions")).cast("long").alias("most"), F.min("dl").alias("least"), F.collect_list(entry).alias("entries")
     )
 
 
+def of_tokens(chunks: DataFrame, parts: DataFrame, tokens: DataFrame, tasks: int) -> DataFrame:
+    """The blocks of some `tokens` (token) over `chunks` (source_key, ..., text, dl).
+
+    Texts are dealt out by slots, in `tasks` pieces, before they are taken apart, so that no posting is shuffled.
+    """
+    own = ["slot", "source_key", "session_id", "origin_project_key", "dl"]
+    dealt = placed(chunks.select("source_key", "session_id", "origin_project_key", "dl", "text"), parts).repartition(tasks, "slot")
+    fields = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f"{f}_tokens").alias("of")) for f in ("content", "cjk")))
+    made = fts.tokenized(dealt.withColumnRenamed("dl", "__dl")).withColumn("dl", F.col("__dl"))
+    each = made.select(*own, F.explode(fields).alias("f")).select(*own, F.col("f.field").alias("field"), F.posexplode("f.of").alias("pos", "token"))
+    each = each.join(fts.few(tokens), "token", "left_semi")
+    return gathered(each.groupBy("token", "field", *own).agg(F.sort_array(F.collect_list("pos")).alias("positions")))
+
+
+def frequencies(blocks: DataFrame) -> DataFrame:
+    """(token, field, df) by the blocks' counts; no entry is read."""
+    return blocks.groupBy("token", "field").agg(F.sum("n").alias("df"))
+
+
 def opened(blocks: DataFrame) -> DataFrame:
     """The postings of blocks, with what else the blocks' rows have."""
     rest = [c for c in blocks.columns if c not in ("n", "most", "least", "entries")]
@@ -81,8 +110,10 @@ def best(
     slots = cut(slots.withColumn("first", F.coalesce(before, F.lit(0)) < FIRST * most))
 
     def scored(chosen: DataFrame) -> DataFrame:
-        single = wanted.where("m = 1").join(chosen.select("query_id", "slot"), "query_id")
-        counts = fts.phrase_counts(live(opened(blocks.join(single, ["token", "field", "slot"]))))
+        # The blocks of a slot lie together, so what they add to a chunk is summed, for the most part, before it is shuffled.
+        asking = chosen.groupBy("slot").agg(F.collect_set("query_id").alias("asking"))
+        single = blocks.join(asking, "slot").join(fts.few(wanted.where("m = 1")), ["token", "field"]).where(F.array_contains("asking", F.col("query_id")))
+        counts = fts.phrase_counts(live(opened(single.drop("asking"))))
         more = added.join(chosen.select("query_id", "slot"), ["query_id", "slot"], "left_semi")
         return fts.in_project(fts.ranked(fts.added(counts, weights, stats).unionByName(more.select(*counts.columns, "part"))))
 
