@@ -118,7 +118,7 @@ def best(
         return fts.in_project(fts.ranked(fts.added(counts, weights, stats).unionByName(more.select(*counts.columns, "part"))))
 
     first = cut(scored(slots.where("first")))
-    order = W.partitionBy("query_id").orderBy(F.round("bm25", fts.PLACES), "source_key")
+    order = W.partitionBy("query_id").orderBy(F.round("bm25", fts.PLACES_OF_MATCHES), "source_key")
     least = first.withColumn("place", F.row_number().over(order)).where(F.col("place") == most).select("query_id", F.col("bm25").alias("least"))
     # A bound is a sum of floating-point numbers in another order than a score, and scores that are equal when rounded tie: it gets a little more.
     second = slots.where("NOT first").join(least, "query_id", "left").where("least IS NULL OR bound * (1 + 1e-9) + 1e-8 >= -least")

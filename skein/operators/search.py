@@ -72,7 +72,7 @@ def asked(spark: SparkSession, queries: dict[int, str], project: str | None = No
 
 def first_matches(index: DataFrame, stats: DataFrame, wanted: DataFrame, kept: DataFrame | None = None) -> DataFrame:
     """(query_id, source_key, session_id, origin_project_key, bm25) of the 256 best matches of each query, by ranking all."""
-    return top(fts.bm25(index, stats, wanted, kept), MATCH_LIMIT, F.round("bm25", fts.PLACES), F.col("source_key"))
+    return top(fts.bm25(index, stats, wanted, kept), MATCH_LIMIT, F.round("bm25", fts.PLACES_OF_MATCHES), F.col("source_key"))
 
 
 def search(matches: DataFrame, chunks: DataFrame, sessions: DataFrame, queries: DataFrame, as_of: str, options: Options = Options()) -> DataFrame:
