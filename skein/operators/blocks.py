@@ -105,7 +105,8 @@ def best(
     weights = cut(fts.weights(fts.kept_frequencies(frequencies, wanted).unionByName(fts.frequencies_of(whole)), stats))
     added = fts.added(whole, weights, stats)
     limits = bounds(blocks, wanted, weights, stats).unionByName(added.groupBy("query_id", "phrase", "slot").agg(F.count("*").alias("n"), F.max("part").alias("bound")))
-    slots = cut(limits.groupBy("query_id", "slot").agg(F.sum("bound").alias("bound"), F.max("n").alias("n")))
+    # Matches of the phrase that adds most: those of frequent words beside it would end the first slots before they have the best.
+    slots = cut(limits.groupBy("query_id", "slot").agg(F.sum("bound").alias("bound"), F.max_by("n", F.struct("bound", "n")).alias("n")))
     before = F.sum("n").over(W.partitionBy("query_id").orderBy(F.desc("bound"), "slot").rowsBetween(W.unboundedPreceding, -1))
     slots = cut(slots.withColumn("first", F.coalesce(before, F.lit(0)) < FIRST * most))
 

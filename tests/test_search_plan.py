@@ -54,6 +54,17 @@ def test_blocks(spark, index, most, project):
         assert slots[1] < all_slots[1] and slots[8] < all_slots[8] / 2
 
 
+def test_blocks_of_a_frequent_word(spark):
+    """A frequent word beside a rare one does not end the first slots before they have the best matches."""
+    chunks = [(f"k{i:03}", "s", "p", f"the {'rare' if i % 50 == 0 else f'a{i}'} b{i} c{i}") for i in range(400)]
+    sized = cut(fts.tokenized(spark.createDataFrame(chunks, "source_key string, session_id string, origin_project_key string, text string")).drop("text"))
+    postings, stats = cut(fts.postings(sized)), cut(fts.corpus_stats(sized))
+    wanted = cut(fts.phrases_of(search.asked(spark, {1: "rare the"})))
+    found, read = blocks.best(cut(blocks.blocked(postings, blocks.spread(sized, 16))), fts.frequencies(postings), stats, wanted, 5, cut=cut)
+    assert sorted(r.source_key for r in found.collect()) == ["k000", "k050", "k100", "k150", "k200"]
+    assert read.count() <= 9
+
+
 def test_blocks_of_dead_postings(spark, index):
     """Postings that no longer count neither match nor hide others."""
     postings, stats, _, blocked = index
